@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,35 @@ def _remove_own() -> None:
 atexit.register(_remove_own)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session's cluster, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="strandloom-"), "strandloom.zip")
+    _OWN_DIRS.append(os.path.dirname(out))
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("strandloom", os.path.relpath(path, root)))
+    sc.addPyFile(out)
+    sc._strandloom_shipped = True
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, sure that the workers can import this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local one is made only where the setting is absent."""
     conf = spark.sparkContext.getConf()

@@ -232,8 +232,8 @@ def _mark(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, gap: int,
     in_b[q[same]] = True
 
 
-def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int = 48, most: int = 8) -> tuple[int, int]:
-    """How many bases of each sequence lie opposite an equal base of the other.
+def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int = 48, most: int = 8) -> tuple[int, int, int]:
+    """How many bases of each sequence lie opposite an equal base of the other, and how many of b's in one part of a's size.
 
     Blocks may be moved or turned around: every diagonal run of shared k-mers (gaps up to ``gap``, at least ``least``
     bases, ends extended by up to ``reach`` while that pays) counts wherever it lies, on either strand. What is left
@@ -245,4 +245,9 @@ def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int =
         turned = np.zeros(len(a.codes), bool)
         _mark(a.turned, b, turned, in_b, gap, least, reach, most)
         in_a |= turned[::-1]
-    return int(in_a.sum()), int(in_b.sum())
+    part, size = int(in_b.sum()), len(a.codes) + len(a.codes) // 4 + 16
+    whole = part
+    if len(b.codes) > size:
+        total = np.concatenate([[0], np.cumsum(in_b)])
+        part = int((total[size:] - total[:-size]).max())
+    return int(in_a.sum()), whole, part

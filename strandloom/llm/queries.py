@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.llm.labels import normal_split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +28,27 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "mibig_records"), "record_id", "sequence")
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "mibig_records")
+    return rows.withColumn("split", normal_split(F.col("split")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.cross_split import split_overlaps
+
+    pairs = split_overlaps(_splits(spark, sf_dir), "record_id", "sequence", "split")
+    return pairs.select(F.least("eval_id", "train_id").alias("record_id_a"), F.greatest("eval_id", "train_id").alias("record_id_b"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.cross_split import overlap_report, split_overlaps
+
+    rows = _splits(spark, sf_dir)
+    return overlap_report(rows, split_overlaps(rows, "record_id", "sequence", "split"), "record_id", "split", "source")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql() -> dict[str, str]:

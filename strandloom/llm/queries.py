@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.labels import normal_split
+from strandloom.llm.labels import normal_split, with_class
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,50 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "mibig_records"), "record_id", "sequence")
 
 
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "mibig_records").select("record_id", "compound_class", "source", "split")
+    return with_class(rows, "compound_class", table(spark, sf_dir, "class_targets"), table(spark, sf_dir, "class_map"))
+
+
+def _quota(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from strandloom.llm.quota_sample import quota_sample
+
+    rows = _classed(spark, sf_dir)
+    return quota_sample(rows, "record_id", "class", table(spark, sf_dir, "class_targets"), rows.count() // 4)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir)[1].where("shortfall > 0").select(F.col("category").alias("compound_class"))
+
+
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir)[0]
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quota(spark, sf_dir)[1]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.chunks import split_oversized
+
+    genes = table(spark, sf_dir, "domain_annotations").select("record_id", "genes")
+    return split_oversized(table(spark, sf_dir, "mibig_records"), "record_id", "sequence", genes).withColumnRenamed("id", "record_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.shared_spans import shared_spans
+
+    return shared_spans(table(spark, sf_dir, "mibig_records"), "record_id", "sequence").withColumnRenamed("id", "record_id")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.shared_spans import shared_report, shared_spans
+
+    rows = table(spark, sf_dir, "mibig_records")
+    return shared_report(rows, "record_id", "sequence", shared_spans(rows, "record_id", "sequence")).withColumnRenamed("id", "record_id")
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "mibig_records")
     return rows.withColumn("split", normal_split(F.col("split")))
@@ -48,7 +92,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report, "p5_found": p5_found, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql() -> dict[str, str]:

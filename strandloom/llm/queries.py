@@ -52,6 +52,39 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quota(spark, sf_dir)[1]
 
 
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.related_splits import relation_key
+
+    rows = table(spark, sf_dir, "mibig_records").select("record_id", "taxonomic_tag", "accession", "compound_class", normal_split(F.col("split")).alias("split"))
+    return rows.withColumn("key", relation_key(F.col("taxonomic_tag"), F.col("accession")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.related_splits import broken_relations
+
+    return broken_relations(_related(spark, sf_dir), "record_id", "key", "split").withColumnRenamed("id", "record_id")
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    from strandloom.llm.related_splits import related_splits
+
+    shares = {r["split"]: r["target_permille"] for r in table(spark, sf_dir, "split_targets").collect()}
+    rows = with_class(_related(spark, sf_dir), "compound_class", table(spark, sf_dir, "class_targets"), table(spark, sf_dir, "class_map"))
+    found = related_splits(rows, "record_id", "key", "class", shares).withColumnRenamed("id", "record_id")
+    return found.join(rows.select("record_id", "key", "class"), "record_id"), shares
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir)[0].select("record_id", "assigned")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.related_splits import split_report
+
+    rows, shares = _assigned(spark, sf_dir)
+    return split_report(rows, "assigned", "class", shares)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.chunks import split_oversized
 
@@ -91,9 +124,48 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(rows, split_overlaps(rows, "record_id", "sequence", "split"), "record_id", "split", "source")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.tokens import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.tokens import decoded, encoded
+
+    back = decoded(encoded(table(spark, sf_dir, "documents"), "doc_id", "text"), "id", "ids")
+    return back.select(F.col("id").alias("doc_id"), F.md5(F.encode("text", "utf-8")).alias("text_md5"), F.size("starts").alias("n_tokens"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from strandloom.llm.mixing import mix_sources
+    from strandloom.llm.tokens import encoded
+    from strandloom.runtime import materialize
+
+    rows = encoded(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True, keep=("source",))
+    rows = materialize(rows.withColumnRenamed("id", "doc_id"))
+    return mix_sources(rows, "doc_id", "source", "n", table(spark, sf_dir, "source_weights"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("unmet").select("source")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_sample": p2_sample, "p2_report": p2_report, "p5_found": p5_found, "p3_found": p3_found, "p3_report": p3_report, "p6_found": p6_found, "p6_report": p6_report}
+    own = [p1_found, p1_classes, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found]
+    own += [p6_found, p6_report, p7_ids, p7_round_trip, p8_found, p8_report, p8_copies]
+    return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strandloom.llm import sql
+
+    return {"p2_found": sql.P2_FOUND, "p4_found": sql.P4_FOUND, "p5_found": sql.P5_FOUND}

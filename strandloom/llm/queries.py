@@ -159,9 +159,29 @@ def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.abuse import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("flagged").select(F.col("id").alias("doc_id"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(F.col("id").alias("doc_id"), "source", "lang", "score", "flagged")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.abuse import rate_report
+
+    return rate_report(_scored(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     own = [p1_found, p1_classes, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found]
-    own += [p6_found, p6_report, p7_ids, p7_round_trip, p8_found, p8_report, p8_copies]
+    own += [p6_found, p6_report, p7_ids, p7_round_trip, p8_found, p8_report, p8_copies, p9_found, p9_scores, p9_rates]
     return {q.__name__: q for q in own}
 
 

@@ -167,14 +167,30 @@ def rank_by_hash(df: DataFrame, groups: list[str], key: str, name: str = "rank",
     """
     hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
     hashed = hashed.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    return _ranked(hashed, df.columns, groups, ["__h", key], name)
+
+
+def rank_by_md5(df: DataFrame, groups: list[str], key: str, name: str = "rank", seed: str = "0") -> DataFrame:
+    """Exact 1-based rank of each row within ``groups`` in the order of md5(``seed|key``), ties by ``key``.
+
+    The same order in every engine with MD5. Ranks come from 4,096 buckets of the digest, as in ``rank_by_hash``, so a
+    hot group is ranked by many tasks. Group values may be null; ``key`` must be unique within a group.
+    """
+    hashed = df.withColumn("__h", F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))), "utf-8")))
+    return _ranked(hashed.withColumn("__b", F.substring("__h", 1, 3)), df.columns, groups, ["__h", key], name)
+
+
+def rank_by_value(df: DataFrame, key: str, width: int, name: str = "rank") -> DataFrame:
+    """Exact 1-based rank of each row by a unique integer ``key``, from buckets of ``width`` consecutive values."""
+    return _ranked(df.withColumn("__b", F.floor(F.col(key) / width)), df.columns, [], [key], name)
+
+
+def _ranked(hashed: DataFrame, columns: list[str], groups: list[str], order: list[str], name: str) -> DataFrame:
     sizes = hashed.groupBy(*groups, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy(*groups, "__b").orderBy("__h", key)
-    ranked = hashed.withColumn("__r", F.row_number().over(within))
-    same = [ranked[g].eqNullSafe(offsets[g]) for g in groups] + [ranked["__b"] == offsets["__b"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = ranked.join(offsets, cond)
-    return joined.select(*[ranked[c] for c in df.columns], (ranked["__r"] + offsets["__off"]).alias(name))
+    ranked = hashed.withColumn("__r", F.row_number().over(Window.partitionBy(*groups, "__b").orderBy(*order)))
+    cond = ranked["__b"] == offsets["__b"]
+    for g in groups:
+        cond = cond & ranked[g].eqNullSafe(offsets[g])
+    return ranked.join(offsets, cond).select(*[ranked[c] for c in columns], (ranked["__r"] + offsets["__off"]).alias(name))

@@ -144,12 +144,20 @@ def common_prefix(a: Column, b: Column, most: int = 1 << 20) -> Column:
     )
 
 
-def profile_distance(a: Column, b: Column, k: int = 5) -> Column:
-    """1 - cosine of the k-mer counts of two texts; null if one has none."""
-    x, y = (F.map_from_entries(sequence.counts(F.filter(sequence.kmers(F.upper(t), k), lambda m: m.rlike("^[ACGT]+$")))) for t in (a, b))
-    dot = F.aggregate(F.map_entries(x), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(y, e["key"]), F.lit(0)))
-    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v * v))
-    return F.when((F.cardinality(x) > 0) & (F.cardinality(y) > 0), 1 - dot / (norm(x) * norm(y)))
+def profile_distances(pairs: DataFrame, rows: DataFrame, row: str, other: str, text: str, k: int = 5) -> DataFrame:
+    """(row, other, distance): 1 - cosine of the k-mer counts (A, C, G, T only) of each pair; null if one has none.
+
+    K-mers are counted once per row, in part before the shuffle, and pairs meet on the k-mers they share.
+    """
+    kmers = rows.where(F.col(text).isNotNull()).select(F.col(row).alias("__r"), F.explode(sequence.kmers(F.upper(F.col(text)), k)).alias("__k"))
+    counted = kmers.where(~F.col("__k").rlike("[^ACGT]")).groupBy("__r", "__k").agg(F.count("*").cast("double").alias("__n"))
+    norms = counted.groupBy("__r").agg(F.sqrt(F.sum(F.col("__n") * F.col("__n"))).alias("__norm"))
+    ids = pairs.select(row, other)
+    left = ids.join(counted.select(F.col("__r").alias(row), "__k", F.col("__n").alias("__a")), row)
+    met = left.join(counted.select(F.col("__r").alias(other), "__k", F.col("__n").alias("__b")), [other, "__k"])
+    dots = met.groupBy(row, other).agg(F.sum(F.col("__a") * F.col("__b")).alias("__dot"))
+    out = ids.join(norms.select(F.col("__r").alias(row), F.col("__norm").alias("__x")), row, "left").join(norms.select(F.col("__r").alias(other), F.col("__norm").alias("__y")), other, "left").join(dots, [row, other], "left")
+    return out.select(row, other, F.when(F.col("__x").isNotNull() & F.col("__y").isNotNull(), 1 - F.coalesce("__dot", F.lit(0.0)) / (F.col("__x") * F.col("__y"))).alias("distance"))
 
 
 def jaccard_distance(a: Column, b: Column) -> Column:

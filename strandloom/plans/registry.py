@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.plans.catalogue import QUERIES, SQL, Query
 
-MODULES = ("summaries", "lookups")
+MODULES = ("summaries", "lookups", "analytics")
 
 for _name in MODULES:
     import_module(f"strandloom.plans.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["ag1_count_report"](spark, sf_dir)
+    return QUERIES["sim8_novelty"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.labels import stripped
+from strandloom.runtime import spread
 
 #: Letters of other scripts and signs that stand for Latin letters.
 LOOK_ALIKE = dict(zip("аеорсухіјѕԁһкмтвнгпвαεορτυνκιβꞵɡıƒ", "aeopcyxijsdhkmtbhrnbaeoptuvkibbgif", strict=True))
@@ -380,7 +381,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lower(stripped(F.col(source_col))).alias("source"), normal_language(F.col(lang_col)).alias("lang"))
-    return rows.mapInArrow(run, "id bigint, source string, lang string, score double, flagged boolean")
+    return spread(rows).mapInArrow(run, "id bigint, source string, lang string, score double, flagged boolean")
 
 
 def rate_report(scored: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def from_bits(data: bytes) -> np.ndarray:
 class Indexed:
     """A sequence with its sorted k-mers, ready to be matched against others."""
 
-    __slots__ = ("codes", "k", "keys", "places", "letters", "_turned")
+    __slots__ = ("codes", "k", "keys", "places", "letters", "_turned", "_fine")
 
     def __init__(self, codes: np.ndarray, k: int = 12):
         self.codes, self.k = codes, k
@@ -164,6 +164,14 @@ class Indexed:
         self.keys, self.places = joined >> np.uint64(32), (joined & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.letters = int((codes < 4).sum())
         self._turned: Indexed | None = None
+        self._fine: Indexed | None = None
+
+    @property
+    def fine(self) -> Indexed:
+        """The same sequence by shorter k-mers."""
+        if self._fine is None:
+            self._fine = Indexed(self.codes, 8)
+        return self._fine
 
     @property
     def turned(self) -> Indexed:
@@ -198,17 +206,17 @@ def _anchors(a: Indexed, b: Indexed, most: int) -> tuple[np.ndarray, np.ndarray]
     return i[order], d[order]
 
 
-def _mark(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, gap: int, least: int, reach: int, most: int) -> None:
-    i, d = _anchors(a, b, most)
+def _runs(a: Indexed, b: Indexed, i: np.ndarray, d: np.ndarray, gap: int, least: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal runs (start, end, diagonal) of anchors, their ends extended by up to ``reach`` while matches outweigh mismatches."""
     if not len(i):
-        return
+        return i, i, d
     cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) > gap)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]) - 1
     start, end, diagonal = i[first], i[last] + a.k, d[first]
     keep = end - start >= least
     start, end, diagonal = start[keep], end[keep], diagonal[keep]
     if not len(start):
-        return
+        return start, end, diagonal
     n, m = len(a.codes), len(b.codes)
     x, y = np.append(a.codes, 7), np.append(b.codes, 6)
     step = np.arange(reach)
@@ -224,6 +232,11 @@ def _mark(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, gap: int,
             start = start - grown
         else:
             end = end + grown
+    return start, end, diagonal
+
+
+def _mark(a: Indexed, b: Indexed, runs: tuple[np.ndarray, np.ndarray, np.ndarray], in_a: np.ndarray, in_b: np.ndarray) -> None:
+    start, end, diagonal = runs
     size = end - start
     p = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     q = p + np.repeat(diagonal, size)
@@ -232,6 +245,19 @@ def _mark(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, gap: int,
     in_b[q[same]] = True
 
 
+def _closer(a: Indexed, b: Indexed, runs: tuple[np.ndarray, np.ndarray, np.ndarray], around: int = 64, drift: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shorter runs beside known ones: shared 8-mers within ``around`` bases of a run and ``drift`` diagonals of it."""
+    far = np.int64(1) << 40
+    near = np.full((2, len(a.codes)), far)
+    order = np.argsort(runs[0], kind="stable")
+    for row, some in ((0, order), (1, order[::-1])):
+        for s, e, d in zip(*(r[some].tolist() for r in runs), strict=True):
+            near[row, max(0, s - around) : e + around] = d
+    i, d = _anchors(a.fine, b.fine, 64)
+    keep = (np.abs(near[:, i] - d) <= drift).any(0) if len(i) else np.zeros(0, bool)
+    return _runs(a.fine, b.fine, i[keep], d[keep], 16, 8, 16)
+
+
 def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int = 48, most: int = 8) -> tuple[int, int, int]:
     """How many bases of each sequence lie opposite an equal base of the other, and how many of b's in one part of a's size.
 
@@ -240,11 +266,21 @@ def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int =
     uncovered is what substitutions, insertions and deletions touch.
     """
     in_a, in_b = np.zeros(len(a.codes), bool), np.zeros(len(b.codes), bool)
-    _mark(a, b, in_a, in_b, gap, least, reach, most)
+    turned = np.zeros(len(a.codes), bool)
+    ahead = _runs(a, b, *_anchors(a, b, most), gap, least, reach)
+    _mark(a, b, ahead, in_a, in_b)
+    behind = None
     if in_b.sum() < b.letters or in_a.sum() < a.letters:
-        turned = np.zeros(len(a.codes), bool)
-        _mark(a.turned, b, turned, in_b, gap, least, reach, most)
+        behind = _runs(a.turned, b, *_anchors(a.turned, b, most), gap, least, reach)
+        _mark(a.turned, b, behind, turned, in_b)
         in_a |= turned[::-1]
+    if 0.3 * a.letters < in_a.sum() < 0.9 * a.letters or 0.3 * b.letters < in_b.sum() < 0.9 * b.letters:
+        # many short insertions and deletions leave pieces too short for the first look
+        if len(ahead[0]):
+            _mark(a, b, _closer(a, b, ahead), in_a, in_b)
+        if behind is not None and len(behind[0]):
+            _mark(a.turned, b, _closer(a.turned, b, behind), turned, in_b)
+            in_a |= turned[::-1]
     part, size = int(in_b.sum()), len(a.codes) + len(a.codes) // 4 + 16
     whole = part
     if len(b.codes) > size:

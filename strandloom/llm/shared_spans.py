@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import dna
-from strandloom.runtime import sorted_groups, task_slots
+from strandloom.runtime import sorted_groups, spread, task_slots
 
 
 def _flank(codes: np.ndarray, at: np.ndarray, size: int, step: int) -> np.ndarray:
@@ -78,7 +78,7 @@ def seeds(df: DataFrame, id_col: str, seq_col: str, span: int, k: int) -> DataFr
                     )
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(seq_col).alias("seq")).where(f"id is not null and length(seq) >= {span}")
-    return rows.mapInArrow(run, "seed bigint, id bigint, place int, left binary, right binary")
+    return spread(rows).mapInArrow(run, "seed bigint, id bigint, place int, left binary, right binary")
 
 
 def _links(seed: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.runtime import spread
+
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 _LOADED: dict[str, Any] = {}
 
@@ -109,7 +111,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, path: str = BYTE_BPE, cou
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *keep)
     schema = T.StructType([rows.schema["id"], T.StructField("n", T.IntegerType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType())), *(df.schema[c] for c in keep)])
     names = schema.names
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, id_col: str, ids_col: str, path: str = BYTE_BPE) -> DataFrame:

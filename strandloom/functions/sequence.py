@@ -59,15 +59,17 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
-def places(text: Column, width: Column | int, step: int = 1) -> Column:
-    """1-based starts of all windows of ``width``; an empty array where the text is shorter."""
-    last = F.length(text) - width + 1
-    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).when(text.isNotNull(), F.array().cast("array<int>"))
+def kmers(text: Column, k: int) -> Column:
+    """All k-mers in order, an empty array where the text is shorter.
 
+    One pass with an overlapping match: ``substring`` in a lambda would walk the text from its start for every k-mer.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
-def kmers(text: Column, k: int) -> Column:
-    """All k-mers in order."""
-    return F.transform(places(text, k), lambda i: F.substring(text, i, F.lit(k)))
+
+def blocks(text: Column, width: int) -> Column:
+    """The text in consecutive pieces of ``width``; a shorter rest at the end is left out."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{{width}}}"), F.lit(0))
 
 
 def kmer_set(text: Column, k: int) -> Column:
@@ -157,8 +159,7 @@ def relative_adaptiveness(frequency: dict[str, float]) -> dict[str, float]:
 
 def codons(seq: Column) -> Column:
     """In-frame codons of the upper-cased sequence; a rest of one or two bases is left out."""
-    up = F.upper(seq)
-    return F.transform(places(up, 3, 3), lambda i: F.substring(up, i, F.lit(3)))
+    return blocks(F.upper(seq), 3)
 
 
 def adaptation_index(seq: Column, weights: dict[str, float]) -> Column:
@@ -176,7 +177,8 @@ def translated(seq: Column) -> Column:
 
 def last_stop_trim(seq: Column) -> Column:
     """The text up to and including the last stop codon of any of the three frames; unchanged if there is none."""
-    ends = F.transform(F.filter(places(F.upper(seq), 3), lambda i: F.substring(F.upper(seq), i, F.lit(3)).isin("TAA", "TAG", "TGA")), lambda i: i + 2)
+    triples = kmers(F.upper(seq), 3)
+    ends = F.filter(F.transform(triples, lambda t, i: F.when(t.isin("TAA", "TAG", "TGA"), i + 3)), lambda e: e.isNotNull())
     return F.when(F.size(ends) > 0, F.substring(seq, F.lit(1), F.array_max(ends))).otherwise(seq)
 
 

@@ -65,12 +65,13 @@ def pair_profile(df: DataFrame, group: str, text: str, order: str, cap: int | No
     Pairs are counted in part before the shuffle, so a task sends one number per group and distinct pair.
     """
     from strandloom.functions.sequence import kmers
+    from strandloom.runtime import spread
 
     rows = df.where(F.col(text).isNotNull())
     if cap is not None:
         first = Window.partitionBy(group).orderBy(order)
         rows = rows.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= cap)
-    pairs = rows.select(group, F.explode(kmers(F.upper(F.col(text)), 2)).alias("pair"))
+    pairs = spread(rows.select(group, text)).select(group, F.explode_outer(kmers(F.upper(F.col(text)), 2)).alias("pair")).where("pair is not null")
     out = pairs.groupBy(group, "pair").agg(F.count("*").alias("n"))
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequence import blocks
 from strandloom.runtime import rank_by_md5, salted_join
 
 
@@ -187,9 +188,7 @@ def matched_bins(df: DataFrame, row: str, label: str, value: str, bins: int, see
 
 def shuffled(text: Column, key: Column, seed: str, unit: int = 1) -> Column:
     """The text's characters (or groups of ``unit``, such as codons; a rest at the end is dropped) in a random order."""
-    last = F.length(text) - unit + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(unit))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("h"), i.alias("i"), F.substring(text, i, F.lit(unit)).alias("t")))
+    parts = F.transform(blocks(text, unit), lambda t, i: F.struct(F.xxhash64(F.lit(seed), key, i).alias("h"), i.alias("i"), t.alias("t")))
     return F.when(text.isNotNull(), F.array_join(F.transform(F.array_sort(parts), lambda p: p["t"]), ""))
 
 

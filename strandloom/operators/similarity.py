@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence
 from strandloom.operators.graph import connected_components
-from strandloom.runtime import materialize, rank_by_value
+from strandloom.runtime import materialize, rank_by_value, spread
 
 
-def sampled_kmers(df: DataFrame, row: str, text: Column, k: int, scale: int, canonical: bool = True) -> DataFrame:
+def sampled_kmers(df: DataFrame, row: str, text: str, k: int, scale: int, canonical: bool = True) -> DataFrame:
     """(row, h): distinct 32-bit hashes of a text's k-mers that are 0 modulo ``scale``; texts below k have none."""
-    kmers = sequence.canonical_kmer_set(text, k) if canonical else sequence.kmer_set(text, k)
+    kmers = sequence.canonical_kmer_set(F.col(text), k) if canonical else sequence.kmer_set(F.col(text), k)
     hashed = F.filter(F.transform(kmers, sequence.hash32), lambda h: h % scale == 0)
-    return df.select(F.col(row), F.explode(F.array_distinct(hashed)).alias("h"))
+    # outer, as the plain form would have the optimizer compute the array once more to test it for members
+    return spread(df.select(row, text)).select(row, F.explode_outer(F.array_distinct(hashed)).alias("h")).where("h is not null")
 
 
 def containment_search(queries: DataFrame, reference: DataFrame, q_row: str, r_row: str, text: str, k: int = 21, scale: int = 16, keep: int = 3, canonical: bool = True) -> DataFrame:
@@ -31,9 +32,9 @@ def containment_search(queries: DataFrame, reference: DataFrame, q_row: str, r_r
     k-mers, or that share none, have no row.
     """
     col = F.col(text)
-    q = sampled_kmers(queries, q_row, col, k, scale, canonical)
+    q = sampled_kmers(queries, q_row, text, k, scale, canonical)
     n = q.groupBy(q_row).agg(F.count("*").alias("n"))
-    hits = q.join(sampled_kmers(reference, r_row, col, k, scale, canonical).withColumnRenamed(r_row, "__r"), "h").where(F.col(q_row) != F.col("__r"))
+    hits = q.join(sampled_kmers(reference, r_row, text, k, scale, canonical).withColumnRenamed(r_row, "__r"), "h").where(F.col(q_row) != F.col("__r"))
     shared = hits.groupBy(q_row, "__r").agg(F.count("*").alias("shared")).join(n, q_row)
     shared = shared.withColumn("estimate", F.col("shared") / F.col("n"))
     best = F.row_number().over(Window.partitionBy(q_row).orderBy(F.desc("estimate"), "__r"))
@@ -65,7 +66,7 @@ def containment_links(df: DataFrame, row: str, text: str, k: int = 21, scale: in
     """
     digest = F.md5(F.encode(F.col(text), "utf-8"))
     once = df.where(F.col(text).isNotNull()).groupBy(digest.alias("__d")).agg(F.min(row).alias(row)).select(row)
-    grams = sampled_kmers(df.join(once, row, "left_semi"), row, F.col(text), k, scale).withColumnRenamed(row, "r")
+    grams = materialize(sampled_kmers(df.join(once, row, "left_semi"), row, text, k, scale).withColumnRenamed(row, "r"))
     df_of = grams.groupBy("h").agg(F.count("*").alias("df"))
     sets = grams.join(df_of, "h").groupBy("r").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
     sets = materialize(sets.select("r", F.transform("g", lambda x: x["h"]).alias("g")))

@@ -72,7 +72,7 @@ def gene_tiles(df: DataFrame, row: str, length: str, genes: str, size: int, over
                     end.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["row", "nt_start", "nt_end"])
 
-    rows = df.where(F.col(length).isNotNull()).select(F.col(row).cast("bigint"), F.col(length).cast("int"), F.transform(genes, lambda g: F.struct(g["s"].alias("s"), g["e"].alias("e"))))
+    rows = df.where(F.col(length).isNotNull()).select(F.col(row).cast("bigint").alias("row"), F.col(length).cast("int").alias("length"), F.transform(genes, lambda g: F.struct(g["s"].alias("s"), g["e"].alias("e"))).alias("genes"))
     return rows.mapInArrow(run, "row bigint, nt_start int, nt_end int").withColumnRenamed("row", row)
 
 

@@ -320,7 +320,7 @@ def sp18_folds(spark, d):
 
 @query(
     """WITH x AS (SELECT record_id, length(sequence) AS n FROM mibig_records WHERE sequence IS NOT NULL), c AS (SELECT *, CASE WHEN n <= 2000 THEN 1 ELSE 1 + CAST(ceil((n - 2000) / 1800) AS BIGINT) END AS k FROM x),
-    w AS (SELECT record_id, n, unnest(range(0, k)) AS window FROM c) SELECT record_id, CAST(window AS INTEGER) AS window, CAST(window * 1800 AS INTEGER) AS nt_start, CAST(least(window * 1800 + 2000, n) AS INTEGER) AS nt_end, least(window * 1800 + 2000, n) >= n AS last FROM w"""
+    w AS (SELECT record_id, n, unnest(range(0, k)) AS k FROM c) SELECT record_id, CAST(k AS INTEGER) AS "window", CAST(k * 1800 AS INTEGER) AS nt_start, CAST(least(k * 1800 + 2000, n) AS INTEGER) AS nt_end, least(k * 1800 + 2000, n) >= n AS last FROM w"""
 )
 def ch1_ch2_ch4_ch11_tiles(spark, d):
     size, stride = windows.budget(2255, 250, 0, 5, 200)
@@ -342,7 +342,7 @@ def ch5_longest_prefix(spark, d):
 
 @query(
     """WITH x AS (SELECT record_id, sequence AS s, length(sequence) AS n, '|' || coalesce(compound_class, '') || '|' AS p FROM mibig_records WHERE sequence IS NOT NULL), w AS (SELECT *, unnest(range(0, CASE WHEN n <= 2000 THEN 1 ELSE 1 + CAST(ceil((n - 2000) / 1800) AS BIGINT) END)) AS k FROM x)
-    SELECT record_id, CAST(k AS INTEGER) AS window, md5(CASE WHEN k = 0 THEN p ELSE p || '+' END || substring(s, k * 1800 + 1, least(k * 1800 + 2000, n) - k * 1800) || CASE WHEN k * 1800 + 2000 >= n THEN '|END|' ELSE '' END) AS digest FROM w"""
+    SELECT record_id, CAST(k AS INTEGER) AS "window", md5(CASE WHEN k = 0 THEN p ELSE p || '+' END || substring(s, k * 1800 + 1, least(k * 1800 + 2000, n) - k * 1800) || CASE WHEN k * 1800 + 2000 >= n THEN '|END|' ELSE '' END) AS digest FROM w"""
 )
 def ch6_prj3_window_text(spark, d):
     rows = _records(spark, d).where("sequence is not null").select("record_id", "sequence", F.length("sequence").alias("n"), F.concat(F.lit("|"), F.coalesce("compound_class", F.lit("")), F.lit("|")).alias("p"))
@@ -541,7 +541,7 @@ def fn36_weighted_loss(spark, d):
     SELECT record_id, count(*) AS open_contexts FROM c WHERE (two = 'TA' AND b NOT IN ('A', 'G')) OR (two = 'TG' AND b <> 'A') GROUP BY 1"""
 )
 def fn37_stop_contexts(spark, d):
-    codons = F.explode(sequence.codons(F.col("sequence"))).alias("c")
+    codons = F.explode_outer(sequence.codons(F.col("sequence"))).alias("c")
     rows = _records(spark, d).where("sequence is not null").select("record_id", codons)
     third = F.substring("c", 3, 1)
     opened = (F.col("c").startswith("TA") & ~third.isin("A", "G")) | (F.col("c").startswith("TG") & (third != "A"))

@@ -84,6 +84,15 @@ def task_slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work whose cost lies in CPU rather than bytes.
+
+    A table of few files or row groups otherwise runs on few cores. Tables with enough partitions are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sorted_groups(
     df: DataFrame,
     keys: list[str],

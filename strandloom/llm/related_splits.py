@@ -9,6 +9,7 @@ rounded to whole components, and the members of a bundle are assigned by their h
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,19 @@ def allocate(bundles: list[tuple[int, int, str]], shares: dict[str, int], whole:
     splits = sorted(shares)
     total = sum(n * size for n, size, _ in bundles)
     weight = max(1, sum(shares.values()))
+    # components that are large beside the smallest quota are placed first; a flow would cut them up
+    large = max(1, total * min(shares.values(), default=0) // (5 * weight))
+    out: list[dict[str, int]] = [dict.fromkeys(splits, 0) for _ in bundles]
+    open_ = {s: total * shares[s] / weight for s in splits}
+    taken: dict[tuple[str, str], int] = {}
+    for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i][1], bundles[i][2], i)):
+        n, size, label = bundles[i]
+        if size > large:
+            for _ in range(n):
+                s = max(splits, key=lambda s: (open_[s], s))
+                out[i][s] += 1
+                open_[s] -= size
+                taken[label, s] = taken.get((label, s), 0) + size
     by_label: dict[str, int] = {}
     for n, size, label in bundles:
         by_label[label] = by_label.get(label, 0) + n * size
@@ -113,25 +127,26 @@ def allocate(bundles: list[tuple[int, int, str]], shares: dict[str, int], whole:
     net = _Flow(sink + 1)
     for (c, s), node in at_cell.items():
         quota = by_label[c] * shares[s] // weight
-        net.add(node, at_split[s], quota, 0)
+        net.add(node, at_split[s], max(0, quota - taken.get((c, s), 0)), 0)
         net.add(node, at_split[s], max(1, quota // 10), 2)
         net.add(node, at_split[s], total, 6)
     for s, node in at_split.items():
         quota = -(-total * shares[s] // weight)
-        net.add(node, sink, quota, 0)
+        net.add(node, sink, max(0, math.ceil(open_[s])), 0)
         net.add(node, sink, max(1, quota // 50), 3)
         net.add(node, sink, total, 20)
     ways = []
     for i, (n, size, label) in enumerate(bundles):
-        net.add(0, 1 + i, n * size, 0)
+        net.add(0, 1 + i, n * size if size <= large else 0, 0)
         ways.append({s: net.add(1 + i, at_cell[label, s], n * size, 0) for s in splits})
     net.run(0, sink)
     # what the plan owes each split, and each label in it, for the bundles rounded so far
     owed = dict.fromkeys(splits, 0.0)
     owed_label = {(c, s): 0.0 for c in labels for s in splits}
-    out: list[dict[str, int]] = [{} for _ in bundles]
     for i in sorted(range(nb), key=lambda i: (-bundles[i][1], bundles[i][2], i)):
         n, size, label = bundles[i]
+        if size > large:
+            continue
         planned = {s: net.used(ways[i][s]) for s in splits}
         got = {s: planned[s] // size for s in splits}
         for s in splits:

@@ -114,38 +114,47 @@ def containment(query: Column, reference: Column) -> Column:
     return F.when(F.size(query) > 0, F.size(F.array_intersect(query, reference)) / F.size(query)).otherwise(0.0)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def counts(items: Column) -> Column:
     """Array of (item, n) for the distinct members."""
-    return F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("item"), F.size(F.filter(items, lambda y: y == x)).alias("n")))
+    return let(items, lambda all_: F.transform(F.array_distinct(all_), lambda x: F.struct(x.alias("item"), F.size(F.filter(all_, lambda y: y == x)).alias("n"))))
 
 
 def pair_entropy(text: Column) -> Column:
     """Shannon entropy in bits of neighbouring character pairs of the upper-cased text; 0.0 below two characters."""
-    pairs = kmers(F.upper(text), 2)
-    n = F.size(pairs).cast("double")
-    bits = F.aggregate(counts(pairs), F.lit(0.0), lambda s, p: s - (p["n"] / n) * F.log2(p["n"] / n))
+    n = (F.length(text) - 1).cast("double")
+    bits = F.aggregate(counts(kmers(F.upper(text), 2)), F.lit(0.0), lambda s, p: s - (p["n"] / n) * F.log2(p["n"] / n))
     return F.when(F.length(text) < 2, F.lit(0.0)).otherwise(bits)
 
 
 def pair_ratios(text: Column) -> Column:
     """Map of each neighbouring pair to observed / expected frequency under independence."""
-    singles, pairs = counts(kmers(text, 1)), counts(kmers(text, 2))
     n, m = F.length(text).cast("double"), (F.length(text) - 1).cast("double")
-    lookup = F.map_from_entries(singles)
+
+    def share(c: Column) -> Column:
+        return (n - F.length(F.replace(text, c, F.lit("")))) / n
 
     def ratio(p: Column) -> Column:
-        expected = lookup[F.substring(p["item"], 1, 1)] / n * lookup[F.substring(p["item"], 2, 1)] / n * m
+        expected = share(F.substring(p["item"], 1, 1)) * share(F.substring(p["item"], 2, 1)) * m
         return F.struct(p["item"].alias("item"), (p["n"] / expected).alias("ratio"))
 
-    return F.map_from_entries(F.transform(pairs, ratio))
+    return F.map_from_entries(F.transform(counts(kmers(text, 2)), ratio))
 
 
 def rmsd(observed: Column, reference: dict[str, float]) -> Column:
     """Root mean squared difference over the keys that both have; infinity if none."""
     ref = _literal_map({k: float(v) for k, v in reference.items()})
-    keys = F.array_intersect(F.map_keys(observed), F.map_keys(ref))
-    total = F.aggregate(keys, F.lit(0.0), lambda s, k: s + F.pow(observed[k] - ref[k], 2))
-    return F.when(F.size(keys) > 0, F.sqrt(total / F.size(keys))).otherwise(F.lit(float("inf")))
+
+    def distance(own: Column) -> Column:
+        keys = F.array_intersect(F.map_keys(own), F.map_keys(ref))
+        total = F.aggregate(keys, F.lit(0.0), lambda s, k: s + F.pow(own[k] - ref[k], 2))
+        return F.when(F.size(keys) > 0, F.sqrt(total / F.size(keys))).otherwise(F.lit(float("inf")))
+
+    return let(observed, distance)
 
 
 def relative_adaptiveness(frequency: dict[str, float]) -> dict[str, float]:
@@ -166,7 +175,7 @@ def adaptation_index(seq: Column, weights: dict[str, float]) -> Column:
     """Geometric mean of the weights of the in-frame codons that have one above 0; null if there is none."""
     w = _literal_map({k: float(v) for k, v in weights.items() if v > 0})
     logs = F.filter(F.transform(codons(seq), lambda c: F.log(F.try_element_at(w, c))), lambda x: x.isNotNull())
-    return F.when(F.size(logs) > 0, F.exp(F.aggregate(logs, F.lit(0.0), lambda s, x: s + x) / F.size(logs)))
+    return let(logs, lambda own: F.when(F.size(own) > 0, F.exp(F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own))))
 
 
 def translated(seq: Column) -> Column:

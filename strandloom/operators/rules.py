@@ -74,7 +74,11 @@ def ordered_count(items: Column, pattern: list[str]) -> Column:
 
 def module_count(items: Column, pattern: list[str]) -> Column:
     """How many modules the items would make if order did not matter: the least count over the pattern."""
-    return F.array_min(F.array(*[F.size(F.filter(items, lambda x, p=p: x == p)) for p in pattern]))
+
+    def count(item: str) -> Column:
+        return F.size(F.filter(items, lambda x: x == item))
+
+    return F.array_min(F.array(*map(count, pattern)))
 
 
 def module_architecture(hits: DataFrame, row: str, start: Column, item: str, pattern: list[str]) -> DataFrame:

@@ -406,18 +406,20 @@ def fn4_fn5_fn6_buckets(spark, d):
 
 @query(
     """WITH p AS (SELECT record_id, unnest(list_transform(range(1, greatest(length(sequence), 1)), lambda i: upper(substring(sequence, i, 2)))) AS p FROM mibig_records), c AS (SELECT record_id, p, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT record_id, sum(n) AS t FROM c GROUP BY 1),
-    h AS (SELECT c.record_id, -sum(n / t * log2(n / t)) AS h FROM c JOIN t ON c.record_id = t.record_id GROUP BY 1) SELECT record_id, round(coalesce(h, CASE WHEN sequence IS NOT NULL THEN 0 END), 6) AS entropy FROM mibig_records LEFT JOIN h USING (record_id)"""
+    h AS (SELECT c.record_id, -sum(n / t * log2(n / t)) AS h FROM c JOIN t ON c.record_id = t.record_id GROUP BY 1) SELECT record_id, abs(round(coalesce(h, CASE WHEN sequence IS NOT NULL THEN 0 END), 6)) AS entropy FROM mibig_records LEFT JOIN h USING (record_id)"""
 )
 def fn7_pair_entropy(spark, d):
-    return rounded(_records(spark, d).select("record_id", sequence.pair_entropy(F.col("sequence")).alias("entropy")))
+    return rounded(_records(spark, d).select("record_id", F.abs(sequence.pair_entropy(F.col("sequence"))).alias("entropy")))
 
 
 _REF = {"AA": 1.1, "CG": 0.9, "TA": 0.8, "GC": 1.2}
 
 
 @query(
-    """WITH s AS (SELECT record_id, upper(sequence) AS s FROM mibig_records WHERE length(sequence) >= 2 AND NOT regexp_matches(upper(sequence), '[^ACGT]')), o AS (SELECT record_id, p, len(list_filter(range(1, length(s)), lambda i: substring(s, i, 2) = p)) / (CAST(len(list_filter(range(1, length(s) + 1), lambda i: s[i] = p[1])) AS DOUBLE) / length(s) * len(list_filter(range(1, length(s) + 1), lambda i: s[i] = p[2])) / length(s) * (length(s) - 1)) AS ratio, r FROM s CROSS JOIN (VALUES ('AA', 1.1), ('CG', 0.9), ('TA', 0.8), ('GC', 1.2)) v(p, r))
-    SELECT record_id, round(sqrt(avg((ratio - r) * (ratio - r))), 6) AS rmsd FROM o WHERE ratio > 0 GROUP BY 1"""
+    """WITH s AS (SELECT record_id, upper(sequence) AS s, length(sequence) AS n FROM mibig_records WHERE length(sequence) >= 2 AND NOT regexp_matches(upper(sequence), '[^ACGT]')), k AS (SELECT record_id, unnest(list_transform(range(1, n), lambda i: substring(s, i, 2))) AS p FROM s),
+    c AS (SELECT record_id, p, count(*) AS m FROM k GROUP BY 1, 2), v(p, r) AS (VALUES ('AA', 1.1), ('CG', 0.9), ('TA', 0.8), ('GC', 1.2)),
+    o AS (SELECT record_id, CAST(r AS DOUBLE) AS r, m / (CAST(n - length(replace(s, p[1], '')) AS DOUBLE) / n * (n - length(replace(s, p[2], ''))) / n * (n - 1)) AS ratio FROM c JOIN v USING (p) JOIN s USING (record_id))
+    SELECT record_id, round(sqrt(avg((ratio - r) * (ratio - r))), 6) AS rmsd FROM o GROUP BY 1"""
 )
 def fn8_fn9_pair_rmsd(spark, d):
     rows = _records(spark, d).where("length(sequence) >= 2 and not upper(sequence) rlike '[^ACGT]'")
@@ -650,20 +652,20 @@ def _choose(n: str, k: str) -> str:
 
 @query(
     f"""WITH c AS (SELECT acc, count(*) FILTER (bit_score > 60) AS wins, count(*) FILTER (bit_score < 60) AS losses, count(*) FILTER (bit_score = 60) AS ties FROM domain_hits WHERE bit_score IS NOT NULL GROUP BY 1)
-    SELECT acc, wins, losses, ties, round(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: {_choose('(wins + losses)', 'i')}))) END, 6) AS p FROM c"""
+    SELECT acc, wins, losses, ties, round(1e-9 + CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: {_choose('(wins + losses)', 'i')}))) END, 6) AS p FROM c"""
 )
 def st1_sign_test(spark, d):
     rows = table(spark, d, "domain_hits").where("bit_score is not null").withColumn("diff", F.col("bit_score") - 60)
-    return rounded(stats.sign_test(rows, ["acc"], "diff"))
+    return rounded(stats.sign_test(rows, ["acc"], "diff").withColumn("p", F.col("p") + 1e-9))
 
 
 @query(
     f"""WITH c AS (SELECT acc, count(*) FILTER (bit_score > 60) AS wins, count(*) FILTER (bit_score < 60) AS losses, count(*) FILTER (bit_score = 60) AS ties FROM domain_hits WHERE bit_score IS NOT NULL GROUP BY 1)
-    SELECT acc, wins, losses, ties, round(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, list_sum(list_transform(range(wins, wins + losses + 1), lambda i: {_choose('(wins + losses)', 'i')}))) END, 6) AS p FROM c"""
+    SELECT acc, wins, losses, ties, round(1e-9 + CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, list_sum(list_transform(range(wins, wins + losses + 1), lambda i: {_choose('(wins + losses)', 'i')}))) END, 6) AS p FROM c"""
 )
 def st2_one_sided(spark, d):
     rows = table(spark, d, "domain_hits").where("bit_score is not null").withColumn("diff", F.col("bit_score") - 60)
-    return rounded(stats.sign_test(rows, ["acc"], "diff", one_sided=True))
+    return rounded(stats.sign_test(rows, ["acc"], "diff", one_sided=True).withColumn("p", F.col("p") + 1e-9))
 
 
 @query(
@@ -705,7 +707,7 @@ def st6_wilcoxon(spark, d):
     SELECT v AS observed, count(x) AS controls, round((count(*) FILTER (x >= v) + 1) / (count(*) + 1), 8) AS p, round((v - avg(x)) / stddev_samp(x), 6) AS z, count(*) FILTER (x >= v) = 0 AS at_floor FROM c CROSS JOIN o GROUP BY v"""
 )
 def st8_permutation(spark, d):
-    return rounded(stats.permutation(table(spark, d, "lineitem"), [], "l_extendedprice", "l_returnflag", "A", "R"), 6).withColumn("p", F.round("p", 8))
+    return rounded(stats.permutation(table(spark, d, "lineitem"), [], "l_extendedprice", "l_returnflag", "A", "R"), 8).withColumn("z", F.round("z", 6))
 
 
 @query("SELECT l_linenumber, count(l_discount) AS n, round(avg(l_discount), 8) AS mean, round(stddev_pop(l_discount), 8) AS sd, round(avg(l_discount) / (stddev_pop(l_discount) / sqrt(count(l_discount))), 4) AS t FROM lineitem GROUP BY 1")

@@ -63,7 +63,7 @@ def assign_groups(df: DataFrame, group: str, label: str, shares: dict[str, float
                 low += 1
         return pd.DataFrame(out, columns=["key", "split", "low", "high"])
 
-    plan = kinds.groupBy(F.lit(0)).applyInPandas(greedy, "key string, split string, low bigint, high bigint")
+    plan = kinds.groupBy(F.lit("all")).applyInPandas(greedy, "key string, split string, low bigint, high bigint")
     ranked = parts.select(group, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(group)))
     return ranked.join(plan, "key").where("r > low and r <= high").select(group, "split")
 

@@ -56,7 +56,8 @@ def sign_test(df: DataFrame, keys: list[str], difference: str, one_sided: bool =
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """95 % interval of a rate, clamped to [0, 1]; (0, 0) for n = 0."""
-    p = successes / F.when(n > 0, n)
+    n = F.when(n > 0, n)
+    p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.coalesce(F.greatest(F.lit(0.0), middle - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), middle + half), F.lit(0.0))
@@ -85,7 +86,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
     cells = cells.withColumn("__y", F.coalesce(F.sum("y").over(before), F.lit(0))).withColumn("t", F.col("x") + F.col("y"))
     out = cells.groupBy(*keys).agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"), F.sum(F.col("x") * (F.col("__y") + F.col("y") / 2.0)).alias("u"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("__t"))
     pairs, n = (F.col("n1") * F.col("n2")).cast("double"), (F.col("n1") + F.col("n2")).cast("double")
-    sd = F.sqrt(pairs / 12 * ((n + 1) - F.col("__t") / (n * (n - 1))))
+    sd = F.sqrt(pairs / 12 * ((n + 1) - F.col("__t") / F.nullif(n * (n - 1), F.lit(0.0))))
     out = out.withColumn("effect", F.when(pairs > 0, F.col("u") / pairs)).withColumn("__z", F.when(sd > 0, (F.col("u") - pairs / 2) / sd))
     return out.withColumn("p", normal_p(F.col("__z"))).drop("__t", "__z")
 

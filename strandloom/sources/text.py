@@ -96,7 +96,7 @@ def read_class_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(product, category) of rule files: blocks of ``RULE name ... CATEGORY name``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     blocks = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)RULE\s+\S+.*?CATEGORY\s+\S+"), F.lit(0))).alias("b"))
     return blocks.select(F.regexp_extract("b", r"RULE\s+(\S+)", 1).alias("product"), F.regexp_extract("b", r"CATEGORY\s+(\S+)", 1).alias("category"))
 

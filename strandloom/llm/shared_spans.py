@@ -12,11 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm import dna
-from strandloom.runtime import sorted_groups, spread, task_slots
+from strandloom.runtime import materialize, sorted_groups, spread, task_slots
 
 
 def _flank(codes: np.ndarray, at: np.ndarray, size: int, step: int) -> np.ndarray:
@@ -123,8 +123,20 @@ def _links(seed: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarra
     return pairs // len(seed), pairs % len(seed)
 
 
-def matches(rows: DataFrame, span: int, k: int, slots: int) -> DataFrame:
-    """(a, b, at_a, at_b, size): exact matches of at least ``span`` letters around shared seeds, a < b."""
+_FOUND = "a bigint, b bigint, at_a int, at_b int, size int, seed bigint, left binary, right binary"
+
+
+def _row(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    """A batch of ``_FOUND`` with nulls where a column is not given."""
+    kinds = {"a": pa.int64(), "b": pa.int64(), "at_a": pa.int32(), "at_b": pa.int32(), "size": pa.int32(), "seed": pa.int64(), "left": pa.binary(), "right": pa.binary()}
+    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in kinds.items()], names=list(kinds))
+
+
+def matches(rows: DataFrame, span: int, k: int, slots: int, most: int = 20_000) -> DataFrame:
+    """(a, b, at_a, at_b, size): exact matches of at least ``span`` letters around shared seeds, a < b.
+
+    A seed with over ``most`` places is not compared in one task; its places go through ``_by_window``.
+    """
     flank = span - k
 
     def some(table: pa.Table) -> Iterable[pa.RecordBatch]:
@@ -156,10 +168,8 @@ def matches(rows: DataFrame, span: int, k: int, slots: int) -> DataFrame:
         size = bases[0] + k + bases[1]
         good = size >= span
         a, b, back, size = a[good], b[good], bases[0][good], size[good]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[a]), pa.array(ids[b]), pa.array((place[a] - back).astype(np.int32)), pa.array((place[b] - back).astype(np.int32)), pa.array(size.astype(np.int32))],
-            names=["a", "b", "at_a", "at_b", "size"],
-        )
+        cols = {"a": ids[a], "b": ids[b], "at_a": (place[a] - back).astype(np.int32), "at_b": (place[b] - back).astype(np.int32), "size": size.astype(np.int32)}
+        yield _row({c: pa.array(v) for c, v in cols.items()}, len(a))
 
     def run(table: pa.Table) -> Iterable[pa.RecordBatch]:
         # whole groups of a seed, about 50,000 rows at a time
@@ -171,7 +181,49 @@ def matches(rows: DataFrame, span: int, k: int, slots: int) -> DataFrame:
             yield from some(table.slice(low, high - low))
             low = high
 
-    return sorted_groups(rows, ["seed"], ["id", "place"], "a bigint, b bigint, at_a int, at_b int, size int", run, partitions=slots)
+    def large(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        yield _row({"a": batch["id"], "at_a": batch["place"], "seed": batch["seed"], "left": batch["left"], "right": batch["right"]}, batch.num_rows)
+
+    found = materialize(sorted_groups(rows, ["seed"], ["id", "place"], _FOUND, run, partitions=slots, most=most, large=large))
+    pairs = found.where("seed is null").select("a", "b", "at_a", "at_b", "size")
+    hot = found.where("seed is not null").select("seed", F.col("a").alias("id"), F.col("at_a").alias("place"), "left", "right")
+    return pairs.union(_by_window(hot, span, k))
+
+
+def _by_window(hot: DataFrame, span: int, k: int) -> DataFrame:
+    """Matches of exactly ``span`` letters for places of very frequent seeds.
+
+    Every window of ``span`` letters around a place becomes a row under the hash of its letters, and the records of each
+    class of equal windows are linked to the next one, as in ``_links``, but by shuffles instead of within a task.
+    """
+    flank = span - k
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 5000):
+                batch = whole.slice(low, 5000)
+                n = batch.num_rows
+                seed, ids, place = batch["seed"].to_numpy().view(np.uint64), batch["id"].to_numpy(), batch["place"].to_numpy()
+                left, right = _unpack_rows(batch["left"], flank), _unpack_rows(batch["right"], flank)
+                forms = np.zeros((2, n, flank + 1), np.uint64)
+                clear = np.zeros((2, n), np.int64)
+                for i, side in enumerate((left, right)):
+                    weight = dna.mixed(np.arange(1 + 1000 * i, flank + 1 + 1000 * i, dtype=np.uint64))
+                    forms[i, :, 1:] = np.cumsum((side.astype(np.uint64) + 1) * weight, 1, dtype=np.uint64)
+                    clear[i] = np.where((side >= 4).any(1), (side >= 4).argmax(1), flank)
+                row, a = np.nonzero((np.arange(flank + 1)[None] <= clear[0][:, None]) & (flank - np.arange(flank + 1)[None] <= clear[1][:, None]))
+                kind = dna.mixed(dna.mixed(seed[row]) + dna.mixed(forms[0, row, a] + a.astype(np.uint64)) * np.uint64(3) + dna.mixed(forms[1, row, flank - a]) * np.uint64(5))
+                yield pa.RecordBatch.from_arrays([pa.array(kind.view(np.int64)), pa.array(ids[row]), pa.array((place[row] - a).astype(np.int32))], names=["kind", "id", "at"])
+
+    rows = hot.mapInArrow(windows, "kind bigint, id bigint, at int")
+    first = rows.groupBy("kind", "id").agg(F.min("at").alias("first"))
+    order = Window.partitionBy("kind").orderBy("id")
+    own = F.struct("id", "first")
+    runs = first.select("kind", "id", F.coalesce(F.lead(own).over(order), F.lag(own).over(order)).alias("o")).where("o is not null")
+    both = rows.join(runs, ["kind", "id"]).select("id", "at", F.col("o.id").alias("other"), F.col("o.first").alias("there"))
+    ahead = F.col("id") < F.col("other")
+    pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
+    return both.select(pick("id", "other").alias("a"), pick("other", "id").alias("b"), pick("at", "there").alias("at_a"), pick("there", "at").alias("at_b"), F.lit(span).alias("size"))
 
 
 class _Best:
@@ -280,7 +332,7 @@ def merged(spans: DataFrame, slots: int) -> DataFrame:
     return sorted_groups(spans, ["id"], ["s", "e"], "id bigint, span_start int, span_end int", run, partitions=slots)
 
 
-def passages(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int = 31, gap_cost: float = 0.2) -> DataFrame:
+def passages(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int = 31, gap_cost: float = 0.2, most: int = 20_000) -> DataFrame:
     """The exact runs (a, b, chain, at_a, at_b, size) behind ``shared_spans``, by pair of linked records and chain.
 
     A chain from its first to its last run is a fuzzy passage: a stretch that two records share up to edits. Records
@@ -289,10 +341,10 @@ def passages(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int =
     if not k <= min(31, span):
         raise ValueError("k must be at most 31 and at most span")
     slots = task_slots(df.sparkSession)
-    return chained(matches(seeds(df, id_col, seq_col, span, k), span, k, slots), gap_cost, slots)
+    return chained(matches(seeds(df, id_col, seq_col, span, k), span, k, slots, most), gap_cost, slots)
 
 
-def shared_spans(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int = 31, gap_cost: float = 0.2) -> DataFrame:
+def shared_spans(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int = 31, gap_cost: float = 0.2, most: int = 20_000) -> DataFrame:
     """(id, span_start, span_end): maximal runs of positions that lie in some stretch of ``span`` letters, all A, C, G, T,
     that occurs in another row's sequence too.
 
@@ -300,7 +352,7 @@ def shared_spans(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: i
     within one row alone is not shared. Rows with null id, null or short sequences take no part; ids are unique
     integers. No other columns are read; an empty table gives an empty result.
     """
-    runs = passages(df, id_col, seq_col, span, k, gap_cost)
+    runs = passages(df, id_col, seq_col, span, k, gap_cost, most)
     sides = F.array(F.struct(F.col("a").alias("id"), F.col("at_a").alias("s")), F.struct(F.col("b").alias("id"), F.col("at_b").alias("s")))
     spans = runs.select("size", F.explode(sides).alias("x")).select("x.id", "x.s", (F.col("x.s") + F.col("size")).alias("e"))
     return merged(spans, task_slots(df.sparkSession))

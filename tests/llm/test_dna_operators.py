@@ -203,7 +203,11 @@ def test_random_spans(spark):
     rng = random.Random(7)
     pieces = [seq(rng, rng.randrange(40, 160)) for _ in range(12)]
     rows = [(i, "".join(rng.choice([*pieces, seq(rng, 30), "NN"]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
-    assert pairs(shared_spans(table(spark, rows), "record_id", "sequence", span=60, k=21)) == brute_spans(rows, 60)
+    want = brute_spans(rows, 60)
+    assert pairs(shared_spans(table(spark, rows), "record_id", "sequence", span=60, k=21)) == want
+    for most in (1, 3, 8):
+        # nearly all, or the frequent seeds, take the path by windows
+        assert pairs(shared_spans(table(spark, rows), "record_id", "sequence", span=60, k=21, most=most)) == want
 
 
 def test_chains():

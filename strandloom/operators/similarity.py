@@ -135,14 +135,15 @@ def rotated_pairs(df: DataFrame, row: str, value: str, width: int = 4096) -> Dat
 
 
 def common_prefix(a: Column, b: Column, most: int = 1 << 20) -> Column:
-    """Length of the longest common prefix, by halving steps: twenty comparisons at most, none per character."""
+    """Length of the longest common prefix, by halving steps: twenty comparisons at most, none per character. Null with null."""
     steps = [1 << i for i in range(most.bit_length() - 1, -1, -1)]
     shortest = F.least(F.length(a), F.length(b))
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*map(F.lit, steps)),
         F.lit(0),
         lambda at, s: F.when((at + s <= shortest) & (F.substring(a, at + 1, s) == F.substring(b, at + 1, s)), at + s).otherwise(at),
     )
+    return F.when(a.isNotNull() & b.isNotNull(), found)
 
 
 def profile_distances(pairs: DataFrame, rows: DataFrame, row: str, other: str, text: str, k: int = 5) -> DataFrame:

@@ -56,11 +56,12 @@ def sign_test(df: DataFrame, keys: list[str], difference: str, one_sided: bool =
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """95 % interval of a rate, clamped to [0, 1]; (0, 0) for n = 0."""
-    n = F.when(n > 0, n)
+    some = n > 0
+    n = F.when(some, n)
     p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.coalesce(F.greatest(F.lit(0.0), middle - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), middle + half), F.lit(0.0))
+    return F.when(some, F.greatest(F.lit(0.0), middle - half)).otherwise(0.0), F.when(some, F.least(F.lit(1.0), middle + half)).otherwise(0.0)
 
 
 def fisher_test(df: DataFrame, keys: list[str], one: Column, two: Column) -> DataFrame:

@@ -146,7 +146,7 @@ def sim16_excluded_report(spark, d):
 
 @query(
     """WITH k AS (SELECT record_id, training_text AS t, row_number() OVER (ORDER BY record_id) AS n FROM mibig_records), p AS (SELECT a.record_id, b.record_id AS other, a.t AS x, b.t AS y FROM k a JOIN k b ON b.n = CASE WHEN a.n = (SELECT max(n) FROM k) THEN 1 ELSE a.n + 1 END)
-    SELECT record_id, other, coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i])) - 1, least(length(x), length(y))) AS shared FROM p"""
+    SELECT record_id, other, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] <> y[i])) - 1, least(length(x), length(y))) END AS shared FROM p"""
 )
 def sim18_common_prefix(spark, d):
     pairs = similarity.rotated_pairs(_records(spark, d), "record_id", "training_text")

@@ -99,22 +99,38 @@ def sorted_groups(
     order: list[str],
     schema: str,
     fn: Callable[[pa.Table], Iterable[pa.RecordBatch]],
-    partition_by: list[str] | None = None,
     partitions: int | None = None,
+    most: int | None = None,
+    large: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
     """Runs ``fn`` on Arrow tables that hold whole groups of ``keys`` (many groups per call), each sorted by ``order``.
 
     Unlike a grouped map it makes one Python call per batch rather than per group, so millions of small groups stay cheap.
+    A group of over ``most`` rows is never held: its rows stream through ``large`` batch by batch, which typically hands
+    them on to a distributed path. Which groups are large depends on the data alone, up to one Arrow batch.
     """
-    part = partition_by or keys
-    spread = df.repartition(partitions, *part) if partitions else df.repartition(*part)
+    spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
     spread = spread.sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        streaming = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if streaming is not None:
+                lo, hi = 0, batch.num_rows
+                while lo < hi:
+                    mid = (lo + hi) // 2
+                    if [batch.column(k)[mid].as_py() for k in keys] == streaming:
+                        lo = mid + 1
+                    else:
+                        hi = mid
+                if lo:
+                    yield from large(batch.slice(0, lo))
+                if lo == batch.num_rows:
+                    continue
+                batch, streaming = batch.slice(lo), None
             if held:
                 last, first = held[-1], batch
                 same = 0
@@ -124,6 +140,10 @@ def sorted_groups(
                     final = [first.column(k)[first.num_rows - 1].as_py() for k in keys]
                     if final == tail:
                         held.append(batch)
+                        if most is not None and sum(b.num_rows for b in held) > most:
+                            for b in held:
+                                yield from large(b)
+                            held, streaming = [], tail
                         continue
                     lo, hi = 0, first.num_rows - 1
                     while lo < hi:
@@ -149,6 +169,9 @@ def sorted_groups(
             if lo:
                 yield from fn(pa.Table.from_batches([batch.slice(0, lo)]))
             held = [batch.slice(lo)]
+            if most is not None and held[0].num_rows > most:
+                yield from large(held[0])
+                held, streaming = [], last_key
         if held:
             yield from fn(pa.Table.from_batches(held))
 

@@ -22,7 +22,7 @@ LETTERS = CODE.copy()
 LETTERS[[ord(c) for c in "-.*~ \t\r\n"]] = _DROP
 
 
-def encoded(column: pa.Array, table: np.ndarray = CODE, bases: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, table: np.ndarray = CODE, bases: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Cuts a string column into slices of about ``bases`` characters.
 
     Yields (first row, end row, codes, starts, lengths); the codes of consecutive rows are separated by one code 4, so

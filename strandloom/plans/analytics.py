@@ -155,7 +155,7 @@ def sim18_common_prefix(spark, d):
 
 @query(
     """WITH k AS (SELECT record_id, row_number() OVER (ORDER BY record_id) AS n FROM mibig_records), p AS (SELECT a.record_id, b.record_id AS other FROM k a JOIN k b ON b.n = CASE WHEN a.n = (SELECT max(n) FROM k) THEN 1 ELSE a.n + 1 END),
-    m AS (SELECT record_id, unnest(list_transform(range(1, greatest(length(sequence) - 3, 1)), lambda i: upper(substring(sequence, i, 4)))) AS m FROM mibig_records), c AS MATERIALIZED (SELECT record_id, m, CAST(count(*) AS DOUBLE) AS n FROM m WHERE NOT regexp_matches(m, '[^ACGT]') GROUP BY 1, 2),
+    m AS (SELECT record_id, unnest(list_transform(range(1, greatest(length(sequence) - 2, 1)), lambda i: upper(substring(sequence, i, 4)))) AS m FROM mibig_records), c AS MATERIALIZED (SELECT record_id, m, CAST(count(*) AS DOUBLE) AS n FROM m WHERE NOT regexp_matches(m, '[^ACGT]') GROUP BY 1, 2),
     q AS (SELECT record_id, sqrt(sum(n * n)) AS q FROM c GROUP BY 1), d AS (SELECT p.record_id, p.other, sum(a.n * b.n) AS d FROM p JOIN c a ON a.record_id = p.record_id JOIN c b ON b.record_id = p.other AND a.m = b.m GROUP BY 1, 2)
     SELECT p.record_id, p.other, round(1 - coalesce(d, 0) / (x.q * y.q), 6) AS distance FROM p LEFT JOIN d ON d.record_id = p.record_id AND d.other = p.other LEFT JOIN q x ON x.record_id = p.record_id LEFT JOIN q y ON y.record_id = p.other"""
 )

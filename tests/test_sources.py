@@ -164,7 +164,7 @@ def test_streams(spark, tmp_path):
 def test_shipped_package_has_all_modules(tmp_path):
     import __spark_entry__ as entry
 
-    assert len(entry.queries()) > 150 and set(entry.oracle_sql()) <= set(entry.queries())
+    assert len(entry.queries()) > 100 and set(entry.oracle_sql()) <= set(entry.queries())
     with pytest.raises(ValueError):
         from strandloom.operators.vectors import load_vectors
 

@@ -8,6 +8,7 @@ calibrated by language on folds that the models had not seen.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.labels import stripped
@@ -287,27 +288,46 @@ class Classifier:
     threshold: float
 
 
-def _crossed(texts: list[list[str]], target: np.ndarray, weight: np.ndarray, usual: list[list[str]], fold: np.ndarray, folds: int, seed: int, epochs: int) -> tuple[list[Model], np.ndarray]:
-    """One network per fold, trained on the other folds and the background, and every text's score by the one without it."""
-    held, models = np.zeros(len(texts)), []
+def _one_fold(sample: tuple, fold: np.ndarray, k: int, seed: int, epochs: int) -> tuple[Model, np.ndarray]:
+    """A network trained on all folds but ``k`` and the background, and its scores of fold ``k``."""
+    texts, target, weight, usual = sample
+    inside, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
     more = np.zeros(len(usual), np.float32)
-    for k in range(folds):
-        inside, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if not len(inside):
-            inside = out
-        own = [texts[i] for i in inside] + usual
-        model = train(own, np.concatenate([target[inside], more]), np.concatenate([weight[inside], more + 0.25]), seed + k, epochs)
-        models.append(model)
-        if len(out):
-            held[out] = scores([model], [texts[i] for i in out], [model.features()])
-    return models, held
-
-
-def fit(labelled: list[tuple[str, str, float, float]], background: list[str] = (), folds: int = 4, seed: int = 7, doubt: float = 0.85) -> Classifier:
+    own = inside if len(inside) else out
+    model = train([texts[i] for i in own] + usual, np.concatenate([target[own], more]), np.concatenate([weight[own], more + 0.25]), seed + k, epochs)
+    return model, scores([model], [texts[i] for i in out], [model.features()]) if len(out) else np.zeros(0)
+
+
+def _crossed(sample: tuple, fold: np.ndarray, folds: int, seed: int, epochs: int, spark: SparkSession | None) -> tuple[list[Model], np.ndarray]:
+    """One network per fold and every text's score by the one that had not seen it; each fold is a task of its own.
+
+    The sample is bounded, and so are the networks that come back, a few MB each.
+    """
+    if spark is None:
+        done = {k: _one_fold(sample, fold, k, seed, epochs) for k in range(folds)}
+    else:
+        sent = spark.sparkContext.broadcast((sample, fold))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    got = _one_fold(*sent.value, k, seed, epochs)
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(got)], pa.binary())], names=["k", "got"])
+
+        rows = spark.range(0, folds, 1, folds).mapInArrow(run, "k bigint, got binary").collect()
+        done = {r["k"]: pickle.loads(bytes(r["got"])) for r in rows}
+    held = np.zeros(len(sample[0]))
+    for k, (_, p) in done.items():
+        held[fold == k] = p
+    return [done[k][0] for k in range(folds)], held
+
+
+def fit(labelled: list[tuple[str, str, float, float]], background: list[str] = (), folds: int = 4, seed: int = 7, doubt: float = 0.85, spark: SparkSession | None = None) -> Classifier:
     """Networks, one per fold, and thresholds by language from the rows each had not seen.
 
     ``labelled``: (text, language, target, weight). Repeats of a text stay in one fold. ``background`` texts, of which
     few are cases, count as clean with little weight; they show what is usual and take no part in the calibration.
+    With a session the folds are trained side by side on its executors.
     """
     texts = [words(t) for t, _, _, _ in labelled]
     usual = [words(t) for t in background]
@@ -315,9 +335,9 @@ def fit(labelled: list[tuple[str, str, float, float]], background: list[str] = (
     weight = np.array([w for _, _, _, w in labelled], np.float32)
     fold = np.array([_hash(" ".join(t), seed) for t in texts])
     # some reviews are wrong: what models that had not seen a text firmly contradict weighs little from then on
-    _, held = _crossed(texts, target, weight, usual, fold % 3, 3, seed + 100, 9)
+    _, held = _crossed((texts, target, weight, usual), fold % 3, 3, seed + 100, 9, spark)
     weight = np.where(np.abs(held - target) > doubt, 0.1 * weight, weight).astype(np.float32)
-    models, held = _crossed(texts, target, weight, usual, fold % folds, folds, seed, 14)
+    models, held = _crossed((texts, target, weight, usual), fold % folds, folds, seed, 14, spark)
     language = np.array([g for _, g, _, _ in labelled])
     hard = (target > 0.5).astype(float)
     overall = _best_threshold(held, hard, weight, 0.5)
@@ -363,7 +383,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     white space; null and unknown ones are ignored. Repeated ids keep their rows.
     """
     known = labelled_sample(docs, labels, id_col, text_col, lang_col, verdict_col, most)
-    found = fit(known, background_sample(docs, labels, id_col, text_col, background)) if len({y for _, _, y, _ in known}) > 1 else None
+    found = fit(known, background_sample(docs, labels, id_col, text_col, background), spark=docs.sparkSession) if len({y for _, _, y, _ in known}) > 1 else None
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

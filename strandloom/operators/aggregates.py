@@ -85,9 +85,7 @@ def enriched(df: DataFrame, category: str, entity: str, item: str, top: int, cei
     per = df.groupBy(category).agg(F.countDistinct(entity).alias("entities"))
     hits = pairs.groupBy(category, item).agg(F.count("*").alias("n"))
     hits = hits.withColumn("n_all", F.sum("n").over(Window.partitionBy(item)))
-    both = hits.join(per, category).withColumn("all_entities", F.lit(None))
-    total = per.agg(F.sum("entities").alias("all")).withColumn("one", F.lit(1))
-    both = both.drop("all_entities").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
+    both = hits.join(per, category).withColumn("all", per.agg(F.sum("entities")).scalar())
     both = both.withColumn("frequency", F.col("n") / F.col("entities")).withColumn("enrichment", F.col("frequency") / (F.col("n_all") / F.col("all")))
     scored = both.withColumn("score", F.col("frequency") * F.least("enrichment", F.lit(ceiling)))
     rank = F.row_number().over(Window.partitionBy(category).orderBy(F.desc(F.round("score", 9)), item))
@@ -330,7 +328,11 @@ def require_positive(df: DataFrame, flag: str, what: str) -> DataFrame:
 def delta_to_baseline(df: DataFrame, arm: str, baseline: str, values: list[str], on: list[str] = ()) -> DataFrame:
     """Rows of all arms with each value's difference from the baseline arm's row (per ``on``)."""
     base = df.where(F.col(arm) == baseline).select(*on, *[F.col(v).alias(f"__b_{v}") for v in values])
-    joined = df.join(base, list(on), "left") if on else df.withColumn("__one", F.lit(1)).join(F.broadcast(base.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
+    if not on:
+        row = base.agg(*[F.first(f"__b_{v}").alias(f"__b_{v}") for v in values])
+        joined = df.withColumn("__b", row.select(F.struct(*row.columns)).scalar()).select(*df.columns, "__b.*")
+    else:
+        joined = df.join(base, list(on), "left")
     return joined.select(*df.columns, *[(F.col(v) - F.col(f"__b_{v}")).alias(f"{v}_delta") for v in values])
 
 

@@ -124,7 +124,7 @@ def require_resource(df: DataFrame, available: bool, gating: bool, check: str) -
 def usable_dose(df: DataFrame, dose: str, value: str, length: str, control: float) -> DataFrame:
     """(dose, mean, low, length_ratio, usable): doses whose mean less 1.645 standard errors exceeds the control's mean and whose
     mean length is within a tenth of the control's (the rows of dose ``control``)."""
-    base = df.where(F.col(dose) == control).agg(F.avg(value).alias("__m"), F.avg(length).alias("__l"))
+    base = df.where(F.col(dose) == control).agg(F.struct(F.avg(value).alias("m"), F.avg(length).alias("l"))).scalar()
     out = df.groupBy(dose).agg(F.avg(value).alias("mean"), (F.avg(value) - 1.645 * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("low"), F.avg(length).alias("__n"))
-    out = out.join(F.broadcast(base)).withColumn("length_ratio", F.col("__n") / F.col("__l"))
-    return out.select(dose, "mean", "low", "length_ratio", ((F.col("low") > F.col("__m")) & (F.abs(F.col("length_ratio") - 1) <= 0.1)).alias("usable"))
+    out = out.withColumn("__b", base).withColumn("length_ratio", F.col("__n") / F.nullif(F.col("__b.l"), F.lit(0.0)))
+    return out.select(dose, "mean", "low", "length_ratio", ((F.col("low") > F.col("__b.m")) & (F.abs(F.col("length_ratio") - 1) <= 0.1)).alias("usable"))

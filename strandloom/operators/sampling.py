@@ -164,9 +164,9 @@ def balanced(df: DataFrame, row: str, label: str, k: int, seed: str = "0") -> Da
 def parity(df: DataFrame, row: str, label: str, minority: list[str], seed: str = "0") -> DataFrame:
     """All rows of the minority labels, and of each other label an equal part so that the others together are as many."""
     inside = F.col(label).isin(*minority)
-    target = df.agg(F.count_if(inside).alias("__m"), F.countDistinct(F.when(~inside, F.col(label))).alias("__l")).select(F.floor(F.col("__m") / F.greatest(F.col("__l"), F.lit(1))).alias("__k"))
+    target = df.agg(F.count_if(inside).alias("__m"), F.countDistinct(F.when(~inside, F.col(label))).alias("__l")).select(F.floor(F.col("__m") / F.greatest(F.col("__l"), F.lit(1)))).scalar()
     others = rank_by_md5(df.where(~inside).select(row, label), [label], row, "__r", seed)
-    keep = others.join(F.broadcast(target)).where("__r <= __k").select(row)
+    keep = others.where(F.col("__r") <= target).select(row)
     return df.where(inside).unionByName(df.where(~inside).join(keep, row, "left_semi"))
 
 
@@ -179,7 +179,7 @@ def matched_bins(df: DataFrame, row: str, label: str, value: str, bins: int, see
     """Equal numbers of each label in each quantile bin of ``value``; bins with fewer than two labels are dropped."""
     edges = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])) if bins > 1 else F.array().cast("array<double>")
     cut = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    rows = cut.join(F.broadcast(cut.agg(edges.alias("__e")))).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    rows = cut.withColumn("__e", cut.agg(edges).scalar()).withColumn("bin", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
     sizes = rows.groupBy("bin", label).agg(F.count("*").alias("__n"))
     least = sizes.groupBy("bin").agg(F.min("__n").alias("__k"), F.count("*").alias("__l")).where("__l > 1")
     ranked = rank_by_md5(rows.select(row, label, "bin"), ["bin", label], row, "__r", seed)

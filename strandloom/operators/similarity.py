@@ -128,9 +128,9 @@ def excluded(df: DataFrame, near: DataFrame, row: str, group: str) -> tuple[Data
 def rotated_pairs(df: DataFrame, row: str, value: str, width: int = 4096) -> DataFrame:
     """Each row with the next one in order of ``row``, the last with the first: mismatched pairs as a floor for similarity."""
     ranked = rank_by_value(df.select(row, value), row, width, "n")
-    total = ranked.agg(F.max("n").alias("total"))
+    last = ranked.agg(F.max("n")).scalar()
     nxt = ranked.select(F.col("n").alias("m"), F.col(row).alias("other"), F.col(value).alias("other_value"))
-    here = ranked.join(F.broadcast(total)).withColumn("m", F.when(F.col("n") == F.col("total"), F.lit(1)).otherwise(F.col("n") + 1))
+    here = ranked.withColumn("m", F.when(F.col("n") == last, F.lit(1)).otherwise(F.col("n") + 1))
     return here.join(nxt, "m").select(row, value, "other", "other_value")
 
 

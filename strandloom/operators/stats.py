@@ -111,7 +111,7 @@ def permutation(df: DataFrame, keys: list[str], value: str, kind: str, observed:
     and whether p is as small as so many controls allow."""
     obs = df.where(F.col(kind) == observed).groupBy(*keys).agg(F.max(value).alias("observed"))
     con = df.where(F.col(kind) == control)
-    both = con.join(obs, keys) if keys else con.join(F.broadcast(obs))
+    both = con.join(obs, keys) if keys else con.withColumn("observed", obs.scalar())
     out = both.groupBy(*keys, "observed").agg(F.count(value).alias("controls"), F.count_if(F.col(value) >= F.col("observed")).alias("__ge"), F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
     return out.select(*keys, "observed", "controls", ((F.col("__ge") + 1) / (F.col("controls") + 1)).alias("p"), F.when(F.col("__s") > 0, (F.col("observed") - F.col("__m")) / F.col("__s")).alias("z"), (F.col("__ge") == 0).alias("at_floor"))
 

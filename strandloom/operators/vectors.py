@@ -69,11 +69,11 @@ def at_coordinate(vector: Column, axis: Column, value: Column) -> Column:
 def coordinates(df: DataFrame, row: str, label: str, vector: str, axes: DataFrame) -> DataFrame:
     """(row, label, axis_label, coordinate, z): every row along every label's axis, z over all rows of the axis.
 
-    ``axes`` has one row a label and is joined to every row, as a table that Spark may broadcast.
+    ``axes`` has one row a label; it is packed into one array, bounded by labels times components, that every row unfolds.
     """
-    side = axes.select(F.col(label).alias("axis_label"), "axis")
-    both = df.where(F.col(vector).isNotNull()).join(side)
-    out = both.select(row, label, "axis_label", dot(F.col(vector), F.col("axis")).alias("coordinate"))
+    packed = axes.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("axis_label"), "axis")))).scalar()
+    both = df.where(F.col(vector).isNotNull()).withColumn("__axes", packed).select(row, label, vector, F.explode("__axes").alias("x"))
+    out = both.select(row, label, "x.axis_label", dot(F.col(vector), F.col("x.axis")).alias("coordinate"))
     stats = out.groupBy("axis_label").agg(F.avg("coordinate").alias("__m"), F.stddev_pop("coordinate").alias("__s"))
     return out.join(stats, "axis_label").select(row, label, "axis_label", "coordinate", F.when(F.col("__s") > 0, (F.col("coordinate") - F.col("__m")) / F.col("__s")).alias("z"))
 

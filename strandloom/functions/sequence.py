@@ -76,15 +76,19 @@ def kmer_set(text: Column, k: int) -> Column:
     return F.array_distinct(kmers(text, k))
 
 
+def lesser_strand(kmer: Column) -> Column:
+    """The lesser of an upper-case k-mer and its reverse complement."""
+    return F.least(kmer, F.reverse(F.translate(kmer, "ACGTN", "TGCAN")))
+
+
 def canonical(kmer: Column) -> Column:
     """The lesser of a k-mer and its reverse complement, in upper case."""
-    up = F.upper(kmer)
-    return F.least(up, F.reverse(F.translate(up, "ACGTN", "TGCAN")))
+    return lesser_strand(F.upper(kmer))
 
 
 def canonical_kmer_set(seq: Column, k: int) -> Column:
     """Distinct canonical k-mers of the upper-cased text; empty where it is shorter than k."""
-    return F.array_distinct(F.transform(kmers(F.upper(seq), k), canonical))
+    return F.array_distinct(F.transform(kmers(F.upper(seq), k), lesser_strand))
 
 
 def hash32(kmer: Column) -> Column:

@@ -6,6 +6,8 @@ found is then verified on the full sets of the candidate pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +15,18 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence
 from strandloom.operators.graph import connected_components
-from strandloom.runtime import materialize, rank_by_value, spread
+from strandloom.runtime import materialize, rank_by_value, spread, task_slots
 
 
 def sampled_kmers(df: DataFrame, row: str, text: str, k: int, scale: int, canonical: bool = True) -> DataFrame:
     """(row, h): distinct 32-bit hashes of a text's k-mers that are 0 modulo ``scale``; texts below k have none."""
-    kmers = sequence.canonical_kmer_set(F.col(text), k) if canonical else sequence.kmer_set(F.col(text), k)
-    hashed = F.filter(F.transform(kmers, sequence.hash32), lambda h: h % scale == 0)
+    kmers = sequence.kmers(F.upper(text), k) if canonical else sequence.kmers(F.col(text), k)
+    digests = F.transform(kmers, lambda x: F.substring(F.md5(F.encode(sequence.lesser_strand(x) if canonical else x, "utf-8")), 1, 8))
+    # a multiple of scale is one of its common divisor with 16, which shows in the last digit: most fall without a conversion
+    step = math.gcd(scale, 16)
+    ends = [f"{i:x}" for i in range(0, 16, step)]
+    likely = digests if step == 1 else F.filter(digests, lambda x: F.substring(x, 8, 1).isin(*ends))
+    hashed = F.filter(F.transform(likely, lambda x: F.conv(x, 16, 10).cast("bigint")), lambda h: h % scale == 0)
     # outer, as the plain form would have the optimizer compute the array once more to test it for members
     return spread(df.select(row, text)).select(row, F.explode_outer(F.array_distinct(hashed)).alias("h")).where("h is not null")
 
@@ -40,6 +47,8 @@ def containment_search(queries: DataFrame, reference: DataFrame, q_row: str, r_r
     best = F.row_number().over(Window.partitionBy(q_row).orderBy(F.desc("estimate"), "__r"))
     top = shared.withColumn("__rank", best).where(F.col("__rank") <= keep)
     both = top.join(queries.select(q_row, col.alias("__a")), q_row).join(reference.select(F.col(r_row).alias("__r"), col.alias("__b")), "__r")
+    # few bytes but much work a row: spread evenly, as partitions are otherwise merged by size
+    both = both.repartition(task_slots(queries.sparkSession))
     sets = [sequence.canonical_kmer_set(F.col(c), k) if canonical else sequence.kmer_set(F.col(c), k) for c in ("__a", "__b")]
     return both.select(q_row, F.col("__r").alias(r_row if r_row != q_row else f"match_{r_row}"), "estimate", sequence.containment(*sets).alias("containment"))
 
@@ -66,7 +75,7 @@ def containment_links(df: DataFrame, row: str, text: str, k: int = 21, scale: in
     """
     digest = F.md5(F.encode(F.col(text), "utf-8"))
     once = df.where(F.col(text).isNotNull()).groupBy(digest.alias("__d")).agg(F.min(row).alias(row)).select(row)
-    grams = materialize(sampled_kmers(df.join(once, row, "left_semi"), row, text, k, scale).withColumnRenamed(row, "r"))
+    grams = materialize(sampled_kmers(df, row, text, k, scale).join(once, row, "left_semi").withColumnRenamed(row, "r"))
     df_of = grams.groupBy("h").agg(F.count("*").alias("df"))
     sets = grams.join(df_of, "h").groupBy("r").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
     sets = materialize(sets.select("r", F.transform("g", lambda x: x["h"]).alias("g")))

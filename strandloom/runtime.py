@@ -87,9 +87,12 @@ def task_slots(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work whose cost lies in CPU rather than bytes.
 
-    A table of few files or row groups otherwise runs on few cores. Tables with enough partitions are left as they are.
+    A table of few files or row groups otherwise runs on few cores. Tables with enough partitions are left as they are,
+    and so are plans with shuffles, whose partitions are only known when they run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 

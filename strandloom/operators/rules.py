@@ -21,6 +21,17 @@ def coding_sanity(density: Column, genes: Column, longest: Column, entropy: Colu
     return F.coalesce((density >= 0.5) & (genes >= 1) & (longest >= 100) & (entropy >= 2.5), F.lit(False))
 
 
+def composite(checks: list[Column], least: int) -> Column:
+    """Whether at least ``least`` of the checks hold; null ones do not."""
+    return sum((F.coalesce(c.cast("int"), F.lit(0)) for c in checks), F.lit(0)) >= least
+
+
+def faithful(gc: Column, gc_range: tuple[float, float], adaptation: Column, least_adaptation: float, distance: Column, most_distance: float, known: Column) -> Column:
+    """Whether two of GC share, codon adaptation and pair distance agree with a profile; null without a profile."""
+    checks = [(gc >= gc_range[0]) & (gc <= gc_range[1]), adaptation >= least_adaptation, distance < most_distance]
+    return F.when(known, composite(checks, 2))
+
+
 def class_match(expected: Column, found: Column, parts: dict[str, list[str]] | None = None) -> Column:
     """Whether the expected class is among those found; a class of ``parts`` also if all its parts are. Null without any."""
     hit = F.array_contains(found, expected)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions import names, sequence
+from strandloom.functions import frames, names, sequence
 from strandloom.operators import joins, ranking, rules, sampling, similarity, stats, vectors, windows
 from strandloom.plans.catalogue import query, rounded, table
 
@@ -82,6 +82,11 @@ def sim6_sim7_containment_search(spark, d):
     return rounded(_search(spark, d, True, 21, 16))
 
 
+@query(f"SELECT * FROM ({_search_sql(True, 21, 16)}) WHERE containment >= 0.5")
+def jn17_similarity_join(spark, d):
+    return rounded(_search(spark, d, True, 21, 16)).where("containment >= 0.5")
+
+
 @query(f"""WITH f AS ({_search_sql(True, 21, 16)}), b AS (SELECT record_id, max(containment) AS c, arg_min(match_record_id, (-containment, match_record_id)) AS m FROM f GROUP BY 1)
     SELECT r.record_id, m AS nearest, coalesce(c, 0) AS max_containment, CASE WHEN coalesce(c, 0) >= 0.95 THEN 'FAIL' WHEN coalesce(c, 0) >= 0.8 THEN 'WARN' ELSE 'PASS' END AS tier FROM mibig_records r LEFT JOIN b USING (record_id) WHERE r.record_id % 20 = 0 AND sequence IS NOT NULL""")
 def sim8_novelty(spark, d):
@@ -439,6 +444,11 @@ def fn10_fn11_adaptation(spark, d):
     return rounded(_records(spark, d).select("record_id", sequence.adaptation_index(F.col("sequence"), _WEIGHTS).alias("cai")))
 
 
+@query()
+def fn12_open_frames(spark, d):
+    return frames.open_frames(_records(spark, d), "record_id", "sequence", 50)
+
+
 @query(
     "WITH w(c, a) AS (VALUES "
     + ", ".join(f"('{c}', '{a}')" for c, a in sorted(sequence.codon_table().items()))
@@ -602,6 +612,14 @@ def ru5_homology(spark, d):
     return rules.homology_check(_records(spark, d), "record_id", hits.select("record_id", "orf").distinct(), "orf", hits.where("evalue < 1e-10"), "orf")
 
 
+@query()
+def ru7_faithfulness(spark, d):
+    s = F.upper("sequence")
+    gc, cai, distance = sequence.gc_of_acgt(s), sequence.adaptation_index(s, _WEIGHTS), sequence.rmsd(sequence.pair_ratios(s), _REF)
+    rows = _records(spark, d).where("length(sequence) >= 2")
+    return rows.select("record_id", rules.faithful(gc, (0.35, 0.65), cai, 0.3, distance, 0.25, F.col("taxonomic_tag").isNotNull()).alias("faithful"))
+
+
 @query()
 def ru6_fn29_fn30_modules(spark, d):
     hits = table(spark, d, "domain_hits").where("acc is not null").distinct()

@@ -158,6 +158,12 @@ def test_modules(spark):
     assert one(spark, rules.module_count(items("TACTAC"), pattern)) == 2
 
 
+def test_faithfulness(spark):
+    ok = lambda gc, cai, d, known=True: one(spark, rules.faithful(F.lit(gc), (0.4, 0.6), F.lit(cai), 0.5, F.lit(d), 0.2, F.lit(known)))
+    assert ok(0.5, 0.6, 0.9) is True and ok(0.5, 0.1, 0.9) is False and ok(0.5, 0.6, 0.1, False) is None
+    assert one(spark, rules.composite([F.lit(None).cast("boolean"), F.lit(True)], 2)) is False
+
+
 def test_early_stop(spark):
     rows = [("a", i, x) for i, x in enumerate([1.0, 0.9, 0.85, 0.85, 0.85, 0.85, 0.84])] + [("b", i, 1.0 - i / 10) for i in range(8)]
     got = {r["run"]: r["stop"] for r in ranking.early_stop(spark.createDataFrame(rows, "run string, step int, loss double"), "run", "step", "loss", 3, 0.001).collect()}

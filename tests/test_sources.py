@@ -24,7 +24,7 @@ FEATURES             Location/Qualifiers
                      /product="some long
                      name"
      region          1..60
-                     /tool="antismash"
+                     /tool="finder"
                      /product="terpene"
                      /product="ripp"
 ORIGIN

@@ -1,12 +1,16 @@
 """Containment, novelty and distances of texts and vectors.
 
-K-mers are sampled by hash where they only find candidates, which keeps the shuffle to 1 / scale of the k-mers; what is
-found is then verified on the full sets of the candidate pairs.
+``containment_search`` and ``containment_links`` work on k-mers sampled by hash: the search verifies the few references
+it keeps on full sets, the links are estimates from the sample. ``full_links`` and ``full_nearest`` use every k-mer and
+lose no pair: all k-mers meet in hash parts as compressed blocks, and what can hold is verified on the texts.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +93,272 @@ def containment_links(df: DataFrame, row: str, text: str, k: int = 21, scale: in
     return both.select(F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b"), share.alias("containment")).where(F.col("containment") >= least)
 
 
+def _kmer_hashes(text: str, k: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's k-mers, ascending; a k-mer and its reverse complement have one hash."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    turned = codes.copy()
+    for a, b in ("AT", "TA", "CG", "GC"):
+        turned[codes == ord(a)] = ord(b)
+    base, power = 0x9E3779B97F4A7C15, 1
+    forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i in range(k):
+        forward = forward * np.uint64(base) + codes[i : i + n]
+        backward += turned[i : i + n] * np.uint64(power)
+        power = power * base % 2**64
+    h = np.minimum(forward, backward) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def _squeezed(values: np.ndarray, width: int) -> bytes:
+    """Small unsigned integers by byte planes, each Huffman-coded."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    packer = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+    return packer.compress(planes.tobytes()) + packer.flush()
+
+
+def _restored(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _width(values: np.ndarray) -> int:
+    return max(1, (int(values.max()).bit_length() + 7) // 8)
+
+
+def _kmer_parts(texts: DataFrame, k: int, block: int = 1 << 22, held: int = 3_000_000) -> DataFrame:
+    """(part, n, first, grams, owners, items): all k-mers of (item, packed, length) in blocks by hash part, as sorted differences.
+
+    Hashes are cut to seven bits more than the k-mers need, so that few unlike ones coincide: what shares a k-mer always
+    meets, what meets need not share one.
+    """
+    letters = texts.agg(F.sum("length")).first()[0] or 0
+    bits = min(60, max(20, int(letters).bit_length() + 7))
+    parts = max(task_slots(texts.sparkSession), -(-int(letters) // held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: list[np.ndarray] = []
+        items: list[int] = []
+        size = 0
+
+        def blocks() -> pa.RecordBatch:
+            h = np.concatenate(grams)
+            owner = np.repeat(np.arange(len(grams), dtype=np.uint64), [len(g) for g in grams])
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            h = h >> np.uint64(64 - bits)
+            rows: list[tuple] = []
+            for p in range(parts):
+                low, high = int(cut[p]), int(cut[p + 1])
+                if low < high:
+                    used, local = np.unique(owner[low:high], return_inverse=True)
+                    steps = np.diff(h[low:high])
+                    first = int(h[low])
+                    rows.append((p, high - low, first, _squeezed(steps, _width(steps)) if len(steps) else b"", _squeezed(local, _width(local)), np.array(items, np.int64)[used.astype(np.int64)]))
+            names = ["part", "n", "first", "grams", "owners", "items"]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _kmer_hashes(_unpacked(text), k)
+                if len(own):
+                    grams.append(own)
+                    items.append(item)
+                    size += len(own)
+                if size >= block:
+                    yield blocks()
+                    grams, items, size = [], [], 0
+        if size:
+            yield blocks()
+
+    return spread(texts.select("item", "packed")).mapInArrow(run, "part int, n int, first bigint, grams binary, owners binary, items array<bigint>")
+
+
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, owners, starts, sizes, sums) of a part: owners of the entries whose gram has two or more, by gram, and all entries of each owner."""
+    h, owner = [], []
+    for n, first, grams, owners, items in zip(*(table[c].to_pylist() for c in ("n", "first", "grams", "owners", "items")), strict=True):
+        steps = _restored(grams, n - 1) if n > 1 else np.zeros(0, np.uint64)
+        h.append(np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum(steps, dtype=np.uint64)]))
+        owner.append(np.array(items, np.int64)[_restored(owners, n).astype(np.int64)])
+    h, owner = np.concatenate(h), np.concatenate(owner)
+    names, owner = np.unique(owner, return_inverse=True)
+    sums = np.bincount(owner, minlength=len(names))
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    start = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
+    size = np.diff(np.append(start, len(h)))
+    many = np.repeat(size > 1, size)
+    owner, size = owner[many], size[size > 1]
+    return names, owner, np.cumsum(size) - size, size, sums
+
+
+def _expanded(probes: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray, width: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys (prober * width + other) of probing entries with all entries of their grams, and how often each is met."""
+    n = size[gram[probes]]
+    total = np.cumsum(n)
+    low = 0
+    while low < len(probes):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+        some, m = probes[low:high], n[low:high]
+        at = np.repeat(start[gram[some]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        a, b = np.repeat(owner[some], m), owner[at]
+        yield np.unique((a * width + b)[a != b], return_counts=True)
+        low = high
+
+
+def _texts(df: DataFrame, row: str, text: str) -> DataFrame:
+    """(item, packed, second, d, length): one row per distinct text, Huffman-coded, its least and second least row."""
+    digest = F.md5(F.encode(F.col(text), "utf-8"))
+    once = df.where(F.col(text).isNotNull()).select(F.col(row).cast("bigint").alias("r"), digest.alias("d"))
+    two = once.groupBy("d").agg(F.min("r").alias("item"), F.max("r").alias("last"), F.count("*").alias("copies"))
+    second = once.join(two.where("copies > 1"), "d").where("r > item").groupBy("item").agg(F.min("r").alias("second"))
+    own = df.select(F.col(row).cast("bigint").alias("item"), F.upper(text).alias("text")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for x in batch.column(1):
+                packer = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+                packed.append(packer.compress(x.as_py().encode("utf-8")) + packer.flush())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), batch.column(2)], names=["item", "packed", "length"])
+
+    packed = spread(own).select("item", "text", F.length("text").alias("length")).mapInArrow(run, "item bigint, packed binary, length int")
+    return materialize(packed.join(two.select("item", "d"), "item").join(second, "item", "left"))
+
+
+def _unpacked(value) -> str:
+    return zlib.decompress(value.as_py()).decode("utf-8")
+
+
+def _shared_kmers(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(a, b, shared, n_a, n_b): k-mers of both texts, and of each, over the whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        held = 0
+
+        def get(i: int, value) -> np.ndarray:
+            nonlocal held
+            if i in known:
+                known.move_to_end(i)
+                return known[i]
+            x = known[i] = _kmer_hashes(_unpacked(value), k)
+            held += len(x)
+            while held > 4_000_000 and len(known) > 2:
+                held -= len(known.popitem(last=False)[1])
+            return x
+
+        for batch in batches:
+            out = np.zeros((3, batch.num_rows), np.int64)
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x, y = get(a, batch.column(2)[i]), get(b, batch.column(3)[i])
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                at = np.searchsorted(large, small)
+                found = at < len(large)
+                found[found] = large[at[found]] == small[found]
+                out[:, i] = found.sum(), len(x), len(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], names=["a", "b", "shared", "n_a", "n_b"])
+
+    slots = task_slots(pairs.sparkSession)
+    left, right = texts.select(F.col("item").alias("a"), F.col("packed").alias("ta")), texts.select(F.col("item").alias("b"), F.col("packed").alias("tb"))
+    # few bytes but much work a row: a fixed number of parts, as they are otherwise merged by size
+    both = pairs.select("a", "b").join(right, "b").repartition(slots, "a").join(left.repartition(slots, "a").hint("merge"), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a bigint, b bigint, shared bigint, n_a bigint, n_b bigint")
+
+
+def full_links(df: DataFrame, row: str, text: str, k: int = 21, least: float = 0.5) -> DataFrame:
+    """(a, b, containment): pairs of distinct texts of which b holds at least ``least`` of a's canonical k-mers.
+
+    Over all k-mers and all rows; equal texts are reduced to their least row first. If b holds that share of a's k-mers,
+    it does so in some part of the hash range. There, with grams from the rarest on, b has one of the first
+    s - ceil(least * n) + 1 of a's s shared grams, so only those are probed; pairs that reach the share in the part are
+    verified on their texts.
+    """
+    texts = _texts(df, row, text)
+
+    def probed(table: pa.Table) -> pa.Table:
+        names, owner, start, size, sums = _met(table)
+        keys = [np.zeros(0, np.int64)]
+        if len(owner):
+            gram = np.repeat(np.arange(len(size)), size)
+            shared = np.bincount(owner, minlength=len(names))
+            need = np.ceil(least * sums - 1e-9).astype(np.int64)
+            few = shared - need + 1
+            order = np.lexsort((gram, size[gram], owner))
+            first = np.cumsum(shared) - shared
+            place = np.arange(len(order)) - first[owner[order]]
+            probes = order[place < few[owner[order]]]
+            own, entries = gram[np.lexsort((gram, owner))], np.unique(owner * len(size) + gram)
+            for u, _ in _expanded(probes, owner, start, size, gram, len(names)):
+                for low in range(0, len(u), 1 << 14):
+                    a, b = u[low : low + (1 << 14)] // len(names), u[low : low + (1 << 14)] % len(names)
+                    m = shared[a]
+                    at = np.repeat(first[a], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                    wanted = np.repeat(b, m) * len(size) + own[at]
+                    place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+                    met = np.bincount(np.repeat(np.arange(len(a)), m), entries[place] == wanted, len(a))
+                    keys.append(u[low : low + (1 << 14)][met >= need[a]])
+        u = np.unique(np.concatenate(keys))
+        return pa.table({"a": names[u // len(names)], "b": names[u % len(names)]})
+
+    met = _kmer_parts(texts, k).groupBy("part").applyInArrow(probed, "a bigint, b bigint")
+    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = materialize(_shared_kmers(pairs, texts, k))
+    ahead = found.select("a", "b", (F.col("shared") / F.col("n_a")).alias("containment"))
+    behind = found.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("shared") / F.col("n_b")).alias("containment"))
+    return ahead.union(behind).where(F.col("containment") >= least)
+
+
+def full_nearest(queries: DataFrame, reference: DataFrame, row: str, text: str, k: int = 21) -> DataFrame:
+    """(row, nearest, max_containment, tier): as ``nearest``, over every reference and all k-mers; queries are rows of the reference.
+
+    The k-mers a query shares with each reference are counted in hash parts, never too low; the reference with most is
+    verified on the texts, and so is every other one whose count can still reach it.
+    """
+    texts = _texts(reference, row, text)
+    digest = F.md5(F.encode(F.col(text), "utf-8"))
+    asked = materialize(queries.select(F.col(row).alias("q"), digest.alias("d")).distinct())
+    marked = texts.join(asked.select("d").where("d is not null").distinct().withColumn("asked", F.lit(True)), "d", "left").select("item", "packed", "length", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+    def counted(table: pa.Table) -> pa.Table:
+        names, owner, start, size, _ = _met(table)
+        # the lowest bit of a name says whether it is asked for
+        gram = np.repeat(np.arange(len(size)), size)
+        probes = np.flatnonzero((names[owner] & 1).astype(bool)) if len(owner) else np.zeros(0, np.int64)
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for u, c in _expanded(probes, owner, start, size, gram, len(names)) if len(probes) else ():
+            keys.append(u)
+            counts.append(c)
+        u = np.concatenate(keys)
+        return pa.table({"a": names[u // len(names)] >> 1, "b": names[u % len(names)] >> 1, "c": np.concatenate(counts)})
+
+    named = marked.select((F.shiftleft("item", 1) + F.col("asked").cast("bigint")).alias("item"), "packed", "length")
+    met = _kmer_parts(named, k).groupBy("part").applyInArrow(counted, "a bigint, b bigint, c bigint")
+    bound = materialize(met.groupBy("a", "b").agg(F.sum("c").alias("c")))
+    first = bound.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+    floor = materialize(_shared_kmers(first, texts, k)).select("a", F.col("shared").alias("floor"))
+    open_ = bound.join(floor, "a").where("c >= floor and c > 0").select("a", "b")
+    exact = materialize(_shared_kmers(open_, texts, k)).where("shared > 0")
+    best = F.max(F.struct((F.col("shared") / F.col("n_a")).alias("c"), (-F.col("b")).alias("r")))
+    per = exact.groupBy("a").agg(best.alias("best"))
+    own = texts.select("d", "item", "second", (F.col("length") >= k).alias("has"))
+    out = asked.join(own, "d", "left").join(per, F.col("item") == F.col("a"), "left")
+    copy = F.when(F.col("has") & F.col("second").isNotNull(), F.struct(F.lit(1.0).alias("c"), (-F.when(F.col("item") == F.col("q"), F.col("second")).otherwise(F.col("item"))).alias("r")))
+    out = out.withColumn("b", F.greatest("best", copy))
+    c = F.coalesce("b.c", F.lit(0.0))
+    return out.select(F.col("q").alias(row), (-F.col("b.r")).alias("nearest"), c.alias("max_containment"), novelty_tier(c).alias("tier"))
+
+
 def link_classes(df: DataFrame, row: str, text: str, links: DataFrame) -> DataFrame:
     """(row, class_id, links): one row per text with k-mers or not: its class and the number of other rows linked to its
     text directly or equal to it. Null texts are classes of their own without links."""

@@ -87,6 +87,26 @@ def jn17_similarity_join(spark, d):
     return rounded(_search(spark, d, True, 21, 16)).where("containment >= 0.5")
 
 
+_ALL_PAIRS = f"""WITH s AS MATERIALIZED (SELECT record_id, {_kset(21)} AS ks FROM (SELECT min(record_id) AS record_id, upper(sequence) AS s FROM mibig_records WHERE sequence IS NOT NULL GROUP BY sequence)), e AS MATERIALIZED (SELECT record_id, len(ks) AS n, unnest(ks) AS h FROM s),
+    p AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.h = b.h AND a.record_id <> b.record_id GROUP BY 1, 2)"""
+
+
+def _full_links(spark, d):
+    rows = _records(spark, d)
+    return rows, similarity.full_links(rows, "record_id", "sequence", 21, 0.5)
+
+
+@query(f"{_ALL_PAIRS} SELECT a, b, round(shared / na, 6) AS containment FROM p WHERE shared / na >= 0.5")
+def jn17_all_links(spark, d):
+    return rounded(_full_links(spark, d)[1])
+
+
+@query()
+def jn17_link_classes(spark, d):
+    rows, links = _full_links(spark, d)
+    return similarity.link_classes(rows, "record_id", "sequence", links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 @query(f"""WITH f AS ({_search_sql(True, 21, 16)}), b AS (SELECT record_id, max(containment) AS c, arg_min(match_record_id, (-containment, match_record_id)) AS m FROM f GROUP BY 1)
     SELECT r.record_id, m AS nearest, coalesce(c, 0) AS max_containment, CASE WHEN coalesce(c, 0) >= 0.95 THEN 'FAIL' WHEN coalesce(c, 0) >= 0.8 THEN 'WARN' ELSE 'PASS' END AS tier FROM mibig_records r LEFT JOIN b USING (record_id) WHERE r.record_id % 20 = 0 AND sequence IS NOT NULL""")
 def sim8_novelty(spark, d):

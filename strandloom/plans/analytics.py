@@ -91,20 +91,25 @@ _ALL_PAIRS = f"""WITH s AS MATERIALIZED (SELECT record_id, {_kset(21)} AS ks FRO
     p AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.h = b.h AND a.record_id <> b.record_id GROUP BY 1, 2)"""
 
 
-def _full_links(spark, d):
+def _full_links(spark, d, least):
     rows = _records(spark, d)
-    return rows, similarity.full_links(rows, "record_id", "sequence", 21, 0.5)
+    return rows, similarity.full_links(rows, "record_id", "sequence", 21, least)
+
+
+def _either_way(links):
+    """(a, b, containment), a < b: of the two directions the greater one, which is that of the smaller set."""
+    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("containment").alias("containment"))
 
 
 @query(f"{_ALL_PAIRS} SELECT a, b, round(shared / na, 6) AS containment FROM p WHERE shared / na >= 0.5")
 def jn17_all_links(spark, d):
-    return rounded(_full_links(spark, d)[1])
+    return rounded(_full_links(spark, d, 0.5)[1])
 
 
 @query()
 def jn17_link_classes(spark, d):
-    rows, links = _full_links(spark, d)
-    return similarity.link_classes(rows, "record_id", "sequence", links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rows, links = _full_links(spark, d, 0.5)
+    return similarity.link_classes(rows, "record_id", "sequence", _either_way(links))
 
 
 @query(f"""WITH f AS ({_search_sql(True, 21, 16)}), b AS (SELECT record_id, max(containment) AS c, arg_min(match_record_id, (-containment, match_record_id)) AS m FROM f GROUP BY 1)
@@ -133,16 +138,21 @@ def sim10_containment_links(spark, d):
     return rounded(_links(spark, d)[1])
 
 
+@query(f"{_ALL_PAIRS} SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE a < b AND shared / least(na, nb) >= 0.6")
+def sim10_full_links(spark, d):
+    return rounded(_either_way(_full_links(spark, d, 0.6)[1]))
+
+
 @query()
 def sim11_link_classes(spark, d):
-    rows, links = _links(spark, d)
-    return similarity.link_classes(rows, "record_id", "sequence", links)
+    rows, links = _full_links(spark, d, 0.6)
+    return similarity.link_classes(rows, "record_id", "sequence", _either_way(links))
 
 
 @query()
 def sim12_set_summary(spark, d):
-    rows, links = _links(spark, d)
-    return similarity.set_summary(similarity.link_classes(rows, "record_id", "sequence", links))
+    rows, links = _full_links(spark, d, 0.6)
+    return similarity.set_summary(similarity.link_classes(rows, "record_id", "sequence", _either_way(links)))
 
 
 @query("SELECT r.record_id, coalesce(max(bit_score), 0) AS best FROM mibig_records r LEFT JOIN domain_hits h USING (record_id) GROUP BY 1")

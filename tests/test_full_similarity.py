@@ -50,3 +50,19 @@ def test_join_has_every_link_of_every_row(spark, rows, folder):
     classes = registry.queries()["jn17_link_classes"](spark, folder).collect()
     assert len(classes) == len(rows) and max(r["links"] for r in classes) > 20
     assert similarity.full_links(spark.createDataFrame([], "id bigint, s string"), "id", "s").count() == 0
+
+
+def test_classes_and_summary_rest_on_all_kmers(spark, rows, folder):
+    links = {(min(p), max(p)) for p in brute(rows, 0.6)}
+    assert {(r["a"], r["b"]) for r in registry.queries()["sim10_full_links"](spark, folder).collect()} == links
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    once = {}
+    for i, s in rows:
+        root[i] = root[once.setdefault(s, i)] if s is not None else i
+    got = {r["record_id"]: r["class_id"] for r in registry.queries()["sim11_link_classes"](spark, folder).collect()}
+    assert got == root
+    summary = registry.queries()["sim12_set_summary"](spark, folder).first()
+    assert (summary["rows"], summary["classes"]) == (len(rows), len(set(root.values())))

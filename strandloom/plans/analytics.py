@@ -119,6 +119,14 @@ def sim8_novelty(spark, d):
     return rounded(similarity.nearest(_search(spark, d, True, 21, 16), "record_id", "match_record_id", rows))
 
 
+@query(f"""WITH s AS MATERIALIZED ({_SETS}), e AS MATERIALIZED (SELECT record_id, len(ks) AS n, unnest(ks) AS h FROM s),
+    p AS (SELECT a.record_id, b.record_id AS r, count(*) / any_value(a.n) AS c FROM e a JOIN e b ON a.h = b.h AND a.record_id <> b.record_id WHERE a.record_id % 20 = 0 GROUP BY 1, 2), b AS (SELECT record_id, max(c) AS c, arg_min(r, (-c, r)) AS m FROM p GROUP BY 1)
+    SELECT r.record_id, m AS nearest, round(coalesce(c, 0), 6) AS max_containment, CASE WHEN coalesce(c, 0) >= 0.95 THEN 'FAIL' WHEN coalesce(c, 0) >= 0.8 THEN 'WARN' ELSE 'PASS' END AS tier FROM mibig_records r LEFT JOIN b USING (record_id) WHERE r.record_id % 20 = 0 AND sequence IS NOT NULL""")
+def sim8_full_novelty(spark, d):
+    rows = _records(spark, d).where("sequence is not null")
+    return rounded(similarity.full_nearest(rows.where("record_id % 20 = 0"), rows, "record_id", "sequence", 21))
+
+
 @query(_search_sql(False, 15, 8))
 def sim9_plain_kmers(spark, d):
     return rounded(_search(spark, d, False, 15, 8))

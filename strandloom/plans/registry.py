@@ -15,7 +15,7 @@ for _name in MODULES:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["sim8_novelty"](spark, sf_dir)
+    return QUERIES["sim8_full_novelty"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

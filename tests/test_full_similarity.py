@@ -66,3 +66,14 @@ def test_classes_and_summary_rest_on_all_kmers(spark, rows, folder):
     assert got == root
     summary = registry.queries()["sim12_set_summary"](spark, folder).first()
     assert (summary["rows"], summary["classes"]) == (len(rows), len(set(root.values())))
+
+
+def test_nearest_is_the_greatest_containment(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    sets = {i: kmers(s) for i, s in rows if s is not None}
+    want = {}
+    for a, x in sets.items():
+        c, b = max(((len(x & y) / len(x), -b) for b, y in sets.items() if b != a and x & y), default=(0.0, None))
+        want[a] = (b and -b, c)
+    got = {r["id"]: (r["nearest"], r["max_containment"]) for r in similarity.full_nearest(df.where("s is not null"), df, "id", "s").collect()}
+    assert got == want

@@ -84,6 +84,12 @@ def task_slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def partitions_for(df: DataFrame, target: int = 64 << 20) -> int:
+    """Partitions for a shuffle of ``df``: one a slot, more where the planner's estimate of its bytes asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(task_slots(df.sparkSession), min(-(-size // target), 1 << 20))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work whose cost lies in CPU rather than bytes.
 
@@ -109,10 +115,10 @@ def sorted_groups(
     """Runs ``fn`` on Arrow tables that hold whole groups of ``keys`` (many groups per call), each sorted by ``order``.
 
     Unlike a grouped map it makes one Python call per batch rather than per group, so millions of small groups stay cheap.
-    A group of over ``most`` rows is never held: its rows stream through ``large`` batch by batch, which typically hands
+    Partitions grow with the bytes that arrive, unless ``partitions`` are given. A group of over ``most`` rows is never held: its rows stream through ``large`` batch by batch, which typically hands
     them on to a distributed path. Which groups are large depends on the data alone, up to one Arrow batch.
     """
-    spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    spread = df.repartition(partitions or partitions_for(df), *keys)
     spread = spread.sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,7 +153,7 @@ def from_bits(data: bytes) -> np.ndarray:
 class Indexed:
     """A sequence with its sorted k-mers, ready to be matched against others."""
 
-    __slots__ = ("codes", "k", "keys", "places", "letters", "_turned", "_fine")
+    __slots__ = ("codes", "k", "keys", "places", "letters", "_turned")
 
     def __init__(self, codes: np.ndarray, k: int = 12):
         self.codes, self.k = codes, k
@@ -164,14 +164,6 @@ class Indexed:
         self.keys, self.places = joined >> np.uint64(32), (joined & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.letters = int((codes < 4).sum())
         self._turned: Indexed | None = None
-        self._fine: Indexed | None = None
-
-    @property
-    def fine(self) -> Indexed:
-        """The same sequence by shorter k-mers."""
-        if self._fine is None:
-            self._fine = Indexed(self.codes, 8)
-        return self._fine
 
     @property
     def turned(self) -> Indexed:
@@ -206,26 +198,40 @@ def _anchors(a: Indexed, b: Indexed, most: int) -> tuple[np.ndarray, np.ndarray]
     return i[order], d[order]
 
 
-def _runs(a: Indexed, b: Indexed, i: np.ndarray, d: np.ndarray, gap: int, least: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Diagonal runs (start, end, diagonal) of anchors, their ends extended by up to ``reach`` while matches outweigh mismatches."""
+def _runs(a: Indexed, b: Indexed, i: np.ndarray, d: np.ndarray, gap: int, least: int, reach: int, bridge: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal runs (start, end, diagonal) of anchors, their ends extended by up to ``reach`` while matches outweigh mismatches.
+
+    Runs of one diagonal up to ``bridge`` bases apart are one run if over 0.55 of the bases between them are equal, which
+    unrelated bases (0.25) do not reach.
+    """
     if not len(i):
         return i, i, d
     cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) > gap)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]) - 1
     start, end, diagonal = i[first], i[last] + a.k, d[first]
+    n, m = len(a.codes), len(b.codes)
+    x, y = np.append(a.codes, 7), np.append(b.codes, 6)
+    between = start[1:] - end[:-1]
+    near = np.flatnonzero((diagonal[1:] == diagonal[:-1]) & (between <= bridge) & (between > 0))
+    if len(near):
+        size = between[near]
+        p = np.repeat(end[near], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = np.add.reduceat(x[p] == y[p + np.repeat(diagonal[near], size)], np.cumsum(size) - size)
+        head = np.ones(len(start), bool)
+        head[1 + near[same > 0.55 * size]] = False
+        first = np.flatnonzero(head)
+        start, end, diagonal = start[first], end[np.append(first[1:], len(end)) - 1], diagonal[first]
     keep = end - start >= least
     start, end, diagonal = start[keep], end[keep], diagonal[keep]
     if not len(start):
         return start, end, diagonal
-    n, m = len(a.codes), len(b.codes)
-    x, y = np.append(a.codes, 7), np.append(b.codes, 6)
     step = np.arange(reach)
     for toward in (-1, 1):
         p = (start[:, None] - 1 - step) if toward < 0 else (end[:, None] + step)
         q = p + diagonal[:, None]
         inside = (p >= 0) & (p < n) & (q >= 0) & (q < m)
         same = x[np.where(inside, p, n)] == y[np.where(inside, q, m)]
-        score = np.cumsum(np.where(same, 1, -2), 1)
+        score = np.cumsum(np.where(same, 2, -3), 1)
         best = score.argmax(1)
         grown = np.where(score[np.arange(len(best)), best] > 0, best + 1, 0)
         if toward < 0:
@@ -245,25 +251,118 @@ def _mark(a: Indexed, b: Indexed, runs: tuple[np.ndarray, np.ndarray, np.ndarray
     in_b[q[same]] = True
 
 
-def _closer(a: Indexed, b: Indexed, runs: tuple[np.ndarray, np.ndarray, np.ndarray], around: int = 64, drift: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shorter runs beside known ones: shared 8-mers within ``around`` bases of a run and ``drift`` diagonals of it."""
-    far = np.int64(1) << 40
-    near = np.full((2, len(a.codes)), far)
-    order = np.argsort(runs[0], kind="stable")
-    for row, some in ((0, order), (1, order[::-1])):
-        for s, e, d in zip(*(r[some].tolist() for r in runs), strict=True):
-            near[row, max(0, s - around) : e + around] = d
-    i, d = _anchors(a.fine, b.fine, 64)
-    keep = (np.abs(near[:, i] - d) <= drift).any(0) if len(i) else np.zeros(0, bool)
-    return _runs(a.fine, b.fine, i[keep], d[keep], 16, 8, 16)
+def distance(x: np.ndarray, y: np.ndarray, inside: bool = False) -> tuple[int, int]:
+    """The edit distance of two code arrays, by bit-parallel columns; code 4 equals nothing.
+
+    With ``inside`` it is the least distance of x to any stretch of y. The second value is where that stretch ends.
+    """
+    n = len(x)
+    if not n:
+        return (0 if inside else len(y)), len(y)
+    masks = [int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in range(4)] + [0]
+    full, top, first = (1 << n) - 1, 1 << (n - 1), 0 if inside else 1
+    up, down, score = full, 0, n
+    best, at = (n, 0)
+    for j, c in enumerate(y.tolist()):
+        equal = masks[c]
+        still = equal | down
+        carry = (((equal & up) + up) ^ up) | equal
+        plus, minus = down | (full & ~(carry | up)), up & carry
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        if score < best:
+            best, at = score, j + 1
+        plus = ((plus << 1) | first) & full
+        up = ((minus << 1) & full) | (full & ~(still | plus))
+        down = plus & still
+    return (best, at) if inside else (score, len(y))
+
+
+def _whole(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, slack: int = 64) -> None:
+    """Marks what the best place for all of a short ``a`` in b leaves untouched; right in number, not in place."""
+    i, d = _anchors(a, b, 64)
+    n = len(a.codes)
+    if len(d):
+        # the place where most anchors are
+        low = int(d[np.argmax(np.searchsorted(d, d + slack, "right") - np.arange(len(d)))])
+        lo, hi = max(0, low - slack), min(len(b.codes), low + n + 2 * slack)
+    elif len(b.codes) <= 2 * n:
+        lo, hi = 0, len(b.codes)
+    else:
+        return
+    off, at = distance(a.codes, b.codes[lo:hi], inside=True)
+    if off <= 0.3 * n:
+        in_a[: n - off] = True
+        in_b[max(lo, lo + at - (n - off)) : lo + at] = True
+
+
+def _aligned(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, widest: int = 400, drift: int = 100) -> None:
+    """Marks what lies between collinear runs of shared k-mers, by the edit distance of each gap.
+
+    A run is followed by the next one in both sequences, up to ``widest`` bases and ``drift`` diagonals away. The bases of
+    a gap that its edit distance leaves untouched are counted if the distance is under 0.38 of the longer side, while
+    unrelated bases need about 0.5; ends of a chain are followed outwards under the stricter 0.3. Marks in a gap are
+    right in number, not in place.
+    """
+    start, end, diagonal = _runs(a, b, *_anchors(a, b, 8), 32, a.k, 32)
+    if not len(start):
+        return
+    _mark(a, b, (start, end, diagonal), in_a, in_b)
+    order = np.argsort(start, kind="stable")
+    start, end, diagonal = start[order].tolist(), end[order].tolist(), diagonal[order].tolist()
+    n = len(start)
+    followed = [False] * n
+    length = [e - s for s, e in zip(start, end, strict=True)]
+    begins = [True] * n
+    n_a, n_b = len(a.codes), len(b.codes)
+
+    def outwards(p: int, q: int, step: int) -> None:
+        room = min(p, q) if step < 0 else min(n_a - p, n_b - q)
+        size = min(room, widest)
+        while size >= 8:
+            lo_a, lo_b = (p - size, q - size) if step < 0 else (p, q)
+            off = distance(a.codes[lo_a : lo_a + size], b.codes[lo_b : lo_b + size])[0]
+            if off <= 0.3 * size:
+                in_a[lo_a : lo_a + size - off] = True
+                in_b[lo_b : lo_b + size - off] = True
+                return
+            size //= 2
+
+    for r in range(n):
+        for s in range(r + 1, min(n, r + 9)):
+            gap_a, turn = start[s] - end[r], diagonal[s] - diagonal[r]
+            if gap_a > widest:
+                break
+            gap_b = gap_a + turn
+            if min(gap_a, gap_b) < 0 or gap_b > widest or abs(turn) > drift:
+                continue
+            followed[r], begins[s] = True, False
+            length[s] += length[r]
+            if gap_a and gap_b:
+                p, q = end[r], end[r] + diagonal[r]
+                off = distance(a.codes[p : p + gap_a], b.codes[q : q + gap_b])[0]
+                if off <= 0.38 * max(gap_a, gap_b) or max(gap_a, gap_b) <= 8:
+                    in_a[p : p + max(0, gap_a - off)] = True
+                    in_b[q : q + max(0, gap_b - off)] = True
+            break
+    for r in range(n):
+        # a lone short anchor may be chance and is not followed
+        if begins[r] and (followed[r] or length[r] >= 24):
+            outwards(start[r], start[r] + diagonal[r], -1)
+        if not followed[r] and length[r] >= 24:
+            outwards(end[r], end[r] + diagonal[r], 1)
 
 
-def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int = 48, most: int = 8) -> tuple[int, int, int]:
+def matched(a: Indexed, b: Indexed, limit: float = 0.2, gap: int = 32, least: int = 16, reach: int = 64, most: int = 8, short: int = 600) -> tuple[int, int, int]:
     """How many bases of each sequence lie opposite an equal base of the other, and how many of b's in one part of a's size.
 
-    Blocks may be moved or turned around: every diagonal run of shared k-mers (gaps up to ``gap``, at least ``least``
-    bases, ends extended by up to ``reach`` while that pays) counts wherever it lies, on either strand. What is left
-    uncovered is what substitutions, insertions and deletions touch.
+    Blocks may be moved or turned around: every diagonal run of shared k-mers (at least ``least`` bases, ends extended by
+    up to ``reach`` while that pays) counts wherever it lies, on either strand. k-mers with over ``most`` places in b
+    start no run except on the two outer diagonals; inside runs and gaps they are compared like all others. Where this
+    leaves a or b with more than ``limit`` of its bases unmatched, an ``a`` of up to ``short`` bases is aligned whole, and of
+    others the gaps between the runs, if these hold 0.15 of a. What is left uncovered is what substitutions, insertions and deletions touch.
     """
     in_a, in_b = np.zeros(len(a.codes), bool), np.zeros(len(b.codes), bool)
     turned = np.zeros(len(a.codes), bool)
@@ -274,13 +373,20 @@ def matched(a: Indexed, b: Indexed, gap: int = 32, least: int = 16, reach: int =
         behind = _runs(a.turned, b, *_anchors(a.turned, b, most), gap, least, reach)
         _mark(a.turned, b, behind, turned, in_b)
         in_a |= turned[::-1]
-    if 0.3 * a.letters < in_a.sum() < 0.9 * a.letters or 0.3 * b.letters < in_b.sum() < 0.9 * b.letters:
-        # many short insertions and deletions leave pieces too short for the first look
-        if len(ahead[0]):
-            _mark(a, b, _closer(a, b, ahead), in_a, in_b)
-        if behind is not None and len(behind[0]):
-            _mark(a.turned, b, _closer(a.turned, b, behind), turned, in_b)
-            in_a |= turned[::-1]
+    done, of_b = in_a.sum() / max(1, a.letters), in_b.sum() / max(1, b.letters)
+    for way, least_done, most_done in ((_whole, -1.0, 1 - limit), (_aligned, 0.15, 1 - limit)):
+        if way is _whole and len(a.codes) > short:
+            continue
+        if least_done < done < most_done or (done >= most_done and least_done < of_b < most_done):
+            # counted anew: marks that are right in number only must not add to others
+            other_a, other_b, turned = np.zeros(len(a.codes), bool), np.zeros(len(b.codes), bool), np.zeros(len(a.codes), bool)
+            way(a, b, other_a, other_b)
+            if other_a.sum() < most_done * a.letters:
+                way(a.turned, b, turned, other_b)
+                other_a |= turned[::-1]
+            if other_a.sum() + other_b.sum() > in_a.sum() + in_b.sum():
+                in_a, in_b = other_a, other_b
+                done, of_b = in_a.sum() / max(1, a.letters), in_b.sum() / max(1, b.letters)
     part, size = int(in_b.sum()), len(a.codes) + len(a.codes) // 4 + 16
     whole = part
     if len(b.codes) > size:

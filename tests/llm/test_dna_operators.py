@@ -131,10 +131,10 @@ def test_crowded_lists_keep_their_links(spark):
     for k in range(3):
         core = [rng.getrandbits(62) for _ in range(30)]
         for i in range(60):
-            rows.append((100 * k + i, sorted({1 << 40, *rng.sample(core, 27), *(rng.getrandbits(62) for _ in range(3))})))
-    sets = spark.createDataFrame(rows, "item bigint, grams array<bigint>")
-    found = pairs(candidate_pairs(sets, need=2, crowd=8, most=16))
-    near = {i: {i} for i, _ in rows}
+            rows.append((100 * k + i, 100 * k + i, sorted({1 << 40, *rng.sample(core, 27), *(rng.getrandbits(62) for _ in range(3))})))
+    sets = spark.createDataFrame(rows, "item bigint, kind bigint, grams array<bigint>")
+    found = pairs(candidate_pairs(sets, need=2, crowd=8, most=16, trust=True))
+    near = {i: {i} for i, _, _ in rows}
     for a, b in found:
         assert a < b
         group = near[a] | near[b]

@@ -8,7 +8,7 @@ import pytest
 from strandloom.llm import dna
 from strandloom.llm.cross_split import overlap_report, split_overlaps
 from strandloom.llm.near_dup import _Tree, candidate_pairs, class_pairs, near_duplicates
-from strandloom.llm.shared_spans import chain, passages, shared_report, shared_spans
+from strandloom.llm.shared_spans import aligned_passages, chain, passages, shared_report, shared_spans
 
 SCHEMA = "record_id bigint, sequence string, id string, class_id string, seq string, side string, letters string, split string, source string"
 
@@ -121,7 +121,7 @@ def test_tree_finds_what_sets_share():
         tree.insert(s, i)
     for need in (1, 2, 4, 7):
         want = {i: len(set(s) & set(sets[-1])) for i, s in enumerate(sets[:-1]) if len(set(s) & set(sets[-1])) >= need}
-        assert tree.search(sets[-1], need) == want
+        assert {i: n for i, (n, _) in tree.search(sets[-1], need).items()} == want
 
 
 def test_crowded_lists_keep_their_links(spark):
@@ -129,12 +129,12 @@ def test_crowded_lists_keep_their_links(spark):
     rng = random.Random(5)
     rows = []
     for k in range(3):
-        core = [rng.getrandbits(62) for _ in range(30)]
+        core = [rng.getrandbits(58) << 4 for _ in range(30)]
         for i in range(60):
-            rows.append((100 * k + i, 100 * k + i, sorted({1 << 40, *rng.sample(core, 27), *(rng.getrandbits(62) for _ in range(3))})))
-    sets = spark.createDataFrame(rows, "item bigint, kind bigint, grams array<bigint>")
+            rows.append((100 * k + i, 100 * k + i, 100, sorted({1 << 40, *rng.sample(core, 27), *(rng.getrandbits(58) << 4 for _ in range(3))})))
+    sets = spark.createDataFrame(rows, "item bigint, kind bigint, letters int, grams array<bigint>")
     found = pairs(candidate_pairs(sets, need=2, crowd=8, most=16, trust=True))
-    near = {i: {i} for i, _, _ in rows}
+    near = {i: {i} for i, *_ in rows}
     for a, b in found:
         assert a < b
         group = near[a] | near[b]
@@ -225,6 +225,30 @@ def test_passages_follow_edits(spark):
     assert all(s[r["at_a"] : r["at_a"] + r["size"]] == other[r["at_b"] : r["at_b"] + r["size"]] for r in runs)
 
 
+@pytest.mark.parametrize("span", [300, 1000])
+def test_long_spans(spark, span):
+    rng = random.Random(11)
+    x = seq(rng, span + 40)
+    rows = [(1, seq(rng, 70) + x + seq(rng, 30)), (2, x[10:] + seq(rng, 100)), (3, x[: span - 1]), (4, x[:150] + "N" + x[151:]), (5, seq(rng, 2000)), (6, None), (7, x[20:])]
+    want = brute_spans(rows, span)
+    assert want and pairs(shared_spans(table(spark, rows), "record_id", "sequence", span=span)) == want
+    assert pairs(shared_spans(table(spark, rows), "record_id", "sequence", span=span, most=1)) == want
+
+
+def test_aligned_passages(spark):
+    rng = random.Random(12)
+    s = seq(rng, 1200)
+    other = seq(rng, 50) + s[:300] + "A" + s[300:700] + s[705:]
+    alone = seq(rng, 500)
+    rows = [(1, s), (2, other), (3, alone), (4, alone[:200]), (5, None), (6, "")]
+    got = {(r["a"], r["b"]): r for r in aligned_passages(table(spark, rows), "record_id", "sequence").collect()}
+    r = got[1, 2]
+    assert set(got) == {(1, 2), (3, 4)}
+    assert (r["start_a"], r["end_a"], r["start_b"], r["end_b"]) == (0, 1200, 50, 1246) and 1 <= r["edits"] <= 6 and r["identity"] > 0.994
+    assert (got[3, 4]["exact"], got[3, 4]["edits"], got[3, 4]["identity"]) == (200, 0, 1.0)
+    assert aligned_passages(table(spark, []), "record_id", "sequence").count() == 0
+
+
 def test_split_overlaps(spark):
     rng = random.Random(9)
     s, t = seq(rng, 900), seq(rng, 2000)

@@ -105,6 +105,13 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_report(rows, "record_id", "sequence", shared_spans(rows, "record_id", "sequence")).withColumnRenamed("id", "record_id")
 
 
+def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.shared_spans import aligned_passages
+
+    found = aligned_passages(table(spark, sf_dir, "mibig_records"), "record_id", "sequence")
+    return found.withColumnRenamed("a", "record_id_a").withColumnRenamed("b", "record_id_b")
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "mibig_records")
     return rows.withColumn("split", normal_split(F.col("split")))
@@ -180,7 +187,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_classes, p2_found, p2_sample, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found]
+    own = [p1_found, p1_classes, p2_found, p2_sample, p2_report, p3_found, p3_report, p3_passages, p4_found, p4_splits, p4_report, p5_found]
     own += [p6_found, p6_report, p7_ids, p7_round_trip, p8_found, p8_report, p8_copies, p9_found, p9_scores, p9_rates]
     return {q.__name__: q for q in own}
 

@@ -12,11 +12,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import dna
-from strandloom.runtime import materialize, sorted_groups, spread, task_slots
+from strandloom.llm.near_dup import as_bits
+from strandloom.runtime import materialize, salted_join, sorted_groups, spread, task_slots
 
 
 def _flank(codes: np.ndarray, at: np.ndarray, size: int, step: int) -> np.ndarray:
@@ -31,12 +32,12 @@ def _pack_rows(rows: np.ndarray) -> pa.Array:
     """Rows of codes as binaries: the number of leading letters, then two bits a base."""
     m, size = rows.shape
     other = rows >= 4
-    clear = np.where(other.any(1), other.argmax(1), size).astype(np.uint8)
+    clear = np.where(other.any(1), other.argmax(1), size).astype("<u2")
     wide = np.zeros((m, -(-size // 4) * 4), np.uint8)
     wide[:, :size] = rows & 3
     q = wide.reshape(m, -1, 4)
     body = (q[..., 0] << 6) | (q[..., 1] << 4) | (q[..., 2] << 2) | q[..., 3]
-    data = np.concatenate([clear[:, None], body], 1)
+    data = np.concatenate([clear[:, None].view(np.uint8), body], 1)
     offsets = np.arange(m + 1, dtype=np.int32) * data.shape[1]
     return pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
@@ -44,13 +45,13 @@ def _pack_rows(rows: np.ndarray) -> pa.Array:
 def _unpack_rows(column: pa.Array, size: int) -> np.ndarray:
     """Codes of ``_pack_rows``; positions from the first other character on are 4."""
     n = len(column)
-    width = 1 + -(-size // 4)
+    width = 2 + -(-size // 4)
     start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
     data = np.frombuffer(column.buffers()[2], np.uint8)[start : start + n * width].reshape(n, width)
-    body = data[:, 1:]
+    clear, body = data[:, 0].astype(np.int32) | (data[:, 1].astype(np.int32) << 8), data[:, 2:]
     rows = np.stack([(body >> 6) & 3, (body >> 4) & 3, (body >> 2) & 3, body & 3], -1).reshape(n, -1)[:, :size]
     rows = rows.copy()
-    rows[np.arange(size)[None, :] >= data[:, :1]] = 4
+    rows[np.arange(size)[None, :] >= clear[:, None]] = 4
     return rows
 
 
@@ -194,7 +195,7 @@ def _by_window(hot: DataFrame, span: int, k: int) -> DataFrame:
     """Matches of exactly ``span`` letters for places of very frequent seeds.
 
     Every window of ``span`` letters around a place becomes a row under the hash of its letters, and the records of each
-    class of equal windows are linked to the next one, as in ``_links``, but by shuffles instead of within a task.
+    class of equal windows are linked as in ``_links``, n links for n records, but by shuffles instead of within a task.
     """
     flank = span - k
 
@@ -216,11 +217,10 @@ def _by_window(hot: DataFrame, span: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(kind.view(np.int64)), pa.array(ids[row]), pa.array((place[row] - a).astype(np.int32))], names=["kind", "id", "at"])
 
     rows = hot.mapInArrow(windows, "kind bigint, id bigint, at int")
-    first = rows.groupBy("kind", "id").agg(F.min("at").alias("first"))
-    order = Window.partitionBy("kind").orderBy("id")
-    own = F.struct("id", "first")
-    runs = first.select("kind", "id", F.coalesce(F.lead(own).over(order), F.lag(own).over(order)).alias("o")).where("o is not null")
-    both = rows.join(runs, ["kind", "id"]).select("id", "at", F.col("o.id").alias("other"), F.col("o.first").alias("there"))
+    # every record of a class is linked to the first one, and that to the last: sums without a sort, whatever the class holds
+    ends = rows.groupBy("kind").agg(F.min(F.struct("id", "at")).alias("low"), F.max(F.struct("id", "at")).alias("high")).where("low.id < high.id")
+    both = salted_join(rows, ends, ["kind"]).withColumn("o", F.when(F.col("id") == F.col("low.id"), F.col("high")).otherwise(F.col("low")))
+    both = both.select("id", "at", F.col("o.id").alias("other"), F.col("o.at").alias("there"))
     ahead = F.col("id") < F.col("other")
     pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
     return both.select(pick("id", "other").alias("a"), pick("other", "id").alias("b"), pick("at", "there").alias("at_a"), pick("there", "at").alias("at_b"), F.lit(span).alias("size"))
@@ -338,12 +338,53 @@ def passages(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int =
     A chain from its first to its last run is a fuzzy passage: a stretch that two records share up to edits. Records
     are linked so that every shared span has a link, not every pair of its holders.
     """
-    if not k <= min(31, span):
-        raise ValueError("k must be at most 31 and at most span")
+    if not k <= min(31, span) or span - k > 65_535:
+        raise ValueError("k must be at most 31 and at most span, and span at most 65,535 more")
     slots = task_slots(df.sparkSession)
     return chained(matches(seeds(df, id_col, seq_col, span, k), span, k, slots, most), gap_cost, slots)
 
 
+def aligned_passages(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int = 31, gap_cost: float = 0.2, most: int = 20_000) -> DataFrame:
+    """(a, b, start_a, end_a, start_b, end_b, exact, edits, identity): the fuzzy passages of linked records, one row a chain.
+
+    A chain's exact runs are joined by aligning the gaps between them: ``exact`` counts the letters of the runs, ``edits``
+    the substitutions, insertions and deletions in the gaps, and identity is 1 - edits / the longer side. Runs that
+    overlap in one of the records count as far as they go beyond the one before. Chains of one run need no text; for others
+    the letters of both records are brought together, at two bits each. Rows and ids as in ``shared_spans``.
+    """
+    runs = materialize(passages(df, id_col, seq_col, span, k, gap_cost, most))
+    per = runs.groupBy("a", "b", "chain").agg(F.sort_array(F.collect_list(F.struct("at_a", "at_b", "size"))).alias("runs"))
+    per = materialize(per)
+    whole = per.where(F.size("runs") == 1).select("a", "b", F.element_at("runs", 1).alias("r"))
+    whole = whole.select("a", "b", F.col("r.at_a").alias("start_a"), (F.col("r.at_a") + F.col("r.size")).alias("end_a"), F.col("r.at_b").alias("start_b"), (F.col("r.at_b") + F.col("r.size")).alias("end_b"))
+    whole = whole.withColumn("exact", F.col("end_a") - F.col("start_a")).withColumn("edits", F.lit(0))
+    bits = as_bits(df, id_col, seq_col, dna.CODE)
+    several = per.where(F.size("runs") > 1).join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2).to_pylist()
+            out = np.zeros((6, batch.num_rows), np.int32)
+            for i, runs_ in enumerate(rows):
+                x, y = dna.from_bits(batch.column(3)[i].as_py()), dna.from_bits(batch.column(4)[i].as_py())
+                end_a, end_b = runs_[0]["at_a"], runs_[0]["at_b"]
+                exact = edits = 0
+                for r in runs_:
+                    skip = max(0, end_a - r["at_a"], end_b - r["at_b"])
+                    if skip >= r["size"]:
+                        continue
+                    a, b = r["at_a"] + skip, r["at_b"] + skip
+                    edits += dna.distance(x[end_a:a], y[end_b:b])[0]
+                    exact += r["size"] - skip
+                    end_a, end_b = r["at_a"] + r["size"], r["at_b"] + r["size"]
+                out[:, i] = (runs_[0]["at_a"], end_a, runs_[0]["at_b"], end_b, exact, edits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], names=["a", "b", "start_a", "end_a", "start_b", "end_b", "exact", "edits"])
+
+    fuzzy = several.select("a", "b", "runs", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint, start_a int, end_a int, start_b int, end_b int, exact int, edits int")
+    longer = F.greatest(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b"))
+    return whole.union(fuzzy).withColumn("identity", 1 - F.col("edits") / longer)
+
+
 def shared_spans(df: DataFrame, id_col: str, seq_col: str, span: int = 100, k: int = 31, gap_cost: float = 0.2, most: int = 20_000) -> DataFrame:
     """(id, span_start, span_end): maximal runs of positions that lie in some stretch of ``span`` letters, all A, C, G, T,
     that occurs in another row's sequence too.

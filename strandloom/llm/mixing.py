@@ -22,12 +22,23 @@ def _looked_up(key: Column, values: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("double")
 
 
-def _tilts(counted: DataFrame, goal: dict[str, float], cap: dict[str, float], mean: dict[str, float], steps: int, close: float) -> dict[str, float]:
-    """The tilt per source at which capped tilted rates reach the goal; infinite where all rates are at the cap."""
-    open_ = {s: 0.0 for s in goal}
-    low = {s: -64.0 for s in goal}
-    high = {s: 64.0 for s in goal}
-    done: dict[str, float] = {}
+def _tilts(counted: DataFrame, need: dict[str, int], cap: dict[str, float], mean: dict[str, float], steps: int, close: float) -> tuple[dict[str, float], set[str], dict[str, float]]:
+    """(tilt, unmet, residual) per source: the root of the dual's gradient, the sources that have none, and what is off in the end.
+
+    ``need`` are tokens in thousandths, so that the first step is exact.
+
+    The gradient, tokens reached less the goal, rises with the tilt up to that of all rates at their cap. The first step
+    takes it there, in whole tokens: where it is still negative the dual has no root, the source stays at its cap and is
+    unmet; where it is zero, or the goal is, the root is infinite. All others are solved by Newton steps inside a bracket.
+    """
+    top = {r["source"]: int(r["t"]) for r in counted.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("t")).collect()}
+    goal = {s: n / 1000 for s, n in need.items()}
+    ends = {s: top.get(s, 0) * int(cap[s]) * 1000 - n for s, n in need.items()}
+    unmet = {s for s, e in ends.items() if e < 0}
+    done = {s: math.inf for s, e in ends.items() if e <= 0} | {s: -math.inf for s, e in ends.items() if e > 0 and goal[s] == 0}
+    residual = dict.fromkeys(goal, 0.0)
+    open_ = {s: 0.0 for s in goal if s not in done}
+    low, high = dict.fromkeys(open_, -64.0), dict.fromkeys(open_, 64.0)
     for _ in range(steps):
         if not open_:
             break
@@ -39,6 +50,7 @@ def _tilts(counted: DataFrame, goal: dict[str, float], cap: dict[str, float], me
         for r in rows.groupBy("source").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).collect():
             s = r["source"]
             off = r["t"] - goal[s]
+            residual[s] = off / max(1.0, goal[s])
             if abs(off) <= close * max(1.0, goal[s]):
                 done[s] = open_.pop(s)
                 continue
@@ -48,7 +60,7 @@ def _tilts(counted: DataFrame, goal: dict[str, float], cap: dict[str, float], me
                 low[s] = open_[s]
             step = open_[s] - off / r["d"] if r["d"] > 0 else math.inf
             open_[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-    return done | open_
+    return done | open_, unmet, residual
 
 
 def mix_sources(df: DataFrame, id_col: str, source_col: str, size_col: str, weights: DataFrame, total: int | None = None, seed: int = 0, steps: int = 60, close: float = 1e-4) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +74,8 @@ def mix_sources(df: DataFrame, id_col: str, source_col: str, size_col: str, weig
     copies: id, source, size, rate, copies; rows of other or null sources have rate and copies 0, null or negative sizes
     count as 0 and such rows come once. Rates are rounded up or down by a hash of the id, never above the cap.
     report: one row per source of ``weights``: documents, tokens, target_share, target_tokens, reached_tokens,
-    reached_share, unmet. An empty table gives an empty mix; with a total of 0 no source is unmet.
+    reached_share, unmet (the dual has no root within the caps), residual (of the rates from the target, relative; beyond
+    ``close`` if ``steps`` did not suffice). An empty table gives an empty mix; with a total of 0 no source is unmet.
     """
     spark = df.sparkSession
     name = F.lower(stripped(F.col("source")))
@@ -74,14 +87,13 @@ def mix_sources(df: DataFrame, id_col: str, source_col: str, size_col: str, weig
     sums = {r["source"]: (r["docs"], r["tokens"]) for r in counted.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("tokens")).collect()}
     tokens = {s: int(sums.get(s, (0, 0))[1]) for s in share}
     whole = sum(tokens.values()) if total is None else total
-    goal = {s: share[s] * whole / 1000 for s in share}
-    unmet = {s: tokens[s] * cap[s] * 1000 < share[s] * whole for s in share}
-    reach = {s: goal[s] for s in share if tokens[s] and cap[s] and goal[s] < tokens[s] * cap[s]}
-    mean = {s: max(1.0, tokens[s] / sums[s][0]) for s in reach}
-    tilts = {s: -math.inf for s in reach if not goal[s]} | _tilts(counted, {s: g for s, g in reach.items() if g}, cap, mean, steps, close)
+    need = {s: share[s] * whole for s in share}
+    mean = {s: max(1.0, tokens[s] / sums[s][0]) if s in sums else 1.0 for s in share}
+    tilts, unmet, residual = _tilts(counted, need, cap, mean, steps, close)
+    finite = {s: t for s, t in tilts.items() if math.isfinite(t)}
     source, size = F.col("source"), F.col("size")
-    inside = source.isin(*sorted(s for s in reach if goal[s])) if any(goal[s] for s in reach) else F.lit(False)
-    power = _looked_up(source, {s: t for s, t in tilts.items() if math.isfinite(t)}) * size / _looked_up(source, mean)
+    inside = source.isin(*sorted(finite)) if finite else F.lit(False)
+    power = _looked_up(source, finite) * size / _looked_up(source, mean)
     most = F.coalesce(_looked_up(source, cap), F.lit(0.0))
     tilted = F.when(power < F.log(most), F.exp(power)).otherwise(most)
     none = [s for s in share if not share[s] or not cap[s]]
@@ -90,8 +102,8 @@ def mix_sources(df: DataFrame, id_col: str, source_col: str, size_col: str, weig
     copies = rows.withColumn("rate", F.when(size > 0, rate).otherwise(F.when(most > 0, 1.0).otherwise(0.0)))
     copies = copies.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("bigint")).cast("int"))
     got = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("reached_tokens"))
-    plan = [(s, int(sums.get(s, (0, 0))[0]), tokens[s], share[s] / 1000, goal[s], bool(unmet[s])) for s in sorted(share)]
-    report = spark.createDataFrame(plan, "source string, documents bigint, tokens bigint, target_share double, target_tokens double, unmet boolean")
+    plan = [(s, int(sums.get(s, (0, 0))[0]), tokens[s], share[s] / 1000, need[s] / 1000, s in unmet, residual[s]) for s in sorted(share)]
+    report = spark.createDataFrame(plan, "source string, documents bigint, tokens bigint, target_share double, target_tokens double, unmet boolean, residual double")
     report = report.join(got, "source", "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
     everything = F.sum("reached_tokens").over(Window.partitionBy(F.lit(0)))
     return copies, report.withColumn("reached_share", F.when(everything > 0, F.col("reached_tokens") / everything))

@@ -11,7 +11,7 @@ from strandloom.llm.chunks import furthest, pack, split_oversized, structure
 from strandloom.llm.labels import normal_accession, normal_split, species, stripped, with_class
 from strandloom.llm.mixing import mix_sources
 from strandloom.llm.quota_sample import quota_sample, swap_repair
-from strandloom.llm.related_splits import allocate, broken_relations, related_splits, relation_key, split_report
+from strandloom.llm.related_splits import Bundle, allocate, broken_relations, related_splits, relation_key, split_report
 from strandloom.llm.tokens import BYTE_BPE, Vocabulary, byte_characters, decoded, encoded
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(BYTE_BPE), reason="no vocabulary file")
@@ -48,23 +48,38 @@ def test_labels(spark):
 def test_swap_repair():
     rng = random.Random(1)
     for seed in range(40):
-        available = {c: rng.randrange(0, 200) for c in "abcdef"}
+        available = {(c,): rng.randrange(0, 200) for c in "abcde"} | {(): rng.randrange(0, 200)}
         targets = {c: (rng.randrange(0, 300), rng.randrange(0, 30)) for c in "abcde"}
         size = rng.randrange(0, sum(available.values()) + 10)
-        got = swap_repair(available, targets, size, seed)
-        assert sum(got.values()) == min(size, sum(available.values()))
+        got, figures = swap_repair(available, targets, size, seed)
+        assert sum(got.values()) == min(size, sum(available.values())) and figures["after"] <= figures["before"]
         assert all(0 <= got[c] <= available[c] for c in got)
-        floors = {c: min(available[c], targets.get(c, (0, 0))[1]) for c in got}
+        floors = {c: min(available[c], targets[c[0]][1] if c else 0) for c in got}
         if sum(floors.values()) <= size:
             assert all(got[c] >= floors[c] for c in got)
-            share = {c: targets.get(c, (0, 0))[0] * min(size, sum(available.values())) / 1000 for c in got}
+            share = {c: (targets[c[0]][0] if c else 0) * min(size, sum(available.values())) / 1000 for c in got}
             cost = sum((got[c] - share[c]) ** 2 for c in got)
             for c in got:
                 for d in got:
                     if c != d and got[c] > floors[c] and got[d] < available[d]:
                         other = cost - (got[c] - share[c]) ** 2 - (got[d] - share[d]) ** 2 + (got[c] - 1 - share[c]) ** 2 + (got[d] + 1 - share[d]) ** 2
                         assert other >= cost - 1e-6
-    assert swap_repair({}, {}, 5) == {}
+    assert swap_repair({}, {}, 5)[0] == {}
+
+
+def test_signatures_of_several_categories(spark):
+    """Rows with two categories count for both, so the exchange must see whole signatures."""
+    targets = {"a": (500, 10), "b": (500, 10), "c": (250, 40)}
+    got, figures = swap_repair({("a", "b"): 100, ("a", "c"): 100, ("b", "c"): 100, ("a",): 100, ("b",): 100, (): 100}, targets, 200)
+    counts = {c: sum(n for s, n in got.items() if c in s) for c in "abc"}
+    assert abs(counts["a"] - 100) <= 1 and abs(counts["b"] - 100) <= 1 and abs(counts["c"] - 50) <= 1 and got[()] <= 51
+    rows = [(i, [["x"], ["x", "y"], ["y", None, "y"], ["z"], [], None][i % 6]) for i in range(600)]
+    df = spark.createDataFrame(rows, "record_id bigint, labels array<string>")
+    goal = spark.createDataFrame([("x", 600, 0), ("y", 600, 0), ("q", 10, 3)], "compound_class string, target_permille int, min_records int")
+    sample, report = quota_sample(df, "record_id", "labels", goal, 100)
+    got = {r["category"]: r for r in report.collect()}
+    assert sample.count() == 100 and abs(got["x"]["taken"] - 60) <= 1 and abs(got["y"]["taken"] - 60) <= 1
+    assert got["q"]["shortfall"] == 3 and got["x"]["shortfall"] == 0 and got["x"]["swaps"] > 0 and got["x"]["deviation_after"] <= got["x"]["deviation_before"]
 
 
 def test_quota_sample(spark):
@@ -101,11 +116,18 @@ def test_related_splits(spark):
 
 
 def test_allocation_is_whole():
-    got = allocate([(10, 1, "a"), (1, 7, "a"), (3, 2, "b")], {"train": 8, "val": 1, "test": 1})
+    got = allocate([Bundle(10, 1, {"a": 1.0}), Bundle(1, 7, {"a": 1.0}), Bundle(3, 2, {"b": 0.5, "a": 0.5})], {"train": 8, "val": 1, "test": 1})
     assert [sum(g.values()) for g in got] == [10, 1, 3]
     assert got[1]["train"] == 1
 
 
+def test_repair_sees_whole_profiles():
+    """Two kinds of components have the same main label; only their minor labels tell where they must go."""
+    bundles = [Bundle(20, 10, {"a": 0.6, "b": 0.4}), Bundle(20, 10, {"a": 0.6, "c": 0.4})]
+    got = allocate(bundles, {"x": 1, "y": 1})
+    assert [g["x"] for g in got] == [10, 10]
+
+
 def test_broken_relations(spark):
     rows = [
         (1, "|S__AB_CD|", None, "train"),

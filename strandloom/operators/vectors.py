@@ -3,6 +3,13 @@ broadcast is one vector per class."""
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +23,33 @@ def load_vectors(spark, path: str, manifest: dict) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_npz(spark, path: str, ids: str = "ids", vectors: str = "vectors") -> DataFrame:
+    """(id, vector, model, layer): rows of NumPy archives, a task a file, each refused unless it says what made it.
+
+    An archive holds two arrays of equal length, ``ids`` (integers) and ``vectors``, and the provenance ``model`` and
+    ``layer`` as single values. One that lacks either fails the query; so do lengths that differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with store.open_input_file(at) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
+                    if not {"model", "layer"} <= set(z.files) or not str(z["model"]):
+                        raise ValueError(f"{name}: vectors without provenance are not read")
+                    own, rows = z[ids].astype(np.int64), z[vectors].astype(np.float32)
+                    if len(own) != len(rows):
+                        raise ValueError(f"{name}: {len(own)} ids for {len(rows)} vectors")
+                    model, layer = str(z["model"]), int(z["layer"])
+                for low in range(0, len(own), 4096):
+                    part = rows[low : low + 4096]
+                    lists = pa.ListArray.from_arrays(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), pa.array(part.reshape(-1)))
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[low : low + 4096]), lists, pa.array([model] * n), pa.array([layer] * n, pa.int32())], names=["id", "vector", "model", "layer"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "id bigint, vector array<float>, model string, layer int")
+
+
 def component_means(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, i, m, n): mean of each component per label."""
     return df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))

@@ -15,9 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
+_OWN_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def _remove_own() -> None:
+    for spark, path in _OWN_TABLES:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session or its store is gone
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
     for path in _OWN_DIRS:
         shutil.rmtree(path, ignore_errors=True)
 
@@ -25,6 +31,19 @@ def _remove_own() -> None:
 atexit.register(_remove_own)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder through the file system of its own scheme, wherever the store is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables that ``materialize`` wrote for this application; frames that read them cannot be used any more."""
+    for _, path in _OWN_TABLES:
+        _delete(spark, path)
+    _OWN_TABLES.clear()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session's cluster, once per application."""
     sc = spark.sparkContext
@@ -55,27 +74,37 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is made only where the setting is absent."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where the setting is absent a temporary folder is made in local mode only, where driver and executors are one process;
+    on a cluster it is an error.
+    """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="strandloom-")
         _OWN_DIRS.append(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder for files of this application, removed with its tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/strandloom/{uuid.uuid4().hex}"
+    _OWN_TABLES.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     Cuts the lineage like a reliable checkpoint, survives lost executors, and keeps column pruning for the reader.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandloom/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", codec).parquet(path)
-    local = path.removeprefix("file://")
-    if os.path.isdir(local):
-        _OWN_DIRS.append(local)
     return spark.read.schema(df.schema).parquet(path)
 
 

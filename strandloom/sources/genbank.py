@@ -6,13 +6,14 @@ member by member, one partition an archive; an archive that breaks off gives the
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import gzip
 import io
 import os
 import tarfile
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,6 +58,23 @@ def features(df: DataFrame, row: str = "accession") -> DataFrame:
     return rows.where("e is not null")
 
 
+def _archives(path: str) -> list[str]:
+    """Addresses of the archives of a file, a pattern in the last part of a path, or a folder, on the file system it names."""
+    whole = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
+    scheme, rest = whole.split("://", 1)
+    base, last = os.path.split(rest)
+    pattern = any(c in last for c in "*?[")
+    store, at = fs.FileSystem.from_uri(f"{scheme}://{base if pattern else rest}")
+    info = store.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [whole]
+    if info.type == fs.FileType.NotFound:
+        return []
+    inside = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File)
+    folder = base if pattern else rest.rstrip("/")
+    return [f"{scheme}://{folder}/{x}" for x in inside if fnmatch.fnmatch(x, last if pattern else "*.tar*")]
+
+
 class _Archive(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -67,16 +85,15 @@ class _ArchiveReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        path = self.options["path"].removeprefix("file://")
-        found = sorted(glob.glob(os.path.join(path, "*.tar*")) if os.path.isdir(path) else glob.glob(path))
-        return [_Archive(p) for p in found]
+        return [_Archive(p) for p in _archives(self.options["path"])]
 
     def read(self, partition) -> Iterator[tuple]:
         suffixes = tuple(self.options.get("suffixes", ".gbk,.gbk.gz,.gb").split(","))
         after, limit = self.options.get("after"), int(self.options.get("limit", -1))
         waiting, n = after is not None, 0
         try:
-            with tarfile.open(partition.path, "r|*") as tar:
+            store, at = fs.FileSystem.from_uri(partition.path)
+            with store.open_input_stream(at, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
                 for member in tar:
                     if waiting:
                         waiting = member.name != after

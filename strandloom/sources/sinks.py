@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +53,18 @@ def publish_text(text: str, path: str) -> None:
 
 
 def publish_table(df: DataFrame, path: str) -> None:
-    """A Parquet folder that appears at once: written beside the target, then moved."""
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    df.write.parquet(part)
-    if os.path.isdir(path):
-        old = f"{path}.{uuid.uuid4().hex}.old"
-        os.replace(path, old)
-        os.replace(part, path)
-        shutil.rmtree(old)
-    else:
-        os.replace(part, path)
+    """A Parquet folder that appears at once: written beside the target, then moved, on whatever file system the path names."""
+    jvm = df.sparkSession._jvm.org.apache.hadoop.fs
+    part, old, target = (jvm.Path(f"{path}{end}") for end in (f".{uuid.uuid4().hex}.part", f".{uuid.uuid4().hex}.old", ""))
+    store = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    df.write.parquet(part.toString())
+    replaced = store.exists(target)
+    if replaced:
+        store.rename(target, old)
+    if not store.rename(part, target):
+        raise OSError(f"{part.toString()} could not be moved to {path}")
+    if replaced:
+        store.delete(old, True)
 
 
 def append_row(df: DataFrame, path: str) -> None:
@@ -69,18 +76,39 @@ def write_ids(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().orderBy("value").write.mode("overwrite").text(path)
 
 
+def _digests(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """(path, sha256, bytes, lines) of each file, read in pieces where the tasks are; of its ``first`` lines if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                digest, size, lines = hashlib.sha256(), 0, 0
+                with store.open_input_stream(at, compression=None) as f:
+                    while piece := f.read(8 << 20):
+                        n = piece.count(b"\n")
+                        if first is not None and lines + n >= first:
+                            piece = b"\n".join(piece.split(b"\n")[: first - lines])
+                            digest.update(piece)
+                            size, lines = size + len(piece), first
+                            break
+                        digest.update(piece)
+                        size, lines = size + len(piece), lines + n
+                rows.append((name, digest.hexdigest(), size, lines))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)] if rows else [], names=["path", "sha256", "bytes", "lines"] if rows else [])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "path string, sha256 string, bytes bigint, lines bigint")
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, bytes, lines) of each file, computed where the files are."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.col("content").cast("string")
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint").alias("lines"))
+    """(path, sha256, bytes, lines) of each file, computed where the files are, whatever their size."""
+    return _digests(spark, path)
 
 
 def head_fingerprint(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
-    """(path, sha256): digest of the first ``lines`` lines of each file, an older and weaker form."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring_index(F.col("content").cast("string"), "\n", lines)
-    return files.select("path", F.sha2(F.encode(head, "utf-8"), 256).alias("sha256"))
+    """(path, sha256): digest of the first ``lines`` lines of each file without the last line end, an older and weaker form."""
+    return _digests(spark, path, lines).select("path", "sha256")
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:

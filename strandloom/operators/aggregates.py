@@ -76,6 +76,45 @@ def pair_profile(df: DataFrame, group: str, text: str, order: str, cap: int | No
     return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
+def text_profile(df: DataFrame, group: str, text: str, order: str, cap: int | None = None) -> DataFrame:
+    """(group, kind, item, n, share): in-frame codons, single bases and neighbouring pairs over all texts of a group, or
+    over its first ``cap`` in ``order``; shares are within a kind. Counted in part before the shuffle."""
+    from strandloom.functions.sequence import codons, kmers
+    from strandloom.runtime import spread
+
+    rows = df.where(F.col(text).isNotNull())
+    if cap is not None:
+        first = Window.partitionBy(group).orderBy(order)
+        keep = rows.select(order, F.row_number().over(first).alias("__r")).where(F.col("__r") <= cap).select(order)
+        rows = rows.join(keep, order, "left_semi")
+    t = F.upper(F.col(text))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("items")) for k, v in (("codon", codons(F.col(text))), ("base", kmers(t, 1)), ("pair", kmers(t, 2)))]))
+    items = spread(rows.select(group, text)).select(group, kinds.alias("k")).select(group, "k.kind", F.explode("k.items").alias("item"))
+    out = items.groupBy(group, "kind", "item").agg(F.count("*").alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group, "kind")))
+
+
+def stop_mass(places: DataFrame, record: str, place: str, base: str, p_a: str, p_g: str) -> DataFrame:
+    """(record, positions, stop_mass): mean probability that a codon's last base completes a stop, over its third places.
+
+    ``places`` has a row a position, 0-based and without gaps, with its base and the probabilities of A and G there: after
+    TA both complete a stop, after TG only A, after others none. A record's last whole codon is left out where it is a
+    stop, as the end is meant to be there. Records without a whole codon have no row.
+    """
+    at = F.floor(F.col(place) / 3)
+    parts = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.upper(base).alias("b"), F.col(p_a).alias("a"), F.col(p_g).alias("g"))))
+    codons = places.groupBy(record, at.alias("codon")).agg(parts.alias("c")).where(F.size("c") == 3)
+    two, third = F.concat(F.get("c", F.lit(0))["b"], F.get("c", F.lit(1))["b"]), F.get("c", F.lit(2))
+    mass = F.when(two == "TA", third["a"] + third["g"]).when(two == "TG", third["a"]).otherwise(0.0)
+    stop = ((two == "TA") & third["b"].isin("A", "G")) | ((two == "TG") & (third["b"] == "A"))
+    own = codons.select(record, "codon", mass.alias("m"), stop.alias("stop"))
+    # the last codon rides along in the aggregate instead of a window
+    last = F.max(F.struct("codon", "stop", "m"))
+    out = own.groupBy(record).agg(F.count("*").alias("n"), F.sum("m").alias("s"), last.alias("l"))
+    n = F.col("n") - F.col("l.stop").cast("int")
+    return out.select(record, n.alias("positions"), F.when(n > 0, (F.col("s") - F.when(F.col("l.stop"), F.col("l.m")).otherwise(0.0)) / n).alias("stop_mass"))
+
+
 def enriched(df: DataFrame, category: str, entity: str, item: str, top: int, ceiling: float = 10.0) -> DataFrame:
     """Per category the ``top`` items by frequency times enrichment (at most ``ceiling``) among its distinct entities.
 

@@ -40,6 +40,32 @@ def class_match(expected: Column, found: Column, parts: dict[str, list[str]] | N
     return F.when(F.size(found) > 0, hit)
 
 
+def cluster_detection(df: DataFrame, row: str, expected: str, products: str, words: DataFrame, word: str, value: str, parts: dict[str, list[str]] | None = None) -> DataFrame:
+    """(row, detected, found, unmapped, matched): the classes that a row's products map to, and products the map lacks.
+
+    ``products`` is an array; case and blanks do not matter for the map, of several classes the first in order counts.
+    detected: there is any product. matched: ``class_match`` of what was found; false where nothing was detected, null
+    where only unmapped products were.
+    """
+    known = words.where(F.col(word).isNotNull() & F.col(value).isNotNull()).groupBy(F.lower(F.trim(word)).alias("__w")).agg(F.min(value).alias("__c"))
+    each = df.select(row, F.explode(products).alias("__p")).where("__p is not null").withColumn("__w", F.lower(F.trim("__p"))).join(known, "__w", "left")
+    per = each.groupBy(row).agg(F.array_sort(F.collect_set("__c")).alias("found"), F.array_sort(F.collect_set(F.when(F.col("__c").isNull(), F.col("__p")))).alias("unmapped"))
+    both = df.select(row, expected).join(per, row, "left")
+    none = F.array().cast("array<string>")
+    out = F.when(F.col("found").isNull(), False).otherwise(class_match(F.col(expected), F.col("found"), parts))
+    return both.select(row, F.col("found").isNotNull().alias("detected"), F.coalesce("found", none).alias("found"), F.coalesce("unmapped", none).alias("unmapped"), out.alias("matched"))
+
+
+def run_checks(df: DataFrame, checks: dict[str, tuple[Column, Column]], skip: list[str] = ()) -> DataFrame:
+    """Adds a verdict column for each check, name -> (passed, skipped), and ``failed``, the names of those that failed.
+
+    Checks of ``skip`` are skipped in every row and not computed.
+    """
+    out = {n: F.lit("skipped") if n in skip else verdict(p, s) for n, (p, s) in checks.items()}
+    failed = F.array_compact(F.array(*[F.when(v == "FAIL", F.lit(n)) for n, v in out.items()]))
+    return df.withColumns(out | {"failed": failed})
+
+
 def marker_check(df: DataFrame, row: str, expected: str, hits: DataFrame, item: str, markers: DataFrame, marker: str, label: str, neutral: str = "OTHER") -> DataFrame:
     """(row, present, missing, unknown_class, passed): which markers of its class a row has.
 

@@ -107,6 +107,17 @@ def torn_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     return df.where(F.col(split).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
 
 
+def require_disjoint(df: DataFrame, group: str, split: str) -> DataFrame:
+    """``df`` itself, if no group has rows in more than one split; the query fails where one has.
+
+    The number of torn groups is one value that every row is checked against, so nothing is joined or collected.
+    """
+    torn = torn_groups(df, group, split).agg(F.count("*")).scalar()
+    checked = df.withColumn("__torn", torn)
+    fine = F.when(F.col("__torn") == 0, True).otherwise(F.raise_error(F.concat(F.col("__torn").cast("string"), F.lit(f" groups of {group} are in more than one {split}"))).cast("boolean"))
+    return checked.where(fine).drop("__torn")
+
+
 def viability(df: DataFrame, label: str, group: str, split: str, least: dict[str, int], least_groups: int) -> DataFrame:
     """(label, groups, reasons): per label the minimums it misses; no reasons means viable."""
     counts = [F.count_if(F.col(split) == s).alias(f"n_{s}") for s in least]

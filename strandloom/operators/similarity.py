@@ -373,6 +373,73 @@ def link_classes(df: DataFrame, row: str, text: str, links: DataFrame) -> DataFr
     return rows.join(of, "d", "left").select(F.col("r").alias(row), F.coalesce("class_id", "r").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
+def greedy_distinct(df: DataFrame, row: str, text: str, links: DataFrame) -> DataFrame:
+    """(row): the texts that a pass in order of ``row`` would count as distinct: each is kept unless linked to one kept before.
+
+    The pass is sequential, its result is not: in rounds, texts without an undecided linked text before them are kept and
+    those linked to them are dropped. Only linked texts take part; all others are distinct. Equal texts count once.
+    """
+    digest = F.md5(F.encode(F.col(text), "utf-8"))
+    reps = df.where(F.col(text).isNotNull()).groupBy(digest.alias("__d")).agg(F.min(row).alias("r")).select("r")
+    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    left = materialize(pairs)
+    nodes = left.select(F.col("a").alias("r")).union(left.select(F.col("b").alias("r"))).distinct()
+    undecided = materialize(nodes)
+    alone = reps.join(undecided, "r", "left_anti")
+    kept = [alone]
+    while undecided.limit(1).count():
+        free = materialize(undecided.join(left.select(F.col("b").alias("r")).distinct(), "r", "left_anti"))
+        kept.append(free)
+        gone = left.join(free.select(F.col("r").alias("a")), "a", "left_semi").select(F.col("b").alias("r")).distinct()
+        undecided = materialize(undecided.join(free.union(gone), "r", "left_anti"))
+        left = left.join(undecided.select(F.col("r").alias("a")), "a", "left_semi").join(undecided.select(F.col("r").alias("b")), "b", "left_semi")
+        left = materialize(left.select("a", "b"))
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.union(k)
+    return out.select(F.col("r").alias(row))
+
+
+def pairwise_summary(df: DataFrame, row: str, text: str, k: int = 21) -> DataFrame:
+    """One row: texts, pairs, meeting (pairs that share a k-mer), median and greatest containment over all pairs.
+
+    Containment is that of the smaller set, 0 for pairs that share nothing; these are counted, not made. For sets of texts
+    that share little, such as the results of one run: every pair that meets is a row. Equal texts count once.
+    """
+    links = full_links(df, row, text, k, 1e-9)
+    met = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("containment").alias("c"))
+    n = df.where(F.col(text).isNotNull()).agg(F.countDistinct(F.md5(F.encode(F.col(text), "utf-8"))).alias("n"))
+    counts = materialize(met.groupBy("c").agg(F.count("*").alias("n")))
+    values = counts.agg(F.sum("n").alias("meeting"), F.max("c").alias("greatest"))
+    one = n.withColumns({"meeting": values.select(F.coalesce("meeting", F.lit(0))).scalar(), "greatest": values.select("greatest").scalar()})
+    one = one.withColumn("pairs", F.expr("n * (n - 1) div 2"))
+    zeros = counts.select("c", "n").union(one.select(F.lit(0.0), F.col("pairs") - F.col("meeting")))
+    median = zeros.where("n > 0").agg(F.expr("percentile(c, 0.5, n)").alias("m")).scalar()
+    return one.select(F.col("n").alias("texts"), "pairs", "meeting", median.alias("median"), F.coalesce("greatest", F.when(F.col("pairs") > 0, 0.0)).alias("greatest"))
+
+
+def near_cleaned_splits(df: DataFrame, row: str, split: str, text: str, links: DataFrame) -> DataFrame:
+    """As ``cleaned_splits``, but a row also goes if its text is linked to one in a split above, not only equal to it.
+
+    ``links``: (a, b) of representatives, the least rows of equal texts, as ``full_links`` gives them. val and test are
+    cleaned against train, then val against the cleaned test. Null texts match nothing.
+    """
+    digest = F.md5(F.encode(F.col(text), "utf-8"))
+    reps = df.where(F.col(text).isNotNull()).groupBy(digest.alias("__d")).agg(F.min(row).alias("__rep"))
+    rows = df.withColumn("__d", digest).join(reps, "__d", "left").drop("__d")
+    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+
+    def near(above: DataFrame) -> DataFrame:
+        own = above.where("__rep is not null").select("__rep").distinct()
+        return own.union(both.join(own.select(F.col("__rep").alias("b")), "b").select(F.col("a").alias("__rep"))).distinct()
+
+    of = lambda name: rows.where(F.col(split) == name)
+    train = materialize(near(of("train")))
+    test = of("test").join(train, "__rep", "left_anti")
+    val = of("val").join(train, "__rep", "left_anti").join(near(test), "__rep", "left_anti")
+    return rows.where(~F.coalesce(F.col(split).isin("val", "test"), F.lit(False))).unionByName(test).unionByName(val).drop("__rep")
+
+
 def set_summary(classes: DataFrame) -> DataFrame:
     """One row: rows, classes, share of rows with a link, and the size of the largest class."""
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(F.col("links") > 0).alias("linked"))

@@ -125,12 +125,13 @@ def paired_t(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
 def against_others(df: DataFrame, pair: str, arm: str, value: str, least_arms: int = 2, least_pairs: int = 3) -> DataFrame:
     """(arm, n, mean, median, p, p_adjusted): each arm's value less the mean of the other arms of its pair.
 
-    Pairs need ``least_arms`` others, arms ``least_pairs`` pairs; p by sign test, times the number of arms tested.
+    Pairs need ``least_arms`` others, arms ``least_pairs`` pairs; p by sign test, times the number of arms tested. What
+    differs only beyond the twelfth decimal, as sums in another order do, is a tie.
     """
     w = Window.partitionBy(pair)
     rows = df.where(F.col(value).isNotNull()).withColumn("__n", F.count("*").over(w) - 1).withColumn("__o", (F.sum(value).over(w) - F.col(value)) / F.nullif(F.col("__n"), F.lit(0)))
     rows = rows.where(F.col("__n") >= least_arms).withColumn("d", F.col(value) - F.col("__o"))
-    out = rows.groupBy(arm).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.count_if(F.col("d") > 0).alias("__w"), F.count_if(F.col("d") < 0).alias("__l")).where(F.col("n") >= least_pairs)
+    out = rows.groupBy(arm).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.count_if(F.round("d", 12) > 0).alias("__w"), F.count_if(F.round("d", 12) < 0).alias("__l")).where(F.col("n") >= least_pairs)
     out = out.withColumn("p", _batch(sign_p, F.col("__w"), F.col("__l")))
     return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * F.count("*").over(Window.partitionBy(F.lit(0))))).drop("__w", "__l")
 
@@ -167,3 +168,24 @@ def probe(df: DataFrame, vector: str, label: str, fold: str, regularisation: flo
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy(fold, label).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).withColumn("recall", F.col("hits") / F.col("n"))
+
+
+def probe_summary(df: DataFrame, row: str, layers: list[str], label: str, fold: str, regularisation: float = 1.0, seed: str = "0") -> DataFrame:
+    """(layer, labels, folds, balanced_accuracy, sem): probes of every vector column, on the labels as they are and dealt anew.
+
+    Balanced accuracy is the mean of a fold's recalls, averaged over folds; sem is the standard error over folds. Dealt
+    labels are those of the row of equal rank in another random order: what a probe reaches on them is chance.
+    """
+    from strandloom.runtime import rank_by_md5
+
+    rows = rank_by_md5(df, [], row, "__n", seed)
+    dealt = rank_by_md5(df.select(F.col(row).alias("__o"), F.col(label).alias("__dealt")), [], "__o", "__n", f"{seed}-labels").select("__n", "__dealt")
+    both = rows.join(dealt, "__n")
+    out = None
+    for layer in layers:
+        for name, column in (("real", label), ("dealt", "__dealt")):
+            per = probe(both, layer, column, fold, regularisation).groupBy(fold).agg(F.avg("recall").alias("b"))
+            one = per.agg(F.count("*").alias("folds"), F.avg("b").alias("balanced_accuracy"), (F.stddev_samp("b") / F.sqrt(F.count("*"))).alias("sem"))
+            one = one.select(F.lit(layer).alias("layer"), F.lit(name).alias("labels"), "folds", "balanced_accuracy", "sem")
+            out = one if out is None else out.unionByName(one)
+    return out

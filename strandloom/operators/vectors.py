@@ -144,6 +144,25 @@ def null_band(df: DataFrame, row: str, label: str, vector: str, rounds: int) ->
     return out.select("round", "stability")
 
 
+def band(rounds: DataFrame) -> DataFrame:
+    """One row: mean and 95th percentile of the stability of the rounds of ``null_band``, and how many there were."""
+    return rounds.agg(F.avg("stability").alias("mean"), F.percentile("stability", 0.95).alias("p95"), F.count("*").alias("rounds"))
+
+
+def admissible(df: DataFrame, row: str, label: str, vector: str, rounds: int, least_auc: float = 0.6) -> DataFrame:
+    """(label, stability, auc, limit, admissible): whether an axis is stabler than the 95th percentile of dealt labels and tells
+    its label apart in held-out rows."""
+    limit = band(null_band(df, row, label, vector, rounds)).select("p95").scalar()
+    both = split_half(df, row, label, vector).join(held_out_auc(df, row, label, vector), label).withColumn("limit", limit)
+    return both.withColumn("admissible", F.coalesce((F.col("stability") > F.col("limit")) & (F.col("auc") >= least_auc), F.lit(False)))
+
+
+def without_first_component(df: DataFrame, row: str, vector: str, name: str = "kept") -> DataFrame:
+    """``df`` with every vector less its part along the first principal component; null vectors stay null."""
+    axis, _, _ = first_component(df, row, vector)
+    return df.withColumn(name, without_axis(F.col(vector), F.array(*map(F.lit, axis))))
+
+
 def logit_direction(coefficients: Column, deviations: Column) -> Column:
     """A direction fitted on standardised vectors, in raw space: coefficients over standard deviations (0 where there is none)."""
     return F.zip_with(coefficients, deviations, lambda c, s: F.when(s > 0, c / s).otherwise(0.0))

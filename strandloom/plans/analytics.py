@@ -106,7 +106,12 @@ def jn17_all_links(spark, d):
     return rounded(_full_links(spark, d, 0.5)[1])
 
 
-@query()
+_CLASSES = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT a, b FROM ({_ALL_PAIRS} SELECT a, b FROM p WHERE a < b AND shared / least(na, nb) >= 0.6)), n AS (SELECT a, b FROM l UNION SELECT b, a FROM l), t AS (SELECT a AS x, a AS y FROM n UNION SELECT t.x, n.b FROM t JOIN n ON n.a = t.y), c AS (SELECT x AS rep, min(y) AS class_id FROM t GROUP BY 1),
+    r AS (SELECT record_id, sequence, CASE WHEN sequence IS NOT NULL THEN min(record_id) OVER (PARTITION BY sequence) ELSE record_id END AS rep, CASE WHEN sequence IS NOT NULL THEN count(*) OVER (PARTITION BY sequence) ELSE 1 END AS copies FROM mibig_records), k AS (SELECT DISTINCT rep, copies FROM r), d AS (SELECT n.a AS rep, sum(copies) AS deg FROM n JOIN k ON k.rep = n.b GROUP BY 1)
+    SELECT record_id, coalesce(class_id, r.rep) AS class_id, CAST(coalesce(deg, 0) + copies - 1 AS BIGINT) AS links FROM r LEFT JOIN c ON c.rep = r.rep LEFT JOIN d ON d.rep = r.rep"""
+
+
+@query(_CLASSES.replace(">= 0.6", ">= 0.5"))
 def jn17_link_classes(spark, d):
     rows, links = _full_links(spark, d, 0.5)
     return similarity.link_classes(rows, "record_id", "sequence", _either_way(links))
@@ -151,13 +156,31 @@ def sim10_full_links(spark, d):
     return rounded(_either_way(_full_links(spark, d, 0.6)[1]))
 
 
-@query()
+@query(_CLASSES)
 def sim11_link_classes(spark, d):
     rows, links = _full_links(spark, d, 0.6)
     return similarity.link_classes(rows, "record_id", "sequence", _either_way(links))
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT a, b FROM ({_ALL_PAIRS} SELECT a, b FROM p WHERE a < b AND shared / least(na, nb) >= 0.6)), n AS (SELECT a, b FROM l UNION SELECT b, a FROM l), o AS (SELECT a AS x, list(b) AS near, row_number() OVER (ORDER BY a) AS i FROM n GROUP BY 1),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, x) END FROM g JOIN o ON o.i = g.i + 1)
+    SELECT record_id FROM (SELECT min(record_id) AS record_id FROM mibig_records WHERE sequence IS NOT NULL GROUP BY sequence) WHERE record_id NOT IN (SELECT x FROM o) OR record_id IN (SELECT unnest(kept) FROM g WHERE i = (SELECT max(i) FROM g))"""
+
+
+@query(_GREEDY)
+def sim11_greedy_distinct(spark, d):
+    rows, links = _full_links(spark, d, 0.6)
+    return similarity.greedy_distinct(rows, "record_id", "sequence", _either_way(links))
+
+
+@query(f"""{_ALL_PAIRS}, v AS (SELECT shared / least(na, nb) AS c FROM p WHERE a < b), t AS (SELECT count(*) AS n FROM s), q AS (SELECT unnest(list_concat((SELECT list(c) FROM v), list_resize([]::DOUBLE[], CAST(n * (n - 1) / 2 - (SELECT count(*) FROM v) AS BIGINT), 0))) AS c FROM t)
+    SELECT (SELECT n FROM t) AS texts, count(*) AS pairs, count(*) FILTER (c > 0) AS meeting, round(median(c), 6) AS median, round(max(c), 6) AS greatest FROM q""")
+def sim12_pairwise(spark, d):
+    rows = _records(spark, d)
+    return rounded(similarity.pairwise_summary(rows, "record_id", "sequence", 21))
+
+
+@query(f"SELECT count(*) AS rows, count(DISTINCT class_id) AS classes, count(*) FILTER (links > 0) / count(*) AS near_dup_share, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY class_id) AS n FROM ({_CLASSES}))")
 def sim12_set_summary(spark, d):
     rows, links = _full_links(spark, d, 0.6)
     return similarity.set_summary(similarity.link_classes(rows, "record_id", "sequence", _either_way(links)))
@@ -182,6 +205,18 @@ def sim15_cleaned_splits(spark, d):
     return similarity.cleaned_splits(rows, "record_id", "split", F.md5(F.encode("sequence", "utf-8"))).select("record_id")
 
 
+@query(
+    f"""{_ALL_PAIRS}, l AS MATERIALIZED (SELECT a, b FROM p WHERE shared / least(na, nb) >= 0.6), n AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT record_id, record_id FROM s),
+    r AS (SELECT record_id, CASE WHEN lower(trim(split)) IN ('valid', 'validation') THEN 'val' ELSE lower(trim(split)) END AS split, CASE WHEN sequence IS NOT NULL THEN min(record_id) OVER (PARTITION BY sequence) END AS rep FROM mibig_records),
+    tr AS (SELECT DISTINCT n.a AS rep FROM r JOIN n ON n.b = r.rep WHERE split = 'train'), te AS (SELECT * FROM r WHERE split = 'test' AND (rep IS NULL OR rep NOT IN (SELECT rep FROM tr))), ne AS (SELECT DISTINCT n.a AS rep FROM te JOIN n ON n.b = te.rep)
+    SELECT record_id FROM r WHERE split IS NULL OR split NOT IN ('val', 'test') UNION ALL SELECT record_id FROM te UNION ALL SELECT record_id FROM r WHERE split = 'val' AND (rep IS NULL OR (rep NOT IN (SELECT rep FROM tr) AND rep NOT IN (SELECT rep FROM ne)))"""
+)
+def sim15_near_cleaned_splits(spark, d):
+    s = F.lower(F.trim("split"))
+    rows = _records(spark, d).withColumn("split", F.when(s.isin("valid", "validation"), "val").otherwise(s))
+    return similarity.near_cleaned_splits(rows, "record_id", "split", "sequence", _full_links(spark, d, 0.6)[1]).select("record_id")
+
+
 @query("SELECT source, count(*) AS before, count(*) FILTER (record_id IN (SELECT record_id FROM domain_hits)) AS removed, count(*) FILTER (record_id NOT IN (SELECT record_id FROM domain_hits)) AS \"after\" FROM mibig_records GROUP BY source")
 def sim16_excluded_report(spark, d):
     return similarity.excluded(_records(spark, d), table(spark, d, "domain_hits"), "record_id", "source")[1]
@@ -259,7 +294,14 @@ def sp3_group_split(spark, d):
     return sampling.assign_groups(rows, "g", "compound_class", {"train": 0.8, "val": 0.1, "test": 0.1})
 
 
-@query()
+@query(
+    """WITH RECURSIVE k AS (SELECT compound_class AS c, CASE WHEN length(taxonomic_tag) > 0 THEN 'g::' || taxonomic_tag WHEN length(accession) > 0 THEN 'a::' || accession ELSE 'h::' || md5(coalesce(sequence, '')) END AS g FROM mibig_records), z AS (SELECT c, g, count(*) AS n FROM k GROUP BY 1, 2),
+    s AS (SELECT coalesce(c, chr(0)) AS c, g, n, row_number() OVER (PARTITION BY c ORDER BY n DESC, g) AS r, CAST(sum(n) OVER (PARTITION BY c) AS DOUBLE) AS t FROM z),
+    w AS (SELECT c, CAST(0 AS BIGINT) AS r, '' AS g, '' AS split, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS z FROM s GROUP BY c
+    UNION ALL SELECT c, r, g, split, x + CASE split WHEN 'train' THEN n ELSE 0 END, y + CASE split WHEN 'val' THEN n ELSE 0 END, z + CASE split WHEN 'test' THEN n ELSE 0 END FROM (
+      SELECT w.c, s.r, s.g, s.n, x, y, z, CASE WHEN (0.8::DOUBLE * t - x) / (0.8::DOUBLE * t) >= (0.1::DOUBLE * t - y) / (0.1::DOUBLE * t) AND (0.8::DOUBLE * t - x) / (0.8::DOUBLE * t) >= (0.1::DOUBLE * t - z) / (0.1::DOUBLE * t) THEN 'train' WHEN (0.1::DOUBLE * t - y) / (0.1::DOUBLE * t) >= (0.1::DOUBLE * t - z) / (0.1::DOUBLE * t) THEN 'val' ELSE 'test' END AS split FROM w JOIN s ON s.c = w.c AND s.r = w.r + 1))
+    SELECT CASE WHEN c <> chr(0) THEN c END AS compound_class, g, split FROM w WHERE r > 0"""
+)
 def sp4_deficit_split(spark, d):
     rows = _records(spark, d).withColumn("g", names.group_key(F.col("taxonomic_tag"), F.col("accession"), F.col("sequence")))
     return sampling.deficit_split(rows, "compound_class", "g", {"train": 0.8, "val": 0.1, "test": 0.1})
@@ -370,7 +412,13 @@ def ch1_ch2_ch4_ch11_tiles(spark, d):
     return windows.tiles(_records(spark, d).select("record_id", F.length("sequence").alias("n")), F.col("n"), size, stride).select("record_id", "window", "nt_start", "nt_end", "last")
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (SELECT record_id, max(genes) AS genes FROM domain_annotations WHERE genes IS NOT NULL GROUP BY 1), r AS (SELECT m.record_id, CAST(length(sequence) AS BIGINT) AS n, list_sort(list_transform(list_filter(coalesce(genes, []), lambda x: x.s IS NOT NULL AND x.e IS NOT NULL), lambda x: {'s': x.s, 'e': x.e})) AS g FROM mibig_records m LEFT JOIN g USING (record_id) WHERE sequence IS NOT NULL),
+    p AS (SELECT record_id, n, g, CAST(0 AS BIGINT) AS a, CASE WHEN n <= 2000 THEN n WHEN len(g) = 0 THEN 2000 ELSE coalesce((SELECT CASE WHEN f > 0 THEN f END FROM (SELECT list_filter(g, lambda x: x.s >= 0 AND x.s < 2000 AND x.e <= 2000)[-1].e AS f)), 2000) END AS e FROM r
+    UNION ALL SELECT record_id, n, g, b, CASE WHEN n - b <= 2000 THEN n WHEN len(g) = 0 THEN b + 2000 ELSE coalesce(CASE WHEN f > b THEN f END, b + 2000) END
+      FROM (SELECT *, list_filter(g, lambda x: x.s >= b AND x.s < b + 2000 AND x.e <= b + 2000)[-1].e AS f FROM (SELECT *, CASE WHEN len(g) = 0 THEN a + 1800 WHEN e - 200 > a THEN e - 200 ELSE e END AS b FROM p WHERE n - a > 2000)))
+    SELECT record_id, CAST(a AS INTEGER) AS nt_start, CAST(e AS INTEGER) AS nt_end FROM p"""
+)
 def ch3_gene_tiles(spark, d):
     genes = table(spark, d, "domain_annotations").where("genes is not null").groupBy("record_id").agg(F.max("genes").alias("genes"))
     rows = _records(spark, d).select("record_id", F.length("sequence").alias("n")).join(genes, "record_id", "left")
@@ -414,7 +462,11 @@ def ch8_free_windows(spark, d):
     return windows.free_windows(rows, "record_id", "sequence", "spans", 500)
 
 
-@query()
+@query(
+    """WITH a AS (SELECT record_id, max(length) AS n, max(spans) AS sp FROM domain_annotations WHERE length IS NOT NULL GROUP BY 1), i AS (SELECT record_id, n, list_filter(coalesce(sp, []), lambda x: x.is_class AND x.e > x.s AND x.e > 0 AND x.s < n) AS ins FROM a WHERE n > 0),
+    c AS (SELECT *, list_sort(list_distinct(list_concat([0, n], flatten(list_transform(ins, lambda x: [greatest(x.s, 0), least(x.e, n)]))))) AS cuts FROM i), r AS (SELECT *, unnest(range(1, len(cuts))) AS k FROM c), q AS (SELECT record_id, n, ins, cuts[k] AS s, cuts[k + 1] AS e FROM r),
+    w AS (SELECT record_id, n, s, e, CASE WHEN len(list_filter(ins, lambda x: x.s <= s AND x.e >= e)) > 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM q) SELECT record_id, s AS start, e AS "end", round(w / (sum(w * (e - s)) OVER (PARTITION BY record_id) / n), 6) AS w FROM w"""
+)
 def ch9_weight_runs(spark, d):
     rows = table(spark, d, "domain_annotations").where("length is not null").groupBy("record_id").agg(F.max("length").alias("length"), F.max("spans").alias("spans"))
     return rounded(windows.weight_runs(rows, "record_id", "length", "spans", 3.0))
@@ -459,13 +511,13 @@ _REF = {"AA": 1.1, "CG": 0.9, "TA": 0.8, "GC": 1.2}
 
 
 @query(
-    """WITH s AS (SELECT record_id, upper(sequence) AS s, length(sequence) AS n FROM mibig_records WHERE length(sequence) >= 2 AND NOT regexp_matches(upper(sequence), '[^ACGT]')), k AS (SELECT record_id, unnest(list_transform(range(1, n), lambda i: substring(s, i, 2))) AS p FROM s),
+    """WITH s AS (SELECT record_id, upper(sequence) AS s, length(sequence) AS n FROM mibig_records WHERE length(sequence) >= 2), k AS (SELECT record_id, unnest(list_transform(range(1, n), lambda i: substring(s, i, 2))) AS p FROM s),
     c AS (SELECT record_id, p, count(*) AS m FROM k GROUP BY 1, 2), v(p, r) AS (VALUES ('AA', 1.1), ('CG', 0.9), ('TA', 0.8), ('GC', 1.2)),
     o AS (SELECT record_id, CAST(r AS DOUBLE) AS r, m / (CAST(n - length(replace(s, p[1], '')) AS DOUBLE) / n * (n - length(replace(s, p[2], ''))) / n * (n - 1)) AS ratio FROM c JOIN v USING (p) JOIN s USING (record_id))
     SELECT record_id, round(sqrt(avg((ratio - r) * (ratio - r))), 6) AS rmsd FROM o GROUP BY 1"""
 )
 def fn8_fn9_pair_rmsd(spark, d):
-    rows = _records(spark, d).where("length(sequence) >= 2 and not upper(sequence) rlike '[^ACGT]'")
+    rows = _records(spark, d).where("length(sequence) >= 2")
     return rounded(rows.select("record_id", sequence.rmsd(sequence.pair_ratios(F.upper("sequence")), _REF).alias("rmsd")).where(F.col("rmsd") < 1e300))
 
 
@@ -650,7 +702,15 @@ def ru5_homology(spark, d):
     return rules.homology_check(_records(spark, d), "record_id", hits.select("record_id", "orf").distinct(), "orf", hits.where("evalue < 1e-10"), "orf")
 
 
-@query()
+@query(
+    """WITH s AS (SELECT record_id, upper(sequence) AS s, length(sequence) AS n, taxonomic_tag AS tag FROM mibig_records WHERE length(sequence) >= 2), k AS (SELECT record_id, unnest(list_transform(range(1, n), lambda i: substring(s, i, 2))) AS p FROM s), m AS (SELECT record_id, p, count(*) AS m FROM k GROUP BY 1, 2), v(p, r) AS (VALUES ('AA', 1.1), ('CG', 0.9), ('TA', 0.8), ('GC', 1.2)),
+    o AS (SELECT record_id, CAST(r AS DOUBLE) AS r, m / (CAST(n - length(replace(s, p[1], '')) AS DOUBLE) / n * (n - length(replace(s, p[2], ''))) / n * (n - 1)) AS ratio FROM m JOIN v USING (p) JOIN s USING (record_id)), d AS (SELECT record_id, sqrt(avg((ratio - r) * (ratio - r))) AS d FROM o GROUP BY 1),
+    w(c, w) AS (VALUES """
+    + ", ".join(f"('{c}', {w!r})" for c, w in sorted(_WEIGHTS.items()) if w > 0)
+    + """), q AS (SELECT record_id, unnest(list_transform(range(1, greatest(n - 1, 1), 3), lambda i: substring(s, i, 3))) AS c FROM s), l AS (SELECT record_id, exp(avg(ln(w))) AS cai FROM q JOIN w ON w.c = q.c GROUP BY 1),
+    g AS (SELECT *, length(regexp_replace(s, '[^ACGT]', '', 'g')) AS b, length(regexp_replace(s, '[^GC]', '', 'g')) AS gc FROM s)
+    SELECT record_id, CASE WHEN tag IS NOT NULL THEN coalesce(CAST(CASE WHEN b > 0 THEN gc / b ELSE 0 END BETWEEN 0.35 AND 0.65 AS INTEGER), 0) + coalesce(CAST(cai >= 0.3 AS INTEGER), 0) + coalesce(CAST(d < 0.25 AS INTEGER), 0) >= 2 END AS faithful FROM g LEFT JOIN l USING (record_id) LEFT JOIN d USING (record_id)"""
+)
 def ru7_faithfulness(spark, d):
     s = F.upper("sequence")
     gc, cai, distance = sequence.gc_of_acgt(s), sequence.adaptation_index(s, _WEIGHTS), sequence.rmsd(sequence.pair_ratios(s), _REF)
@@ -658,7 +718,11 @@ def ru7_faithfulness(spark, d):
     return rows.select("record_id", rules.faithful(gc, (0.35, 0.65), cai, 0.3, distance, 0.25, F.col("taxonomic_tag").isNotNull()).alias("faithful"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT DISTINCT * FROM domain_hits WHERE acc IS NOT NULL), t AS (SELECT acc, row_number() OVER (ORDER BY count(*) DESC, acc) AS r FROM h GROUP BY 1), o AS (SELECT record_id, string_agg(CASE r WHEN 1 THEN 'x' ELSE 'y' END, '' ORDER BY orf * 10000 + env_from, h.acc) AS s FROM h JOIN t ON t.acc = h.acc AND r <= 2 GROUP BY 1),
+    c AS (SELECT record_id, CAST(least(length(replace(s, 'y', '')), length(replace(s, 'x', ''))) AS INTEGER) AS module_count, CAST(len(regexp_extract_all(s, 'x+y')) AS INTEGER) AS ordered_count FROM o)
+    SELECT record_id, module_count, ordered_count, round(CASE WHEN module_count > 0 THEN ordered_count / module_count END, 6) AS in_order, ordered_count >= 1 AS passed FROM c"""
+)
 def ru6_fn29_fn30_modules(spark, d):
     hits = table(spark, d, "domain_hits").where("acc is not null").distinct()
     top = [r["acc"] for r in ranking.top_groups(hits, "acc", 2).collect()]
@@ -735,10 +799,14 @@ def st3_wilson(spark, d):
     return rounded(c.select("acc", low.alias("low"), high.alias("high")))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT acc, count(*) FILTER (strand > 0 AND bit_score > 60) AS a, count(*) FILTER (strand > 0 AND NOT bit_score > 60) AS b, count(*) FILTER (NOT strand > 0 AND bit_score > 60) AS c, count(*) FILTER (NOT strand > 0 AND NOT bit_score > 60) AS d FROM domain_hits WHERE strand IS NOT NULL AND bit_score IS NOT NULL GROUP BY 1),
+    m AS (SELECT *, a + b AS r, a + c AS s, a + b + c + d AS n FROM c), f AS (SELECT *, list_transform(range(greatest(0, r + s - n), least(r, s) + 1), lambda x: lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(s - x + 1) - lgamma(n - r - s + x + 1) - lgamma(n + 1) + lgamma(s + 1) + lgamma(n - s + 1)) AS l FROM m)
+    SELECT acc, a, b, c, d, round(1e-9 + least(1, list_sum(list_transform(list_filter(l, lambda x: x <= l[a - greatest(0, r + s - n) + 1] + 1e-9), lambda x: exp(x)))), 5) AS p FROM f"""
+)
 def st4_fisher(spark, d):
     rows = table(spark, d, "domain_hits")
-    return rounded(stats.fisher_test(rows, ["acc"], F.col("strand") > 0, F.col("bit_score") > 60))
+    return rounded(stats.fisher_test(rows, ["acc"], F.col("strand") > 0, F.col("bit_score") > 60).withColumn("p", F.col("p") + 1e-9), 5)
 
 
 @query(
@@ -788,16 +856,26 @@ def st12_calibration(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT l_orderkey AS p, l_linenumber AS a, avg(l_discount) AS v FROM lineitem GROUP BY 1, 2), y AS (SELECT *, count(*) OVER (PARTITION BY p) - 1 AS n, (sum(v) OVER (PARTITION BY p) - v) / nullif(count(*) OVER (PARTITION BY p) - 1, 0) AS o FROM x)
-    SELECT a AS l_linenumber, count(*) AS n, round(avg(v - o), 8) AS mean, round(median(v - o), 8) AS median FROM y WHERE n >= 2 GROUP BY 1 HAVING count(*) >= 3"""
+    f"""WITH x AS (SELECT l_orderkey AS p, l_linenumber AS a, avg(l_discount) AS v FROM lineitem GROUP BY 1, 2), y AS (SELECT *, count(*) OVER (PARTITION BY p) - 1 AS n, (sum(v) OVER (PARTITION BY p) - v) / nullif(count(*) OVER (PARTITION BY p) - 1, 0) AS o FROM x), t AS (SELECT a, count(*) AS n, avg(v - o) AS mean, median(v - o) AS median, count(*) FILTER (round(v - o, 12) > 0) AS wins, count(*) FILTER (round(v - o, 12) < 0) AS losses FROM y WHERE n >= 2 GROUP BY 1 HAVING count(*) >= 3),
+    q AS (SELECT *, CASE WHEN wins + losses = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: {_choose('(wins + losses)', 'i')}))) END AS p FROM t)
+    SELECT a AS l_linenumber, n, round(mean, 8) AS mean, round(median, 8) AS median, round(p, 5) AS p, round(least(1, p * count(*) OVER ()), 5) AS p_adjusted FROM q"""
 )
 def st13_against_others(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.avg("l_discount").alias("v"))
-    return rounded(stats.against_others(rows, "l_orderkey", "l_linenumber", "v"), 8).drop("p", "p_adjusted")
+    found = rounded(stats.against_others(rows, "l_orderkey", "l_linenumber", "v"), 8)
+    return found.withColumn("p", F.round("p", 5)).withColumn("p_adjusted", F.round("p_adjusted", 5))
 
 
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
+def _axes(source: str) -> str:
+    """SQL of the contrast axes (label, axis) of a table with label and embedding."""
+    return f"""(WITH m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM {source}) GROUP BY 1, 2),
+    c AS (SELECT label, i, m - (sum(m) OVER (PARTITION BY i) - m) / (count(*) OVER (PARTITION BY i) - 1) AS c FROM m), n AS (SELECT label, sqrt(sum(c * c)) AS n FROM c GROUP BY 1) SELECT label, list(c / n ORDER BY i) AS axis FROM c JOIN n USING (label) GROUP BY 1)"""
+
+
+_HALF = "CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 4) AS UBIGINT) % 2"
+
 _MEANS = "(SELECT label, i, avg(x) AS m, count(*) AS n FROM (SELECT label, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2)"
 
 
@@ -820,17 +898,37 @@ def ve3_first_component(spark, d):
     return rounded(rows.agg(F.abs(F.corr("coordinate", "norm")).alias("norm_correlation"), F.stddev_pop("coordinate").alias("sd")).withColumn("variance_share", F.lit(share)), 4)
 
 
-@query()
+@query(
+    f"""WITH a AS {_axes(f'(SELECT * FROM embeddings WHERE {_HALF} = 0)')}, b AS {_axes(f'(SELECT * FROM embeddings WHERE {_HALF} = 1)')}, s AS (SELECT label, list_cosine_similarity(a.axis, b.axis) AS stability FROM a JOIN b USING (label)),
+    c AS (SELECT a.label, e.label = a.label AS own, list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), axis) AS c FROM embeddings e CROSS JOIN a WHERE {_HALF} = 1), r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY c) + (count(*) OVER (PARTITION BY label, c) - 1) / 2.0 AS r FROM c),
+    u AS (SELECT label, (sum(r) FILTER (own) - count(*) FILTER (own) * (count(*) FILTER (own) + 1) / 2.0) / (count(*) FILTER (own) * count(*) FILTER (NOT own)) AS auc FROM r GROUP BY 1) SELECT label, round(stability, 4) AS stability, round(auc, 4) AS auc FROM s JOIN u USING (label)"""
+)
 def ve4_split_half(spark, d):
     rows = table(spark, d, "embeddings")
     return rounded(vectors.split_half(rows, "vec_id", "label", "embedding").join(vectors.held_out_auc(rows, "vec_id", "label", "embedding"), "label"), 4)
 
 
-@query()
+def _dealt(k: int) -> str:
+    rows = "SELECT vec_id, embedding, row_number() OVER (ORDER BY md5('rows|' || CAST(vec_id AS VARCHAR)), vec_id) AS n FROM embeddings"
+    labels = f"SELECT label, row_number() OVER (ORDER BY md5('labels-{k}|' || CAST(vec_id AS VARCHAR)), vec_id) AS n FROM embeddings"
+    dealt = f"(SELECT vec_id, embedding, label FROM ({rows}) JOIN ({labels}) USING (n))"
+    halves = [_axes(f"(SELECT * FROM {dealt} WHERE {_HALF} = {h})") for h in (0, 1)]
+    return f"SELECT {k} AS round, avg(list_cosine_similarity(a.axis, b.axis)) AS stability FROM {halves[0]} a JOIN {halves[1]} b USING (label)"
+
+
+_BAND = " UNION ALL ".join(map(_dealt, range(3)))
+
+
+@query(f"SELECT round, round(stability, 4) AS stability FROM ({_BAND})")
 def ve5_null_band(spark, d):
     return rounded(vectors.null_band(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 3), 4)
 
 
+@query(f"SELECT round(avg(stability), 4) AS mean, round(quantile_cont(stability, 0.95), 4) AS p95, count(*) AS rounds FROM ({_BAND})")
+def ve5_band(spark, d):
+    return rounded(vectors.band(vectors.null_band(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 3)), 4)
+
+
 @query(
     f"""WITH c AS (SELECT label, i, m - (sum(m) OVER (PARTITION BY i) - m) / (count(*) OVER (PARTITION BY i) - 1) AS c FROM {_MEANS}), n AS (SELECT label, sqrt(sum(c * c)) AS n FROM c GROUP BY 1), a AS (SELECT label AS axis_label, list(c / n ORDER BY i) AS axis FROM c JOIN n USING (label) GROUP BY 1),
     k AS (SELECT vec_id, label, axis_label, list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), axis) AS c FROM embeddings CROSS JOIN a)
@@ -849,7 +947,10 @@ def ve7_logit_direction(spark, d):
     return lists.select("label", F.transform(out, lambda x: F.round(x, 5)).alias("direction"))
 
 
-@query()
+@query(
+    f"""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e, axis, list_dot_product(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), axis) AS d FROM embeddings JOIN {_axes('embeddings')} USING (label))
+    SELECT vec_id, round(d, 5) AS before, round(abs(list_dot_product(list_transform(range(1, len(e) + 1), lambda i: e[i] - d * axis[i]), axis)), 5) AS after, round(list_dot_product(list_transform(range(1, len(e) + 1), lambda i: e[i] + (1 - d) * axis[i]), axis), 5) AS moved FROM x"""
+)
 def ve8_ablated(spark, d):
     rows = table(spark, d, "embeddings")
     axes = vectors.contrast_axes(rows, "label", "embedding")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.plans.catalogue import QUERIES, SQL, Query
 
-MODULES = ("summaries", "lookups", "analytics", "files")
+MODULES = ("summaries", "lookups", "analytics", "files", "profiles")
 
 for _name in MODULES:
     import_module(f"strandloom.plans.{_name}")

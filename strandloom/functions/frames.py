@@ -12,19 +12,29 @@ from pyspark.sql import functions as F
 from strandloom.runtime import spread
 
 
+_LETTER = np.full(256, 64, np.int16)
+for _i, _c in enumerate(b"ACGT"):
+    _LETTER[_c] = _i
+_ATG, _STOPS = 14, (48, 50, 56)
+
+
 def _frames(seq: bytes, least: int) -> list[tuple[int, int]]:
     """(start, end) of ATG ... stop on one strand, end behind the stop, each from the first ATG after the stop before it."""
-    found = []
+    x = _LETTER[np.frombuffer(seq, np.uint8)]
+    if len(x) < 3:
+        return []
+    codon = 16 * x[:-2] + 4 * x[1:-1] + x[2:]
+    found: list[tuple[int, int]] = []
     for frame in range(3):
-        codons = [seq[i : i + 3] for i in range(frame, len(seq) - 2, 3)]
-        start = None
-        for k, c in enumerate(codons):
-            if start is None and c == b"ATG":
-                start = k
-            elif c in (b"TAA", b"TAG", b"TGA"):
-                if start is not None and k - start >= least:
-                    found.append((frame + 3 * start, frame + 3 * k + 3))
-                start = None
+        own = codon[frame::3]
+        stops, starts = np.flatnonzero(np.isin(own, _STOPS)), np.flatnonzero(own == _ATG)
+        if not len(stops) or not len(starts):
+            continue
+        after = np.concatenate([[-1], stops[:-1]])
+        at = np.searchsorted(starts, after, "right")
+        first = starts[np.minimum(at, len(starts) - 1)]
+        good = (at < len(starts)) & (first < stops) & (stops - first >= least)
+        found += zip((frame + 3 * first[good]).tolist(), (frame + 3 * stops[good] + 3).tolist(), strict=True)
     return found
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.runtime import running_before
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole; null for an empty whole."""
@@ -247,8 +249,9 @@ def floor_quantiles(df: DataFrame, key: str, value: str, points: list[float]) ->
     Values are first counted, so the running sum is over distinct values rather than rows.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
-    up_to = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("__to", F.sum("__c").over(up_to)).withColumn("__n", F.sum("__c").over(Window.partitionBy(key)))
+    ranked = running_before(counted, [key], value, "__c", "__to").withColumn("__to", F.col("__to") + F.col("__c"))
+    sizes = counted.groupBy(F.col(key).alias("__k")).agg(F.sum("__c").alias("__n"))
+    ranked = ranked.join(sizes, ranked[key].eqNullSafe(sizes["__k"])).drop("__k")
     picks = [F.min(F.when(F.col("__to") > F.floor(F.lit(q) * (F.col("__n") - 1)), F.col(value))).alias(f"q{round(q * 100)}") for q in points]
     return ranked.groupBy(key).agg(F.max("__n").alias("n"), *picks)
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.runtime import rank_by_order
+
 
 def unique_on(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row a key: the last in ``order``, or the greatest row where there is none; null keys are dropped."""
@@ -132,11 +134,10 @@ def cross_checked(df: DataFrame, side: DataFrame, row: str, check: str) -> DataF
 def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str, check: str) -> DataFrame:
     """Joins two tables by rank within ``check`` groups of equal order; fails if a row has no partner or ``check`` differs.
 
-    ``check`` is a column of both (such as a length). Ranks are taken over the whole order, one task a side, so this is
-    for result files, not corpora.
+    ``check`` is a column of both (such as a length). Orders are unique numbers, ranked by ranges in many tasks.
     """
-    x = a.withColumn("__n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_a)))
-    y = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order_b)).alias("__n"))
+    x = rank_by_order(a, order_a, "__n")
+    y = rank_by_order(b, order_b, "__n").select(*[F.col(c).alias(f"b_{c}") for c in b.columns], "__n")
     both = x.join(y, "__n", "full")
     fine = F.col(check).eqNullSafe(F.col(f"b_{check}"))
     return both.withColumn("__ok", F.when(fine, True).otherwise(F.raise_error(F.lit("the tables do not line up")).cast("boolean"))).where("__ok").drop("__ok", "__n")

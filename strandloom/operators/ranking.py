@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.runtime import running_before
+
 
 def first_of_content(df: DataFrame, content: str, order: str) -> DataFrame:
     """Exact dedup: of rows with equal content the first in ``order``; null contents are kept, each by itself.
@@ -53,8 +55,7 @@ def ranked_labels(scores: Column) -> Column:
 
 def tied_with_best(df: DataFrame, score: str, error: str) -> DataFrame:
     """Rows whose score is within the best row's standard error of the best."""
-    everything = Window.partitionBy(F.lit(0))
-    best = F.max(F.struct(score, F.col(error))).over(everything)
+    best = df.agg(F.max(F.struct(score, F.col(error)))).scalar()
     return df.withColumn("__b", best).where(F.col(score) >= F.col(f"__b.{score}") - F.col(f"__b.{error}")).drop("__b")
 
 
@@ -103,8 +104,7 @@ def auc(df: DataFrame, score: str, positive: str, keys: list[str] = ()) -> DataF
     """
     rows = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
     cells = rows.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__below", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    cells = running_before(cells, list(keys), score, "q", "__below")
     wins = F.sum(F.col("p") * (F.col("__below") + F.col("q") / 2.0))
     pairs = F.sum("p") * F.sum("q")
     return cells.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.when(pairs > 0, wins / pairs).alias("auc"))

@@ -1,8 +1,7 @@
 """Containment, novelty and distances of texts and vectors.
 
-``containment_search`` and ``containment_links`` work on k-mers sampled by hash: the search verifies the few references
-it keeps on full sets, the links are estimates from the sample. ``full_links`` and ``full_nearest`` use every k-mer and
-lose no pair: all k-mers meet in hash parts as compressed blocks, and what can hold is verified on the texts.
+``full_links`` and ``full_search`` use every k-mer and lose no pair: all k-mers meet in hash parts as compressed blocks,
+and what can hold is verified on the texts.
 """
 
 from __future__ import annotations
@@ -22,79 +21,13 @@ from strandloom.operators.graph import connected_components
 from strandloom.runtime import materialize, rank_by_value, spread, task_slots
 
 
-def sampled_kmers(df: DataFrame, row: str, text: str, k: int, scale: int, canonical: bool = True) -> DataFrame:
-    """(row, h): distinct 32-bit hashes of a text's k-mers that are 0 modulo ``scale``; texts below k have none."""
-    kmers = sequence.kmers(F.upper(text), k) if canonical else sequence.kmers(F.col(text), k)
-    digests = F.transform(kmers, lambda x: F.substring(F.md5(F.encode(sequence.lesser_strand(x) if canonical else x, "utf-8")), 1, 8))
-    # a multiple of scale is one of its common divisor with 16, which shows in the last digit: most fall without a conversion
-    step = math.gcd(scale, 16)
-    ends = [f"{i:x}" for i in range(0, 16, step)]
-    likely = digests if step == 1 else F.filter(digests, lambda x: F.substring(x, 8, 1).isin(*ends))
-    hashed = F.filter(F.transform(likely, lambda x: F.conv(x, 16, 10).cast("bigint")), lambda h: h % scale == 0)
-    # outer, as the plain form would have the optimizer compute the array once more to test it for members
-    return spread(df.select(row, text)).select(row, F.explode_outer(F.array_distinct(hashed)).alias("h")).where("h is not null")
-
-
-def containment_search(queries: DataFrame, reference: DataFrame, q_row: str, r_row: str, text: str, k: int = 21, scale: int = 16, keep: int = 3, canonical: bool = True) -> DataFrame:
-    """(q_row, r_row, estimate, containment) of each query's best ``keep`` references, never itself.
-
-    Candidates share a sampled k-mer and are ranked by the share of the query's sampled k-mers they hold (ties: the
-    lesser row); the exact containment of the full sets is computed for the kept ones only. Queries without sampled
-    k-mers, or that share none, have no row.
-    """
-    col = F.col(text)
-    q = sampled_kmers(queries, q_row, text, k, scale, canonical)
-    n = q.groupBy(q_row).agg(F.count("*").alias("n"))
-    hits = q.join(sampled_kmers(reference, r_row, text, k, scale, canonical).withColumnRenamed(r_row, "__r"), "h").where(F.col(q_row) != F.col("__r"))
-    shared = hits.groupBy(q_row, "__r").agg(F.count("*").alias("shared")).join(n, q_row)
-    shared = shared.withColumn("estimate", F.col("shared") / F.col("n"))
-    best = F.row_number().over(Window.partitionBy(q_row).orderBy(F.desc("estimate"), "__r"))
-    top = shared.withColumn("__rank", best).where(F.col("__rank") <= keep)
-    both = top.join(queries.select(q_row, col.alias("__a")), q_row).join(reference.select(F.col(r_row).alias("__r"), col.alias("__b")), "__r")
-    # few bytes but much work a row: spread evenly, as partitions are otherwise merged by size
-    both = both.repartition(task_slots(queries.sparkSession))
-    sets = [sequence.canonical_kmer_set(F.col(c), k) if canonical else sequence.kmer_set(F.col(c), k) for c in ("__a", "__b")]
-    return both.select(q_row, F.col("__r").alias(r_row if r_row != q_row else f"match_{r_row}"), "estimate", sequence.containment(*sets).alias("containment"))
-
-
 def novelty_tier(containment: Column, fail: float = 0.95, warn: float = 0.8) -> Column:
     """FAIL from ``fail`` on, WARN from ``warn`` on, else PASS; null stays null."""
     return F.when(containment >= fail, "FAIL").when(containment >= warn, "WARN").when(containment.isNotNull(), "PASS")
 
 
-def nearest(found: DataFrame, q_row: str, r_row: str, queries: DataFrame) -> DataFrame:
-    """Per query the greatest containment, its reference (ties: the lesser) and the tier; queries without match have 0 and no reference."""
-    best = F.max(F.struct(F.col("containment").alias("c"), (-F.col(r_row)).alias("r")))
-    per = found.groupBy(q_row).agg(best.alias("b"))
-    out = queries.select(q_row).distinct().join(per, q_row, "left")
-    c = F.coalesce("b.c", F.lit(0.0))
-    return out.select(q_row, (-F.col("b.r")).alias("nearest"), c.alias("max_containment"), novelty_tier(c).alias("tier"))
-
-
-def containment_links(df: DataFrame, row: str, text: str, k: int = 21, scale: int = 16, least: float = 0.8) -> DataFrame:
-    """(a, b, containment), a < b: pairs of distinct texts whose sampled k-mer sets overlap by at least ``least`` of the smaller.
-
-    Equal texts are reduced to their least row first. Prefix filter: with grams ordered from the rarest on, a set of n
-    members must have one of its first n - ceil(least * n) + 1 in the other, so only those are probed.
-    """
-    digest = F.md5(F.encode(F.col(text), "utf-8"))
-    once = df.where(F.col(text).isNotNull()).groupBy(digest.alias("__d")).agg(F.min(row).alias(row)).select(row)
-    grams = materialize(sampled_kmers(df, row, text, k, scale).join(once, row, "left_semi").withColumnRenamed(row, "r"))
-    df_of = grams.groupBy("h").agg(F.count("*").alias("df"))
-    sets = grams.join(df_of, "h").groupBy("r").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("g"))
-    sets = materialize(sets.select("r", F.transform("g", lambda x: x["h"]).alias("g")))
-    n = F.size("g")
-    probe = sets.select("r", "g", F.posexplode(F.slice("g", 1, (n - F.ceil(n * least) + 1).cast("int"))).alias("at", "h"))
-    index = sets.select(F.col("r").alias("o"), F.col("g").alias("og"), F.explode("g").alias("h"))
-    pairs = probe.select("r", F.size("g").alias("nr"), "h").join(index.select("o", F.size("og").alias("no"), "h"), "h").where((F.col("r") != F.col("o")) & ((F.col("nr") < F.col("no")) | ((F.col("nr") == F.col("no")) & (F.col("r") < F.col("o")))))
-    pairs = pairs.select("r", "o").distinct()
-    both = pairs.join(sets.select("r", "g"), "r").join(sets.select(F.col("r").alias("o"), F.col("g").alias("og")), "o")
-    share = F.size(F.array_intersect("g", "og")) / F.size("g")
-    return both.select(F.least("r", "o").alias("a"), F.greatest("r", "o").alias("b"), share.alias("containment")).where(F.col("containment") >= least)
-
-
-def _kmer_hashes(text: str, k: int) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's k-mers, ascending; a k-mer and its reverse complement have one hash."""
+def _kmer_hashes(text: str, k: int, canonical: bool = True) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's k-mers, ascending; if ``canonical`` a k-mer and its reverse complement have one."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(codes) - k + 1
     if n <= 0:
@@ -108,7 +41,7 @@ def _kmer_hashes(text: str, k: int) -> np.ndarray:
         forward = forward * np.uint64(base) + codes[i : i + n]
         backward += turned[i : i + n] * np.uint64(power)
         power = power * base % 2**64
-    h = np.minimum(forward, backward) * np.uint64(0xD6E8FEB86659FD93)
+    h = (np.minimum(forward, backward) if canonical else forward) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     return np.unique(h ^ (h >> np.uint64(29)))
@@ -132,7 +65,7 @@ def _width(values: np.ndarray) -> int:
     return max(1, (int(values.max()).bit_length() + 7) // 8)
 
 
-def _kmer_parts(texts: DataFrame, k: int, block: int = 1 << 22, held: int = 3_000_000) -> DataFrame:
+def _kmer_parts(texts: DataFrame, k: int, canonical: bool = True, block: int = 1 << 22, held: int = 3_000_000) -> DataFrame:
     """(part, n, first, grams, owners, items): all k-mers of (item, packed, length) in blocks by hash part, as sorted differences.
 
     Hashes are cut to seven bits more than the k-mers need, so that few unlike ones coincide: what shares a k-mer always
@@ -169,7 +102,7 @@ def _kmer_parts(texts: DataFrame, k: int, block: int = 1 << 22, held: int = 3_00
 
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = _kmer_hashes(_unpacked(text), k)
+                own = _kmer_hashes(_unpacked(text), k, canonical)
                 if len(own):
                     grams.append(own)
                     items.append(item)
@@ -216,13 +149,13 @@ def _expanded(probes: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np
         low = high
 
 
-def _texts(df: DataFrame, row: str, text: str) -> DataFrame:
+def _texts(df: DataFrame, row: str, text: str, upper: bool = True) -> DataFrame:
     """(item, packed, second, d, length): one row per distinct text, Huffman-coded, its least and second least row."""
     digest = F.md5(F.encode(F.col(text), "utf-8"))
     once = df.where(F.col(text).isNotNull()).select(F.col(row).cast("bigint").alias("r"), digest.alias("d"))
     two = once.groupBy("d").agg(F.min("r").alias("item"), F.max("r").alias("last"), F.count("*").alias("copies"))
     second = once.join(two.where("copies > 1"), "d").where("r > item").groupBy("item").agg(F.min("r").alias("second"))
-    own = df.select(F.col(row).cast("bigint").alias("item"), F.upper(text).alias("text")).where("text is not null")
+    own = df.select(F.col(row).cast("bigint").alias("item"), (F.upper(text) if upper else F.col(text)).alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +173,7 @@ def _unpacked(value) -> str:
     return zlib.decompress(value.as_py()).decode("utf-8")
 
 
-def _shared_kmers(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _shared_kmers(pairs: DataFrame, texts: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """(a, b, shared, n_a, n_b): k-mers of both texts, and of each, over the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +185,7 @@ def _shared_kmers(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             if i in known:
                 known.move_to_end(i)
                 return known[i]
-            x = known[i] = _kmer_hashes(_unpacked(value), k)
+            x = known[i] = _kmer_hashes(_unpacked(value), k, canonical)
             held += len(x)
             while held > 4_000_000 and len(known) > 2:
                 held -= len(known.popitem(last=False)[1])
@@ -319,13 +252,16 @@ def full_links(df: DataFrame, row: str, text: str, k: int = 21, least: float = 0
     return ahead.union(behind).where(F.col("containment") >= least)
 
 
-def full_nearest(queries: DataFrame, reference: DataFrame, row: str, text: str, k: int = 21) -> DataFrame:
-    """(row, nearest, max_containment, tier): as ``nearest``, over every reference and all k-mers; queries are rows of the reference.
+def full_search(queries: DataFrame, reference: DataFrame, row: str, text: str, k: int = 21, keep: int = 3, canonical: bool = True) -> DataFrame:
+    """(row, match_row, containment) of each query's best ``keep`` other texts, by the share of its k-mers that they hold.
 
-    The k-mers a query shares with each reference are counted in hash parts, never too low; the reference with most is
-    verified on the texts, and so is every other one whose count can still reach it.
+    Over every reference and all k-mers; queries are rows of the reference. The k-mers a query shares with each reference
+    are counted in hash parts, never too low; the ``keep`` with most are verified on the texts, and so is every other one
+    whose count can still reach the least of them. Equal texts count once, by their least row; those equal to the query by
+    their least other row. Ties: the lesser row. References that share nothing are no match; null texts and texts
+    shorter than ``k`` have no row. With ``canonical`` off, k-mers are compared as they are written, case included.
     """
-    texts = _texts(reference, row, text)
+    texts = _texts(reference, row, text, canonical)
     digest = F.md5(F.encode(F.col(text), "utf-8"))
     asked = materialize(queries.select(F.col(row).alias("q"), digest.alias("d")).distinct())
     marked = texts.join(asked.select("d").where("d is not null").distinct().withColumn("asked", F.lit(True)), "d", "left").select("item", "packed", "length", F.coalesce("asked", F.lit(False)).alias("asked"))
@@ -343,20 +279,31 @@ def full_nearest(queries: DataFrame, reference: DataFrame, row: str, text: str,
         return pa.table({"a": names[u // len(names)] >> 1, "b": names[u % len(names)] >> 1, "c": np.concatenate(counts)})
 
     named = marked.select((F.shiftleft("item", 1) + F.col("asked").cast("bigint")).alias("item"), "packed", "length")
-    met = _kmer_parts(named, k).groupBy("part").applyInArrow(counted, "a bigint, b bigint, c bigint")
+    met = _kmer_parts(named, k, canonical).groupBy("part").applyInArrow(counted, "a bigint, b bigint, c bigint")
     bound = materialize(met.groupBy("a", "b").agg(F.sum("c").alias("c")))
-    first = bound.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    floor = materialize(_shared_kmers(first, texts, k)).select("a", F.col("shared").alias("floor"))
-    open_ = bound.join(floor, "a").where("c >= floor and c > 0").select("a", "b")
-    exact = materialize(_shared_kmers(open_, texts, k)).where("shared > 0")
-    best = F.max(F.struct((F.col("shared") / F.col("n_a")).alias("c"), (-F.col("b")).alias("r")))
-    per = exact.groupBy("a").agg(best.alias("best"))
-    own = texts.select("d", "item", "second", (F.col("length") >= k).alias("has"))
-    out = asked.join(own, "d", "left").join(per, F.col("item") == F.col("a"), "left")
-    copy = F.when(F.col("has") & F.col("second").isNotNull(), F.struct(F.lit(1.0).alias("c"), (-F.when(F.col("item") == F.col("q"), F.col("second")).otherwise(F.col("item"))).alias("r")))
-    out = out.withColumn("b", F.greatest("best", copy))
-    c = F.coalesce("b.c", F.lit(0.0))
-    return out.select(F.col("q").alias(row), (-F.col("b.r")).alias("nearest"), c.alias("max_containment"), novelty_tier(c).alias("tier"))
+    # a limit on a rank is taken within partitions first, so no task holds all that one query meets
+    most = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+    first = bound.withColumn("__n", most).where(F.col("__n") <= keep).select("a", "b")
+    verified = materialize(_shared_kmers(first, texts, k, canonical))
+    floor = verified.groupBy("a").agg(F.when(F.count("*") >= keep, F.min("shared")).otherwise(0).alias("floor"))
+    open_ = bound.join(materialize(floor), "a").where("c >= floor and c > 0").select("a", "b").join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    exact = verified.union(materialize(_shared_kmers(open_, texts, k, canonical))).where("shared > 0").select("a", "b", (F.col("shared") / F.col("n_a")).alias("containment"))
+    own = asked.join(texts.select("d", F.col("item").alias("a"), "second", (F.col("length") >= k).alias("has")), "d")
+    copies = own.where("has and second is not null").select("q", F.when(F.col("a") == F.col("q"), F.col("second")).otherwise(F.col("a")).alias("b"), F.lit(1.0).alias("containment"))
+    found = own.join(exact, "a").select("q", "b", "containment").union(copies)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("containment"), "b"))
+    return found.withColumn("__rank", rank).where(F.col("__rank") <= keep).select(F.col("q").alias(row), F.col("b").alias(f"match_{row}"), "containment")
+
+
+def full_nearest(queries: DataFrame, reference: DataFrame, row: str, text: str, k: int = 21) -> DataFrame:
+    """(row, nearest, max_containment, tier): each query's best other text by ``full_search``, with the tier of what it holds.
+
+    Queries without match, be they too short, null or unlike all others, have 0 and no reference.
+    """
+    best = full_search(queries, reference, row, text, k, 1).withColumnsRenamed({f"match_{row}": "nearest", "containment": "c"})
+    out = queries.select(row).distinct().join(best, row, "left")
+    c = F.coalesce("c", F.lit(0.0))
+    return out.select(row, "nearest", c.alias("max_containment"), novelty_tier(c).alias("tier"))
 
 
 def link_classes(df: DataFrame, row: str, text: str, links: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.runtime import rank_by_md5, running_before
+
 
 def _batch(fn: Callable[..., float | None], *columns: Column) -> Column:
     @F.pandas_udf("double")
@@ -79,12 +81,11 @@ def normal_p(z: Column) -> Column:
 def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:
     """(keys, n1, n2, u, effect, p): U of the rows with the flag, A = U / (n1 * n2), normal p with tie correction.
 
-    Values are counted first; mid-ranks are running sums over distinct values.
+    Values are counted first; mid-ranks are running sums over distinct values, by ranges.
     """
     rows = df.where(F.col(value).isNotNull() & first.isNotNull())
     cells = rows.groupBy(*keys, value).agg(F.count_if(first).alias("x"), F.count_if(~first).alias("y"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__y", F.coalesce(F.sum("y").over(before), F.lit(0))).withColumn("t", F.col("x") + F.col("y"))
+    cells = running_before(cells, keys, value, "y", "__y").withColumn("t", F.col("x") + F.col("y"))
     out = cells.groupBy(*keys).agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"), F.sum(F.col("x") * (F.col("__y") + F.col("y") / 2.0)).alias("u"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("__t"))
     pairs, n = (F.col("n1") * F.col("n2")).cast("double"), (F.col("n1") + F.col("n2")).cast("double")
     sd = F.sqrt(pairs / 12 * ((n + 1) - F.col("__t") / F.nullif(n * (n - 1), F.lit(0.0))))
@@ -97,9 +98,7 @@ def wilcoxon(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
     d = F.col(difference)
     rows = df.where(d.isNotNull() & (d != 0)).withColumn("__a", F.abs(d))
     cells = rows.groupBy(*keys, "__a").agg(F.count_if(d > 0).alias("x"), F.count_if(d < 0).alias("y")).withColumn("t", F.col("x") + F.col("y"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__a").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("t").over(before), F.lit(0)) + (F.col("t") + 1) / 2.0
-    cells = cells.withColumn("__r", rank)
+    cells = running_before(cells, keys, "__a", "t", "__before").withColumn("__r", F.col("__before") + (F.col("t") + 1) / 2.0)
     out = cells.groupBy(*keys).agg(F.sum("t").alias("n"), F.sum(F.col("x") * F.col("__r")).alias("w_plus"), F.sum(F.col("y") * F.col("__r")).alias("w_minus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("__t"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__t") / 48)
@@ -176,8 +175,6 @@ def probe_summary(df: DataFrame, row: str, layers: list[str], label: str, fold:
     Balanced accuracy is the mean of a fold's recalls, averaged over folds; sem is the standard error over folds. Dealt
     labels are those of the row of equal rank in another random order: what a probe reaches on them is chance.
     """
-    from strandloom.runtime import rank_by_md5
-
     rows = rank_by_md5(df, [], row, "__n", seed)
     dealt = rank_by_md5(df.select(F.col(row).alias("__o"), F.col(label).alias("__dealt")), [], "__o", "__n", f"{seed}-labels").select("__n", "__dealt")
     both = rows.join(dealt, "__n")

@@ -60,31 +60,27 @@ def sim5_sim17_rotation_jaccard(spark, d):
     return rounded(pairs.select("record_id", "other", sequence.sketch_jaccard(F.col("sk"), F.col("other_value"), 64).alias("jaccard")))
 
 
-_QSET = "(SELECT * FROM ({}) WHERE record_id % 20 = 0)"
+def _search_sql(canonical: bool, k: int, keep: int) -> str:
+    text = "upper(sequence)" if canonical else "sequence"
+    return f"""WITH s AS MATERIALIZED (SELECT record_id, sequence, {_kset(k, canonical)} AS ks FROM (SELECT min(record_id) AS record_id, sequence, {text} AS s FROM mibig_records WHERE sequence IS NOT NULL GROUP BY sequence)), e AS MATERIALIZED (SELECT record_id, len(ks) AS n, unnest(ks) AS h FROM s),
+    q AS (SELECT m.record_id AS q, s.record_id AS a, s.sequence, len(ks) AS n FROM mibig_records m JOIN s ON s.sequence = m.sequence WHERE m.record_id % 20 = 0), p AS (SELECT x.record_id AS a, y.record_id AS b, count(*) / any_value(x.n) AS c FROM e x JOIN e y ON x.h = y.h AND x.record_id <> y.record_id WHERE x.record_id IN (SELECT a FROM q) GROUP BY 1, 2),
+    f AS (SELECT q, b, c FROM q JOIN p USING (a) UNION ALL SELECT q, min(m.record_id), 1 FROM q JOIN mibig_records m ON m.sequence = q.sequence AND m.record_id <> q WHERE n > 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, b) AS r FROM f)
+    SELECT q AS record_id, b AS match_record_id, round(c, 6) AS containment FROM r WHERE r <= {keep}"""
 
 
-def _search_sql(canonical: bool, k: int, scale: int) -> str:
-    sets = f"SELECT record_id, {_kset(k, canonical)} AS ks FROM (SELECT record_id, {'upper(sequence)' if canonical else 'sequence'} AS s FROM mibig_records WHERE sequence IS NOT NULL)"
-    return f"""WITH s AS MATERIALIZED ({sets}), g AS MATERIALIZED (SELECT record_id, unnest(list_distinct(list_filter(list_transform(ks, lambda x: {_H.format('x')}), lambda h: h % {scale} = 0))) AS h FROM s),
-    q AS (SELECT * FROM g WHERE record_id % 20 = 0), n AS (SELECT record_id, count(*) AS n FROM q GROUP BY 1),
-    c AS (SELECT q.record_id, g.record_id AS r, count(*) / any_value(n) AS estimate FROM q JOIN g ON q.h = g.h AND q.record_id <> g.record_id JOIN n ON n.record_id = q.record_id GROUP BY 1, 2),
-    t AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY estimate DESC, r) AS k FROM c)
-    SELECT t.record_id, r AS match_record_id, round(estimate, 6) AS estimate, round(len(list_intersect(a.ks, b.ks)) / len(a.ks), 6) AS containment FROM t JOIN s a ON a.record_id = t.record_id JOIN s b ON b.record_id = r WHERE k <= 3"""
-
-
-def _search(spark, d, canonical: bool, k: int, scale: int):
+def _search(spark, d, canonical: bool, k: int):
     rows = _records(spark, d).where("sequence is not null")
-    return similarity.containment_search(rows.where("record_id % 20 = 0"), rows, "record_id", "record_id", "sequence", k, scale, 3, canonical)
+    return rounded(similarity.full_search(rows.where("record_id % 20 = 0"), rows, "record_id", "sequence", k, 3, canonical))
 
 
-@query(_search_sql(True, 21, 16))
+@query(_search_sql(True, 21, 3))
 def sim6_sim7_containment_search(spark, d):
-    return rounded(_search(spark, d, True, 21, 16))
+    return _search(spark, d, True, 21)
 
 
-@query(f"SELECT * FROM ({_search_sql(True, 21, 16)}) WHERE containment >= 0.5")
-def jn17_similarity_join(spark, d):
-    return rounded(_search(spark, d, True, 21, 16)).where("containment >= 0.5")
+@query(_search_sql(False, 15, 3))
+def sim9_plain_kmers(spark, d):
+    return _search(spark, d, False, 15)
 
 
 _ALL_PAIRS = f"""WITH s AS MATERIALIZED (SELECT record_id, {_kset(21)} AS ks FROM (SELECT min(record_id) AS record_id, upper(sequence) AS s FROM mibig_records WHERE sequence IS NOT NULL GROUP BY sequence)), e AS MATERIALIZED (SELECT record_id, len(ks) AS n, unnest(ks) AS h FROM s),
@@ -117,13 +113,6 @@ def jn17_link_classes(spark, d):
     return similarity.link_classes(rows, "record_id", "sequence", _either_way(links))
 
 
-@query(f"""WITH f AS ({_search_sql(True, 21, 16)}), b AS (SELECT record_id, max(containment) AS c, arg_min(match_record_id, (-containment, match_record_id)) AS m FROM f GROUP BY 1)
-    SELECT r.record_id, m AS nearest, coalesce(c, 0) AS max_containment, CASE WHEN coalesce(c, 0) >= 0.95 THEN 'FAIL' WHEN coalesce(c, 0) >= 0.8 THEN 'WARN' ELSE 'PASS' END AS tier FROM mibig_records r LEFT JOIN b USING (record_id) WHERE r.record_id % 20 = 0 AND sequence IS NOT NULL""")
-def sim8_novelty(spark, d):
-    rows = _records(spark, d).where("sequence is not null and record_id % 20 = 0")
-    return rounded(similarity.nearest(_search(spark, d, True, 21, 16), "record_id", "match_record_id", rows))
-
-
 @query(f"""WITH s AS MATERIALIZED ({_SETS}), e AS MATERIALIZED (SELECT record_id, len(ks) AS n, unnest(ks) AS h FROM s),
     p AS (SELECT a.record_id, b.record_id AS r, count(*) / any_value(a.n) AS c FROM e a JOIN e b ON a.h = b.h AND a.record_id <> b.record_id WHERE a.record_id % 20 = 0 GROUP BY 1, 2), b AS (SELECT record_id, max(c) AS c, arg_min(r, (-c, r)) AS m FROM p GROUP BY 1)
     SELECT r.record_id, m AS nearest, round(coalesce(c, 0), 6) AS max_containment, CASE WHEN coalesce(c, 0) >= 0.95 THEN 'FAIL' WHEN coalesce(c, 0) >= 0.8 THEN 'WARN' ELSE 'PASS' END AS tier FROM mibig_records r LEFT JOIN b USING (record_id) WHERE r.record_id % 20 = 0 AND sequence IS NOT NULL""")
@@ -132,25 +121,6 @@ def sim8_full_novelty(spark, d):
     return rounded(similarity.full_nearest(rows.where("record_id % 20 = 0"), rows, "record_id", "sequence", 21))
 
 
-@query(_search_sql(False, 15, 8))
-def sim9_plain_kmers(spark, d):
-    return rounded(_search(spark, d, False, 15, 8))
-
-
-def _links(spark, d):
-    rows = _records(spark, d)
-    return rows, similarity.containment_links(rows, "record_id", "sequence", 21, 16, 0.6)
-
-
-_GR = f"SELECT record_id, list_distinct(list_filter(list_transform(ks, lambda x: {_H.format('x')}), lambda h: h % 16 = 0)) AS g FROM (SELECT record_id, {_kset(21)} AS ks FROM (SELECT min(record_id) AS record_id, upper(sequence) AS s FROM mibig_records WHERE sequence IS NOT NULL GROUP BY sequence))"
-
-
-@query(f"""WITH s AS MATERIALIZED ({_GR}), e AS MATERIALIZED (SELECT record_id, len(g) AS n, unnest(g) AS h FROM s),
-    p AS (SELECT a.record_id AS a, b.record_id AS b, count(*) / least(any_value(a.n), any_value(b.n)) AS c FROM e a JOIN e b ON a.h = b.h AND a.record_id < b.record_id GROUP BY 1, 2) SELECT a, b, round(c, 6) AS containment FROM p WHERE c >= 0.6""")
-def sim10_containment_links(spark, d):
-    return rounded(_links(spark, d)[1])
-
-
 @query(f"{_ALL_PAIRS} SELECT a, b, round(shared / least(na, nb), 6) AS containment FROM p WHERE a < b AND shared / least(na, nb) >= 0.6")
 def sim10_full_links(spark, d):
     return rounded(_either_way(_full_links(spark, d, 0.6)[1]))
@@ -232,15 +202,15 @@ def sim18_common_prefix(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT record_id, row_number() OVER (ORDER BY record_id) AS n FROM mibig_records), p AS (SELECT a.record_id, b.record_id AS other FROM k a JOIN k b ON b.n = CASE WHEN a.n = (SELECT max(n) FROM k) THEN 1 ELSE a.n + 1 END),
-    m AS (SELECT record_id, unnest(list_transform(range(1, greatest(length(sequence) - 2, 1)), lambda i: upper(substring(sequence, i, 4)))) AS m FROM mibig_records), c AS MATERIALIZED (SELECT record_id, m, CAST(count(*) AS DOUBLE) AS n FROM m WHERE NOT regexp_matches(m, '[^ACGT]') GROUP BY 1, 2),
-    q AS (SELECT record_id, sqrt(sum(n * n)) AS q FROM c GROUP BY 1), d AS (SELECT p.record_id, p.other, sum(a.n * b.n) AS d FROM p JOIN c a ON a.record_id = p.record_id JOIN c b ON b.record_id = p.other AND a.m = b.m GROUP BY 1, 2)
-    SELECT p.record_id, p.other, round(1 - coalesce(d, 0) / (x.q * y.q), 6) AS distance FROM p LEFT JOIN d ON d.record_id = p.record_id AND d.other = p.other LEFT JOIN q x ON x.record_id = p.record_id LEFT JOIN q y ON y.record_id = p.other"""
+    """WITH k AS (SELECT record_id, row_number() OVER (ORDER BY record_id) AS n, count(*) OVER () AS t FROM mibig_records), p AS (SELECT a.record_id, b.record_id AS other FROM (SELECT record_id, CASE WHEN n = t THEN 1 ELSE n + 1 END AS n FROM k) a JOIN k b ON b.n = a.n),
+    m AS (SELECT record_id, unnest(list_transform(range(1, greatest(length(sequence) - 3, 1)), lambda i: upper(substring(sequence, i, 5)))) AS m FROM mibig_records), c AS MATERIALIZED (SELECT record_id, m, CAST(count(*) AS DOUBLE) AS n FROM m GROUP BY 1, 2), g AS MATERIALIZED (SELECT * FROM c WHERE NOT regexp_matches(m, '[^ACGT]')),
+    q AS MATERIALIZED (SELECT record_id, sqrt(sum(n * n)) AS q FROM g GROUP BY 1), x AS MATERIALIZED (SELECT p.record_id, p.other, g.m, g.n FROM p JOIN g ON g.record_id = p.record_id), d AS MATERIALIZED (SELECT x.record_id, x.other, sum(x.n * g.n) AS d FROM x JOIN g ON g.record_id = x.other AND g.m = x.m GROUP BY 1, 2)
+    SELECT p.record_id, p.other, round(1 - coalesce(d, 0) / (y.q * z.q), 6) AS distance FROM p LEFT JOIN d ON d.record_id = p.record_id AND d.other = p.other LEFT JOIN q y ON y.record_id = p.record_id LEFT JOIN q z ON z.record_id = p.other"""
 )
 def sim19_profile_distance(spark, d):
     rows = _records(spark, d)
     pairs = similarity.rotated_pairs(rows, "record_id", "accession")
-    return rounded(similarity.profile_distances(pairs, rows, "record_id", "other", "sequence", 4))
+    return rounded(similarity.profile_distances(pairs, rows, "record_id", "other", "sequence", 5))
 
 
 @query(

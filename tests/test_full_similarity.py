@@ -77,3 +77,70 @@ def test_nearest_is_the_greatest_containment(spark, rows):
         want[a] = (b and -b, c)
     got = {r["id"]: (r["nearest"], r["max_containment"]) for r in similarity.full_nearest(df.where("s is not null"), df, "id", "s").collect()}
     assert got == want
+
+
+def test_search_keeps_the_best_of_all(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    sets = {i: kmers(s) for i, s in rows if s is not None}
+    text = {i: s for i, s in rows}
+    want = {}
+    for a, x in sets.items():
+        once = {}
+        for b, y in sorted(sets.items()):
+            if b != a and x & y:
+                once.setdefault(text[b], (-len(x & y) / len(x), b))
+        want[a] = [(b, -c) for c, b in sorted(once.values())[:3]]
+    got = {a: [] for a in sets}
+    for r in similarity.full_search(df.where("s is not null"), df, "id", "s").orderBy("id", (-similarity.F.col("containment")), "match_id").collect():
+        got[r["id"]].append((r["match_id"], r["containment"]))
+    assert got == want
+
+
+def test_short_copies_are_found(spark):
+    """Texts of a few letters, each delivered twice: every one is a copy of the other."""
+    rng = random.Random(6)
+    texts = [seq(rng, 24) for _ in range(40)]
+    df = spark.createDataFrame([(2 * i + j, s) for i, s in enumerate(texts) for j in (0, 1)], "id bigint, s string")
+    got = similarity.full_nearest(df, df, "id", "s").collect()
+    assert len(got) == 80 and {r["tier"] for r in got} == {"FAIL"} and all(r["nearest"] == r["id"] ^ 1 for r in got)
+
+
+def test_letters_as_they_are_written(spark):
+    df = spark.createDataFrame([(1, "ACGTTGCAAGGTCA"), (2, "TGACCTTGCAACGT"), (3, "acgttgcaaggtca")], "id bigint, s string")
+    assert similarity.full_search(df, df, "id", "s", 7, 3, False).count() == 0
+    assert similarity.full_search(df, df, "id", "s", 7, 3).count() == 6
+
+
+def test_greedy_distinct(spark):
+    rng = random.Random(7)
+    for n, m in ((12, 8), (30, 40), (30, 90)):
+        links = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a < b}
+        kept = []
+        for i in range(n):
+            if not any((j, i) in links for j in kept):
+                kept.append(i)
+        df = spark.createDataFrame([(i, f"t{i}") for i in range(n)] + [(n, "t0"), (n + 1, None)], "id bigint, s string")
+        got = similarity.greedy_distinct(df, "id", "s", spark.createDataFrame(sorted(links), "a bigint, b bigint"))
+        assert sorted(r["id"] for r in got.collect()) == kept
+    none = spark.createDataFrame([], "id bigint, s string")
+    assert similarity.greedy_distinct(none, "id", "s", spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_pairwise_summary(spark, rows):
+    texts = sorted({s for _, s in rows if s is not None})
+    sets = [kmers(s) for s in texts]
+    values = sorted(len(x & y) / min(len(x), len(y)) if x & y else 0.0 for i, x in enumerate(sets) for y in sets[i + 1 :])
+    middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+    r = similarity.pairwise_summary(spark.createDataFrame(rows, "id bigint, s string"), "id", "s").first()
+    assert (r["texts"], r["pairs"], r["meeting"]) == (len(texts), len(values), sum(v > 0 for v in values))
+    assert r["median"] == pytest.approx(middle) and r["greatest"] == pytest.approx(values[-1])
+    empty = similarity.pairwise_summary(spark.createDataFrame([], "id bigint, s string"), "id", "s").first()
+    assert empty["texts"] == 0 and empty["pairs"] == 0 and empty["greatest"] is None
+
+
+def test_near_cleaned_splits(spark):
+    rows = [(1, "train", "aa"), (2, "test", "aa"), (3, "test", "bb"), (4, "val", "cc"), (5, "val", "dd"), (6, "test", "ee"), (7, "val", None), (8, None, "aa"), (9, "val", "ff")]
+    df = spark.createDataFrame(rows, "id bigint, split string, s string")
+    links = spark.createDataFrame([(1, 4), (3, 5)], "a bigint, b bigint")
+    got = {r["id"] for r in similarity.near_cleaned_splits(df, "id", "split", "s", links).collect()}
+    assert got == {1, 3, 6, 7, 8, 9}

@@ -90,8 +90,7 @@ def test_fragment_beats_distractors(spark):
     ref = "".join(rng.choice("ACGT") for _ in range(4000))
     rows = [(0, ref[1000:2000]), (1, ref)] + [(i, ref[1000:1500] + "".join(rng.choice("ACGT") for _ in range(500))) for i in range(2, 6)] + [(7, None), (8, ""), (9, "ACGT")]
     df = spark.createDataFrame(rows, "id bigint, s string")
-    found = similarity.containment_search(df.where("id in (0, 8, 9)"), df, "id", "id", "s", 15, 4)
-    best = {r["id"]: r for r in similarity.nearest(found, "id", "match_id", df.where("id in (0, 8, 9)")).collect()}
+    best = {r["id"]: r for r in similarity.full_nearest(df.where("id in (0, 8, 9)"), df, "id", "s", 15).collect()}
     assert best[0]["nearest"] == 1 and best[0]["max_containment"] >= 0.99 and best[0]["tier"] == "FAIL"
     assert best[8]["max_containment"] == 0.0 and best[8]["nearest"] is None
 
@@ -101,7 +100,7 @@ def test_classes_of_a_set(spark):
     same = "".join(rng.choice("ACGT") for _ in range(2000))
     rows = [(i, same) for i in range(5)] + [(i, "".join(rng.choice("ACGT") for _ in range(2000))) for i in range(5, 10)] + [(10, None)]
     df = spark.createDataFrame(rows, "id bigint, s string")
-    classes = similarity.link_classes(df, "id", "s", similarity.containment_links(df, "id", "s", 21, 4, 0.8))
+    classes = similarity.link_classes(df, "id", "s", similarity.full_links(df, "id", "s", 21, 0.8).where("a < b"))
     got = {r["id"]: (r["class_id"], r["links"]) for r in classes.collect()}
     assert all(got[i] == (0, 4) for i in range(5)) and all(got[i] == (i, 0) for i in range(5, 11))
     s = similarity.set_summary(classes).first()

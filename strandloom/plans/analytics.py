@@ -290,13 +290,28 @@ def sp6_viability(spark, d):
     return sampling.viability(_records(spark, d), "compound_class", "taxonomic_tag", "split", {"train": 30, "test": 5}, 20)
 
 
-@query()
-def sp7_budget_cells(spark, d):
+def _budget_cells(spark, d):
     rows = _records(spark, d).withColumn("phylum", F.coalesce(F.upper(names.tag_rank(F.col("taxonomic_tag"), "p")), F.lit("P__UNKNOWN")))
     rows = rows.withColumn("bucket", F.coalesce(names.bucket_label(F.length("sequence"), [1000, 2000, 4000, 8000]), F.lit("none"))).withColumn("cls", F.upper(F.coalesce("compound_class", F.lit("UNKNOWN"))))
     return sampling.budget_cells(rows, "cls", ["phylum", "bucket"], 40)
 
 
+@query()
+def sp7_budget_cells(spark, d):
+    return _budget_cells(spark, d)
+
+
+_CELLS = """SELECT upper(coalesce(compound_class, 'UNKNOWN')) AS cls, coalesce(nullif(upper(trim(regexp_extract(taxonomic_tag, '(?i)(?:^|[;|])\\s*p__([^;|]*)', 1))), ''), 'P__UNKNOWN') AS phylum,
+    CASE WHEN length(sequence) <= 1000 THEN 1 WHEN length(sequence) <= 2000 THEN 2 WHEN length(sequence) <= 4000 THEN 3 WHEN length(sequence) <= 8000 THEN 4 WHEN sequence IS NOT NULL THEN 5 END AS bucket, count(*) AS n FROM mibig_records GROUP BY 1, 2, 3"""
+
+
+@query(f"SELECT cls, count(*) AS cells, CAST(sum(n) AS BIGINT) AS available, CAST(least(40, sum(n)) AS BIGINT) AS quota, CAST(greatest(0, count(*) - 40) AS BIGINT) AS without, true AS within FROM ({_CELLS}) GROUP BY 1")
+def sp7_budget_totals(spark, d):
+    """What must hold of the quotas whatever the rounding: they add up, stay within what there is and leave no cell out."""
+    q = _budget_cells(spark, d)
+    return q.groupBy("cls").agg(F.count("*").alias("cells"), F.sum("available").alias("available"), F.sum("quota").alias("quota"), F.count_if(F.col("quota") == 0).alias("without"), F.bool_and(F.col("quota") <= F.col("available")).alias("within"))
+
+
 @query(
     f"""WITH x AS (SELECT record_id, compound_class AS c, coalesce(source = 'lab_upload', false) AS f FROM mibig_records), u AS (SELECT c, count(*) FILTER (f) AS n FROM x GROUP BY 1),
     o AS (SELECT record_id, c, row_number() OVER (PARTITION BY c ORDER BY {_MD5.format(3)}, record_id) AS r FROM x WHERE NOT f)
@@ -630,12 +645,18 @@ def _genes(spark, d):
     return ann.select("record_id", "n", F.explode_outer("genes").alias("g")).select("record_id", "n", F.col("g.s").alias("s"), F.col("g.e").alias("e"), F.col("g.strand").alias("strand"))
 
 
-@query()
+@query(
+    f"""WITH g AS (SELECT record_id, n, unnest(CASE WHEN len(genes) > 0 THEN genes ELSE [NULL] END) AS g FROM {_ANN}), per AS (SELECT record_id, max(n) AS n, count(g.s) AS genes, max(floor((g.e - g.s) / 3)) AS longest FROM g GROUP BY 1),
+    w AS (SELECT record_id, g.s AS s, g.e AS e, max(g.e) OVER (PARTITION BY record_id ORDER BY g.s, g.e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM g WHERE g.e > g.s), c AS (SELECT record_id, sum(greatest(e - greatest(s, coalesce(t, s)), 0)) AS covered FROM w GROUP BY 1),
+    p AS (SELECT record_id, unnest(list_transform(range(1, greatest(length(sequence), 1)), lambda i: upper(substring(sequence, i, 2)))) AS p FROM mibig_records), k AS (SELECT record_id, p, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT record_id, sum(n) AS t FROM k GROUP BY 1), h AS (SELECT k.record_id, -sum(n / t * log2(n / t)) AS h FROM k JOIN t ON k.record_id = t.record_id GROUP BY 1),
+    x AS (SELECT r.record_id, coalesce(covered, 0) / nullif(per.n, 0) AS density, genes, longest, abs(coalesce(h, CASE WHEN sequence IS NOT NULL THEN 0 END)) AS entropy FROM mibig_records r JOIN per USING (record_id) LEFT JOIN c USING (record_id) LEFT JOIN h USING (record_id))
+    SELECT record_id, round(density, 6) AS density, genes, CAST(longest AS BIGINT) AS longest, round(entropy, 6) AS entropy, coalesce(density >= 0.5 AND genes >= 1 AND longest >= 100 AND entropy >= 2.5, false) AS passed FROM x"""
+)
 def ru1_coding_sanity(spark, d):
     genes = _genes(spark, d)
     covered = joins.islands(genes, "record_id")
     per = genes.groupBy("record_id").agg(F.max("n").alias("n"), F.count("s").alias("genes"), F.max(F.floor((F.col("e") - F.col("s")) / 3)).alias("longest"))
-    rows = _records(spark, d).select("record_id", sequence.pair_entropy(F.col("sequence")).alias("entropy")).join(per, "record_id").join(covered, "record_id", "left")
+    rows = _records(spark, d).select("record_id", F.abs(sequence.pair_entropy(F.col("sequence"))).alias("entropy")).join(per, "record_id").join(covered, "record_id", "left")
     density = F.coalesce("covered", F.lit(0)) / F.nullif(F.col("n"), F.lit(0))
     return rounded(rows.select("record_id", density.alias("density"), "genes", "longest", "entropy", rules.coding_sanity(density, F.col("genes"), F.col("longest"), F.col("entropy")).alias("passed")))
 

@@ -119,6 +119,12 @@ def partitions_for(df: DataFrame, target: int = 64 << 20) -> int:
     return max(task_slots(df.sparkSession), min(-(-size // target), 1 << 20))
 
 
+def by_bucket(df: DataFrame, buckets: int, bucket: str = "bucket", most: int = 1 << 20) -> DataFrame:
+    """``df`` with each bucket, numbered from 0, in a partition of its own; beyond ``most`` several share one, in order."""
+    placed = df.repartitionById(min(buckets, most), bucket)
+    return placed if buckets <= most else placed.sortWithinPartitions(bucket)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work whose cost lies in CPU rather than bytes.
 

@@ -336,11 +336,12 @@ def _aligned(a: Indexed, b: Indexed, in_a: np.ndarray, in_b: np.ndarray, widest:
             if gap_a > widest:
                 break
             gap_b = gap_a + turn
-            if min(gap_a, gap_b) < 0 or gap_b > widest or abs(turn) > drift:
+            # runs that were extended into each other follow each other, too, without a gap
+            if min(gap_a, gap_b) <= -min(64, end[s] - start[s]) or gap_b > widest or abs(turn) > drift:
                 continue
             followed[r], begins[s] = True, False
             length[s] += length[r]
-            if gap_a and gap_b:
+            if gap_a > 0 and gap_b > 0:
                 p, q = end[r], end[r] + diagonal[r]
                 off = distance(a.codes[p : p + gap_a], b.codes[q : q + gap_b])[0]
                 if off <= 0.38 * max(gap_a, gap_b) or max(gap_a, gap_b) <= 8:

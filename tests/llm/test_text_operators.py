@@ -111,7 +111,8 @@ def test_related_splits(spark):
     assert both.where("key is not null").groupBy("key").agg(F.countDistinct("assigned").alias("n")).where("n > 1").count() == 0
     part = {r["assigned"]: r["count"] / n for r in both.groupBy("assigned").count().collect()}
     assert abs(part["train"] - 0.8) < 0.05 and abs(part["val"] - 0.1) < 0.04
-    assert split_report(both, "assigned", "label", shares).count() <= 9
+    for r in split_report(both, "assigned", "label", shares).collect():
+        assert abs(r["share"] - r["target"]) < 0.06, r
     assert related_splits(df.limit(0), "record_id", "key", "label", shares).count() == 0
 
 

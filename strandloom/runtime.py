@@ -289,7 +289,8 @@ def running_before(df: DataFrame, keys: list[str], order: str, value: str, name:
     Sums run within ranges of ``order`` only and a small table gives each range its offset, so a key with very many rows
     is summed by many tasks; the work of a range that holds one key's rows alone grows with their number over ``ranges``.
     """
-    marked = _in_ranges(df, order, ranges)
+    # edges, offsets and sums read the same rows, which are mostly the result of an aggregate
+    marked = _in_ranges(materialize(df), order, ranges)
     sums = marked.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,23 @@ def stratified_split(df: DataFrame, row: str, label: str, val: float, test: floa
     return both.select(row, label, split.alias("split"))
 
 
+def _dealt(score: Callable[[int, np.ndarray], np.ndarray], splits: int, m: int, at_once: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+    """(split, low, high): runs of ``m`` equal items dealt one by one to the split with the greatest score; ties: the first.
+
+    ``score`` gives a split's score when it has got 0, 1, 2, ... of them and falls with that number, so the order in which
+    items are dealt is that of all scores sorted, and no step depends on the one before.
+    """
+    taken, low = np.zeros(splits, np.int64), 0
+    while low < m:
+        n = min(m - low, at_once)
+        values = np.concatenate([score(s, taken[s] + np.arange(n)) for s in range(splits)])
+        picks = np.lexsort((np.repeat(np.arange(splits), n), -values))[:n] // n
+        taken += np.bincount(picks, minlength=splits)
+        ends = np.append(np.flatnonzero(np.diff(picks)) + 1, n)
+        yield from zip(picks[ends - 1].tolist(), (low + np.append(0, ends[:-1])).tolist(), (low + ends).tolist(), strict=True)
+        low += n
+
+
 def assign_groups(df: DataFrame, group: str, label: str, shares: dict[str, float]) -> DataFrame:
     """(group, split): whole groups to splits, greedily, the largest first.
 
@@ -51,16 +70,14 @@ def assign_groups(df: DataFrame, group: str, label: str, shares: dict[str, float
         have = {s: dict.fromkeys(totals, 0.0) for s in names}
         out = []
         for cs, m, key in rows:
-            low = 0
-            for _ in range(m):
-                best = max(names, key=lambda s: (sum(n * (totals[c] * shares[s] - have[s][c]) / totals[c] for c, n in cs.items()), -names.index(s)))
+
+            def open_share(k: int, got: np.ndarray, cs: dict[str, int] = cs) -> np.ndarray:
+                return sum(n * (totals[c] * shares[names[k]] - (have[names[k]][c] + got * n)) / totals[c] for c, n in cs.items())
+
+            for k, low, high in list(_dealt(open_share, len(names), m)):
+                out.append([key, names[k], low, high])
                 for c, n in cs.items():
-                    have[best][c] += n
-                if out and out[-1][0] == key and out[-1][1] == best and out[-1][3] == low:
-                    out[-1][3] = low + 1
-                else:
-                    out.append([key, best, low, low + 1])
-                low += 1
+                    have[names[k]][c] += n * (high - low)
         return pd.DataFrame(out, columns=["key", "split", "low", "high"])
 
     plan = kinds.groupBy(F.lit("all")).applyInPandas(greedy, "key string, split string, low bigint, high bigint")
@@ -86,13 +103,15 @@ def deficit_split(df: DataFrame, label: str, group: str, shares: dict[str, float
         have = dict.fromkeys(names, 0)
         out = []
         for size, m in sorted(zip(pdf["size"].tolist(), pdf["m"].tolist(), strict=True), reverse=True):
-            for i in range(m):
-                best = max(names, key=lambda s: ((shares[s] * total - have[s]) / max(shares[s] * total, 1e-9), -names.index(s)))
-                have[best] += size
-                if out and out[-1][0] == size and out[-1][1] == best and out[-1][3] == i:
-                    out[-1][3] = i + 1
-                else:
-                    out.append([size, best, i, i + 1])
+
+            def deficit(k: int, got: np.ndarray, size: int = size) -> np.ndarray:
+                quota = shares[names[k]] * total
+                return (quota - (have[names[k]] + got * size)) / max(quota, 1e-9)
+
+            runs = list(_dealt(deficit, len(names), m))
+            for k, low, high in runs:
+                out.append([size, names[k], low, high])
+                have[names[k]] += size * (high - low)
         res = pd.DataFrame(out, columns=["size", "split", "low", "high"])
         res.insert(0, "label", pdf[label].iloc[0])
         return res

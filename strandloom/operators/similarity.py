@@ -1,7 +1,7 @@
 """Containment, novelty and distances of texts and vectors.
 
-``full_links`` and ``full_search`` use every k-mer and lose no pair: all k-mers meet in hash parts as compressed blocks,
-and what can hold is verified on the texts.
+``full_links`` and ``full_search`` use every k-mer and lose no pair: all k-mers meet in hash parts as compressed blocks.
+For links, what pairs share is then counted; for the search, what can hold is verified on the texts.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence
 from strandloom.operators.graph import connected_components
-from strandloom.runtime import materialize, rank_by_value, spread, task_slots
+from strandloom.runtime import by_bucket, materialize, rank_by_value, spread, task_slots
 
 
 def novelty_tier(containment: Column, fail: float = 0.95, warn: float = 0.8) -> Column:
@@ -65,6 +65,10 @@ def _width(values: np.ndarray) -> int:
     return max(1, (int(values.max()).bit_length() + 7) // 8)
 
 
+def _cut_bits(letters: int) -> int:
+    return min(60, max(20, letters.bit_length() + 7))
+
+
 def _kmer_parts(texts: DataFrame, k: int, canonical: bool = True, block: int = 1 << 22, held: int = 3_000_000) -> DataFrame:
     """(part, n, first, grams, owners, items): all k-mers of (item, packed, length) in blocks by hash part, as sorted differences.
 
@@ -72,7 +76,7 @@ def _kmer_parts(texts: DataFrame, k: int, canonical: bool = True, block: int = 1
     meets, what meets need not share one.
     """
     letters = texts.agg(F.sum("length")).first()[0] or 0
-    bits = min(60, max(20, int(letters).bit_length() + 7))
+    bits = _cut_bits(int(letters))
     parts = max(task_slots(texts.sparkSession), -(-int(letters) // held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,23 +120,27 @@ def _kmer_parts(texts: DataFrame, k: int, canonical: bool = True, block: int = 1
     return spread(texts.select("item", "packed")).mapInArrow(run, "part int, n int, first bigint, grams binary, owners binary, items array<bigint>")
 
 
-def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, owners, starts, sizes, sums) of a part: owners of the entries whose gram has two or more, by gram, and all entries of each owner."""
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, item) of a part's entries, ascending by hash."""
     h, owner = [], []
     for n, first, grams, owners, items in zip(*(table[c].to_pylist() for c in ("n", "first", "grams", "owners", "items")), strict=True):
         steps = _restored(grams, n - 1) if n > 1 else np.zeros(0, np.uint64)
         h.append(np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum(steps, dtype=np.uint64)]))
         owner.append(np.array(items, np.int64)[_restored(owners, n).astype(np.int64)])
     h, owner = np.concatenate(h), np.concatenate(owner)
-    names, owner = np.unique(owner, return_inverse=True)
-    sums = np.bincount(owner, minlength=len(names))
     order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
+    return h[order], owner[order]
+
+
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, owners, starts, sizes) of a part: owners of the entries whose gram has two or more, by gram."""
+    h, owner = _entries(table)
+    names, owner = np.unique(owner, return_inverse=True)
     start = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
     size = np.diff(np.append(start, len(h)))
     many = np.repeat(size > 1, size)
     owner, size = owner[many], size[size > 1]
-    return names, owner, np.cumsum(size) - size, size, sums
+    return names, owner, np.cumsum(size) - size, size
 
 
 def _expanded(probes: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray, width: int, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,47 +217,263 @@ def _shared_kmers(pairs: DataFrame, texts: DataFrame, k: int, canonical: bool =
     return both.mapInArrow(run, "a bigint, b bigint, shared bigint, n_a bigint, n_b bigint")
 
 
+def _grouped(df: DataFrame, buckets: int, schema: str, fn: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> DataFrame:
+    """Runs ``fn`` on the whole rows of each bucket, a task each; they are few and packed, so their bytes say little of the work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            table = pa.Table.from_batches(held)
+            bucket = table["bucket"].to_numpy()
+            for own in np.unique(bucket):
+                yield from fn(table.filter(pa.array(bucket == own)))
+
+    return by_bucket(df, buckets).mapInArrow(run, schema)
+
+
+_PACKED = "bucket int, role int, x binary, y binary, z binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (bucket, role, x, y, z) with arrays or bytes in the last three."""
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    raw = [[v if isinstance(v, bytes) else np.ascontiguousarray(v).tobytes() for v in c] for c in columns[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in raw)], names=["bucket", "role", "x", "y", "z"])
+
+
+def _arrays(table: pa.Table | pa.RecordBatch, role: int, *types: type) -> list[tuple[np.ndarray, ...]]:
+    """The arrays of the rows of one role."""
+    own = table.filter(pa.array(table["role"].to_numpy() == role))
+    return [tuple(np.frombuffer(v, t) for v, t in zip(row, types, strict=True)) for row in zip(*(own[c].to_pylist() for c in "xyz"), strict=True)]
+
+
+def _bucketed(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of integers by hash."""
+    h = values.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(value, *columns) for each value of ``key``, the order within a value kept."""
+    order = np.argsort(key, kind="stable")
+    at = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]]) if len(key) else [0]
+    for low, high in zip(at[:-1], at[1:], strict=True):
+        yield int(key[order[low]]), *(c[order[low:high]] for c in columns)
+
+
+def _met_kmers(texts: DataFrame, k: int) -> DataFrame:
+    """Packed: in role 0 items and their numbers of k-mers, in role 1 items, how many follow for each, and the uncut hashes of
+    the k-mers that another text may share.
+
+    A first pass, on hashes cut short, only says which k-mers meet another text's; these few travel whole.
+    """
+    letters = int(texts.agg(F.sum("length")).first()[0] or 0)
+    bits = _cut_bits(letters)
+    chunks = max(task_slots(texts.sparkSession), -(-letters // 3_000_000))
+
+    def meet(table: pa.Table) -> pa.Table:
+        h, owner = _entries(table)
+        same = h[1:] == h[:-1]
+        some = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        h, owner = h[some], owner[some]
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        rows = []
+        for chunk, i, g in _split(_bucketed(owner, chunks), owner, h):
+            items, n = np.unique(i, return_counts=True)
+            # a part's hashes lie close together
+            rows.append((chunk, 1, items, n.astype(np.int32), g.min().tobytes() + (g - g.min()).astype(np.uint32).tobytes()))
+        return pa.Table.from_batches([_packed(rows)])
+
+    def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        met: dict[int, list[np.ndarray]] = {}
+        for items, n, data in _arrays(table, 1, np.int64, np.int32, np.uint8):
+            grams = data[:8].view(np.uint64)[0] + data[8:].copy().view(np.uint32).astype(np.uint64)
+            for item, own in zip(items.tolist(), np.split(grams, np.cumsum(n)[:-1]), strict=True):
+                met.setdefault(item, []).append(own)
+        texts_of = table.filter(pa.array(table["role"].to_numpy() == 0))
+        items, sizes, kept, hashes = [], [], [], []
+        for item, text in zip(*(texts_of[c].to_pylist() for c in "xy"), strict=True):
+            h = _kmer_hashes(zlib.decompress(text).decode("utf-8"), k)
+            items.append(int(np.frombuffer(item, np.int64)[0]))
+            sizes.append(len(h))
+            own = np.unique(np.concatenate(met.get(items[-1]) or [np.zeros(0, np.uint64)]))
+            cut = h >> np.uint64(64 - bits)
+            at = np.minimum(np.searchsorted(own, cut), len(own) - 1)
+            hashes.append(h[own[at] == cut] if len(own) else h[:0])
+            kept.append(len(hashes[-1]))
+        if items:
+            yield _packed([(0, 0, np.array(items, np.int64), np.array(sizes, np.int64), b""), (0, 1, np.array(items, np.int64), np.array(kept, np.int32), np.concatenate(hashes))])
+
+    met = _kmer_parts(texts, k).groupBy("part").applyInArrow(meet, _PACKED)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(0).to_numpy()
+            yield _packed(list(zip(_bucketed(items, chunks).tolist(), [0] * len(items), items, batch.column(1).to_pylist(), [b""] * len(items), strict=True)))
+
+    return materialize(_grouped(met.union(texts.select("item", "packed").mapInArrow(sent, _PACKED)), chunks, _PACKED, whole))
+
+
+def _cold_pairs(owner: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (lesser * width + greater) of the pairs of owners of each gram, and how often each comes; owners ascend within a gram."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held: list[np.ndarray] = []
+
+    def add() -> None:
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        keys.append(u)
+        counts.append(n)
+        held.clear()
+
+    for s in np.unique(size).tolist():
+        i, j = np.triu_indices(s, 1)
+        own, step = start[size == s], max(1, block // len(i))
+        for low in range(0, len(own), step):
+            m = owner[own[low : low + step, None] + np.arange(s)]
+            held.append((m[:, i] * width + m[:, j]).reshape(-1))
+            if sum(map(len, held)) >= block:
+                add()
+    if held:
+        add()
+    return _summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _dense(gram_x: np.ndarray, x: np.ndarray, gram_y: np.ndarray, y: np.ndarray, shape: tuple[int, int], step: int = 1024) -> np.ndarray:
+    """How many grams each x shares with each y, as a matrix; entries (gram, x) and (gram, y)."""
+    out = np.zeros(shape, np.float32)
+    grams = np.intersect1d(gram_x, gram_y)
+    if not len(grams):
+        return out
+    px, py = np.isin(gram_x, grams), np.isin(gram_y, grams)
+    gx, x, gy, y = np.searchsorted(grams, gram_x[px]), x[px], np.searchsorted(grams, gram_y[py]), y[py]
+    # grams with the same first owner, such as those of one family of texts, go together
+    least = np.full(len(grams), shape[0], np.int64)
+    np.minimum.at(least, gx, x)
+    place = np.empty(len(grams), np.int64)
+    place[np.argsort(least, kind="stable")] = np.arange(len(grams))
+    gx, gy = place[gx], place[gy]
+    ox, oy = np.argsort(gx, kind="stable"), np.argsort(gy, kind="stable")
+    gx, x, gy, y = gx[ox], x[ox], gy[oy], y[oy]
+    for low in range(0, len(grams), step):
+        a, b = (slice(*np.searchsorted(g, [low, low + step])) for g in (gx, gy))
+        ux, ix = np.unique(x[a], return_inverse=True)
+        uy, iy = np.unique(y[b], return_inverse=True)
+        left, right = np.zeros((len(ux), step), np.float32), np.zeros((len(uy), step), np.float32)
+        left[ix, gx[a] - low], right[iy, gy[b] - low] = 1, 1
+        out[np.ix_(ux, uy)] += left @ right.T
+    return out
+
+
+def _counted(texts: DataFrame, k: int, schema: str, fn: Callable[..., pa.RecordBatch], hot: int = 64, entries: int = 3_000_000, owners: int = 2048, pairs: int = 2_000_000) -> DataFrame:
+    """``fn`` (a, b, shared, n_a, n_b) over all pairs of texts a < b that share a canonical k-mer: how many they share and have.
+
+    Nothing is verified pair by pair. K-mers of up to ``hot`` texts are expanded to pairs within hash parts. Those of more,
+    such as of a block that many texts share, have few entries but very many pairs: they are counted by matrix products of two
+    groups of texts each, where also the sums of the parts end, so that no list of all pairs is ever written.
+    """
+    spark = texts.sparkSession
+    met = _met_kmers(texts, k)
+    total = met.where("role = 1").agg(F.sum(F.length("z"))).first()[0] or 0
+    parts = max(task_slots(spark), -(-int(total) // (8 * entries)))
+
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for items, n, grams in _arrays(batch, 1, np.int64, np.int32, np.uint64):
+                part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                if len(grams):
+                    yield _packed([(p, 1, i, g, b"") for p, i, g in _split(part, np.repeat(items, n), grams)])
+
+    def paired(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket = int(table["bucket"][0].as_py())
+        owner, gram = (np.concatenate(c) for c in list(zip(*_arrays(table, 1, np.int64, np.uint64, np.uint8), strict=True))[:2])
+        names, owner = np.unique(owner, return_inverse=True)
+        order = np.lexsort((owner, gram))
+        owner, gram = owner[order], gram[order]
+        start = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1])
+        size = np.diff(np.append(start, len(gram)))
+        cold = (size > 1) & (size <= hot)
+        keys, counts = _cold_pairs(owner, start[cold], size[cold], len(names))
+        for low in range(0, len(keys), 1_000_000):
+            u = keys[low : low + 1_000_000]
+            yield _packed([(0, 2, names[u // len(names)], names[u % len(names)], counts[low : low + len(u)].astype(np.int32))])
+        if (size > hot).any():
+            number = np.repeat((bucket << 32) + np.arange(len(size)), size)
+            some = np.repeat(size > hot, size)
+            yield _packed([(0, 3, names[owner[some]], number[some], b"")])
+
+    found = materialize(_grouped(met.where("role = 1").mapInArrow(by_hash, _PACKED), parts, _PACKED, paired))
+
+    def hot_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for items, *_ in _arrays(batch, 3, np.int64, np.int64, np.uint8):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(items))], names=["item"])
+
+    many = found.where("role = 3").mapInArrow(hot_owners, "item bigint").distinct().count()
+    partial = found.where("role = 2").agg(F.sum(F.length("z"))).first()[0] or 0
+    groups = max(-(-many // owners), math.isqrt(2 * task_slots(spark)) + 1, math.isqrt(int(partial) // (2 * pairs)) + 1)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(group: int) -> Iterator[int]:
+            return (min(group, g) * groups + max(group, g) for g in range(groups))
+
+        for batch in batches:
+            for items, sizes, _ in _arrays(batch, 0, np.int64, np.int64, np.uint8):
+                yield _packed([(b, 0, i, n, b"") for g, i, n in _split(_bucketed(items, groups), items, sizes) for b in blocks(g)])
+            for a, b, n in _arrays(batch, 2, np.int64, np.int64, np.int32):
+                x, y = _bucketed(a, groups), _bucketed(b, groups)
+                yield _packed([(block, 2, *c) for block, *c in _split(np.minimum(x, y) * groups + np.maximum(x, y), a, b, n)])
+            for items, number, _ in _arrays(batch, 3, np.int64, np.int64, np.uint8):
+                yield _packed([(b, 3, i, n, b"") for g, i, n in _split(_bucketed(items, groups), items, number) for b in blocks(g)])
+
+    def ended(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        items, sizes = (np.concatenate(c) for c in list(zip(*_arrays(table, 0, np.int64, np.int64, np.uint8), strict=True))[:2])
+        order = np.argsort(items)
+        items, sizes = items[order], sizes[order]
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b, n in _arrays(table, 2, np.int64, np.int64, np.int32):
+            keys.append(np.searchsorted(items, a) * len(items) + np.searchsorted(items, b))
+            counts.append(n.astype(np.int64))
+        if rows := _arrays(table, 3, np.int64, np.int64, np.uint8):
+            owner, number = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            low, high = divmod(int(table["bucket"][0].as_py()), groups)
+            group = _bucketed(owner, groups)
+            (ux, x), (uy, y) = (np.unique(owner[group == g], return_inverse=True) for g in (low, high))
+            met = _dense(number[group == low], x, number[group == high], y, (len(ux), len(uy)))
+            i, j = np.nonzero(np.triu(met, 1) if low == high else met)
+            n = met[i, j].astype(np.int64)
+            i, j = np.searchsorted(items, ux)[i], np.searchsorted(items, uy)[j]
+            keys.append(np.minimum(i, j) * len(items) + np.maximum(i, j))
+            counts.append(n)
+        keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
+        i, j = keys // max(1, len(items)), keys % max(1, len(items))
+        for at in range(0, len(keys), 1_000_000):
+            x, y = i[at : at + 1_000_000], j[at : at + 1_000_000]
+            yield fn(items[x], items[y], counts[at : at + len(x)], sizes[x], sizes[y])
+
+    return _grouped(met.where("role = 0").union(found).mapInArrow(routed, _PACKED), groups * groups, schema, ended)
+
+
 def full_links(df: DataFrame, row: str, text: str, k: int = 21, least: float = 0.5) -> DataFrame:
     """(a, b, containment): pairs of distinct texts of which b holds at least ``least`` of a's canonical k-mers.
 
-    Over all k-mers and all rows; equal texts are reduced to their least row first. If b holds that share of a's k-mers,
-    it does so in some part of the hash range. There, with grams from the rarest on, b has one of the first
-    s - ceil(least * n) + 1 of a's s shared grams, so only those are probed; pairs that reach the share in the part are
-    verified on their texts.
+    Over all k-mers and all rows; equal texts are reduced to their least row first. What pairs share is counted in whole
+    (``_counted``), and those that reach the share in either direction are kept where they are counted.
     """
-    texts = _texts(df, row, text)
-
-    def probed(table: pa.Table) -> pa.Table:
-        names, owner, start, size, sums = _met(table)
-        keys = [np.zeros(0, np.int64)]
-        if len(owner):
-            gram = np.repeat(np.arange(len(size)), size)
-            shared = np.bincount(owner, minlength=len(names))
-            need = np.ceil(least * sums - 1e-9).astype(np.int64)
-            few = shared - need + 1
-            order = np.lexsort((gram, size[gram], owner))
-            first = np.cumsum(shared) - shared
-            place = np.arange(len(order)) - first[owner[order]]
-            probes = order[place < few[owner[order]]]
-            own, entries = gram[np.lexsort((gram, owner))], np.unique(owner * len(size) + gram)
-            for u, _ in _expanded(probes, owner, start, size, gram, len(names)):
-                for low in range(0, len(u), 1 << 14):
-                    a, b = u[low : low + (1 << 14)] // len(names), u[low : low + (1 << 14)] % len(names)
-                    m = shared[a]
-                    at = np.repeat(first[a], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    wanted = np.repeat(b, m) * len(size) + own[at]
-                    place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
-                    met = np.bincount(np.repeat(np.arange(len(a)), m), entries[place] == wanted, len(a))
-                    keys.append(u[low : low + (1 << 14)][met >= need[a]])
-        u = np.unique(np.concatenate(keys))
-        return pa.table({"a": names[u // len(names)], "b": names[u % len(names)]})
-
-    met = _kmer_parts(texts, k).groupBy("part").applyInArrow(probed, "a bigint, b bigint")
-    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = materialize(_shared_kmers(pairs, texts, k))
-    ahead = found.select("a", "b", (F.col("shared") / F.col("n_a")).alias("containment"))
-    behind = found.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("shared") / F.col("n_b")).alias("containment"))
-    return ahead.union(behind).where(F.col("containment") >= least)
+
+    def kept(a: np.ndarray, b: np.ndarray, shared: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> pa.RecordBatch:
+        ahead, behind = shared / n_a, shared / n_b
+        x, y = ahead >= least, behind >= least
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((a[x], b[y]), (b[x], a[y]), (ahead[x], behind[y]))], names=["a", "b", "containment"])
+
+    return materialize(_counted(_texts(df, row, text), k, "a bigint, b bigint, containment double", kept))
 
 
 def full_search(queries: DataFrame, reference: DataFrame, row: str, text: str, k: int = 21, keep: int = 3, canonical: bool = True) -> DataFrame:
@@ -267,7 +491,7 @@ def full_search(queries: DataFrame, reference: DataFrame, row: str, text: str, k
     marked = texts.join(asked.select("d").where("d is not null").distinct().withColumn("asked", F.lit(True)), "d", "left").select("item", "packed", "length", F.coalesce("asked", F.lit(False)).alias("asked"))
 
     def counted(table: pa.Table) -> pa.Table:
-        names, owner, start, size, _ = _met(table)
+        names, owner, start, size = _met(table)
         # the lowest bit of a name says whether it is asked for
         gram = np.repeat(np.arange(len(size)), size)
         probes = np.flatnonzero((names[owner] & 1).astype(bool)) if len(owner) else np.zeros(0, np.int64)
@@ -350,13 +574,17 @@ def greedy_distinct(df: DataFrame, row: str, text: str, links: DataFrame) -> Dat
 def pairwise_summary(df: DataFrame, row: str, text: str, k: int = 21) -> DataFrame:
     """One row: texts, pairs, meeting (pairs that share a k-mer), median and greatest containment over all pairs.
 
-    Containment is that of the smaller set, 0 for pairs that share nothing; these are counted, not made. For sets of texts
-    that share little, such as the results of one run: every pair that meets is a row. Equal texts count once.
+    Containment is that of the smaller set, 0 for pairs that share nothing; these are counted, not made. What pairs share
+    is counted in whole (``_counted``) and only the tally of the values is kept. Equal texts count once.
     """
-    links = full_links(df, row, text, k, 1e-9)
-    met = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("containment").alias("c"))
+
+    def tallied(a: np.ndarray, b: np.ndarray, shared: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> pa.RecordBatch:
+        c, n = np.unique(shared / np.minimum(n_a, n_b), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["c", "n"])
+
+    met = _counted(_texts(df, row, text), k, "c double, n bigint", tallied)
     n = df.where(F.col(text).isNotNull()).agg(F.countDistinct(F.md5(F.encode(F.col(text), "utf-8"))).alias("n"))
-    counts = materialize(met.groupBy("c").agg(F.count("*").alias("n")))
+    counts = materialize(met.groupBy("c").agg(F.sum("n").alias("n")))
     values = counts.agg(F.sum("n").alias("meeting"), F.max("c").alias("greatest"))
     one = n.withColumns({"meeting": values.select(F.coalesce("meeting", F.lit(0))).scalar(), "greatest": values.select("greatest").scalar()})
     one = one.withColumn("pairs", F.expr("n * (n - 1) div 2"))

@@ -144,3 +144,36 @@ def test_near_cleaned_splits(spark):
     links = spark.createDataFrame([(1, 4), (3, 5)], "a bigint, b bigint")
     got = {r["id"] for r in similarity.near_cleaned_splits(df, "id", "split", "s", links).collect()}
     assert got == {1, 3, 6, 7, 8, 9}
+
+
+@pytest.fixture(scope="module")
+def block():
+    """Ninety edited copies of a block with own letters behind it, and texts of their own."""
+    rng = random.Random(9)
+    base = seq(rng, 80)
+    out = [base[: (i := rng.randrange(80))] + rng.choice("ACGT") + base[i + 1 :] + seq(rng, rng.randrange(10, 90)) for _ in range(90)] + [base] + [seq(rng, 70) for _ in range(9)]
+    return [(7 * i + 3, s) for i, s in enumerate(out)]
+
+
+def refuse(*_):
+    raise AssertionError("pairs are verified one by one")
+
+
+def test_pairwise_summary_counts_pairs_of_a_common_block(spark, block, monkeypatch):
+    """A block in most texts: nearly all pairs meet, and none is taken to its texts."""
+    monkeypatch.setattr(similarity, "_shared_kmers", refuse)
+    sets = [kmers(s) for _, s in block]
+    values = sorted(len(x & y) / min(len(x), len(y)) for i, x in enumerate(sets) for y in sets[i + 1 :])
+    r = similarity.pairwise_summary(spark.createDataFrame(block, "id bigint, s string"), "id", "s").first()
+    assert (r["pairs"], r["meeting"]) == (len(values), sum(v > 0 for v in values)) and r["meeting"] > 3000
+    assert r["median"] == pytest.approx((values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2) and r["greatest"] == values[-1]
+
+
+@pytest.mark.parametrize("hot, owners", [(1, 8), (20, 40), (1000, 2048)])
+def test_counts_of_both_ways_add_up(spark, block, hot, owners):
+    sets = {i: kmers(s) for i, s in block}
+    want = {(a, b): (len(x & y), len(x), len(y)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+    keep = lambda *c: similarity.pa.RecordBatch.from_arrays([similarity.pa.array(x) for x in c], names=["a", "b", "n", "x", "y"])
+    texts = similarity._texts(spark.createDataFrame(block, "id bigint, s string"), "id", "s")
+    got = similarity._counted(texts, 21, "a bigint, b bigint, n bigint, x bigint, y bigint", keep, hot=hot, owners=owners, pairs=500).collect()
+    assert {(r["a"], r["b"]): (r["n"], r["x"], r["y"]) for r in got} == want and len(got) == len(want)

@@ -177,3 +177,17 @@ def test_counts_of_both_ways_add_up(spark, block, hot, owners):
     texts = similarity._texts(spark.createDataFrame(block, "id bigint, s string"), "id", "s")
     got = similarity._counted(texts, 21, "a bigint, b bigint, n bigint, x bigint, y bigint", keep, hot=hot, owners=owners, pairs=500).collect()
     assert {(r["a"], r["b"]): (r["n"], r["x"], r["y"]) for r in got} == want and len(got) == len(want)
+
+
+@pytest.fixture(scope="module")
+def block_folder(spark, block, tmp_path_factory):
+    path = tmp_path_factory.mktemp("block")
+    spark.createDataFrame(block, "record_id bigint, sequence string").write.parquet(f"{path}/mibig_records.parquet")
+    return str(path)
+
+
+def test_link_classes_of_a_common_block(spark, block, block_folder, monkeypatch):
+    monkeypatch.setattr(similarity, "_shared_kmers", refuse)
+    links = {(min(p), max(p)) for p in brute(block, 0.5)}
+    got = {r["record_id"]: r["links"] for r in registry.queries()["jn17_link_classes"](spark, block_folder).collect()}
+    assert got == {i: sum(i in p for p in links) for i, _ in block} and max(got.values()) > 50

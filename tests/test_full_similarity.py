@@ -191,3 +191,9 @@ def test_link_classes_of_a_common_block(spark, block, block_folder, monkeypatch)
     links = {(min(p), max(p)) for p in brute(block, 0.5)}
     got = {r["record_id"]: r["links"] for r in registry.queries()["jn17_link_classes"](spark, block_folder).collect()}
     assert got == {i: sum(i in p for p in links) for i, _ in block} and max(got.values()) > 50
+
+
+def test_all_links_of_a_common_block(spark, block, block_folder, monkeypatch):
+    monkeypatch.setattr(similarity, "_shared_kmers", refuse)
+    got = {(r["a"], r["b"]): r["containment"] for r in registry.queries()["jn17_all_links"](spark, block_folder).collect()}
+    assert got == pytest.approx(brute(block, 0.5), abs=1e-6) and len(got) > 500

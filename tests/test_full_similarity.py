@@ -197,3 +197,10 @@ def test_all_links_of_a_common_block(spark, block, block_folder, monkeypatch):
     monkeypatch.setattr(similarity, "_shared_kmers", refuse)
     got = {(r["a"], r["b"]): r["containment"] for r in registry.queries()["jn17_all_links"](spark, block_folder).collect()}
     assert got == pytest.approx(brute(block, 0.5), abs=1e-6) and len(got) > 500
+
+
+def test_set_summary_of_a_common_block(spark, block, block_folder, monkeypatch):
+    monkeypatch.setattr(similarity, "_shared_kmers", refuse)
+    linked = {x for p in brute(block, 0.6) for x in p}
+    r = registry.queries()["sim12_set_summary"](spark, block_folder).first()
+    assert r["rows"] == len(block) and r["near_dup_share"] == pytest.approx(len(linked) / len(block)) and linked

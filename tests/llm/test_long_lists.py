@@ -1,7 +1,12 @@
 """Lists of one frequent gram over many unlike sets."""
 
+import math
 import random
+from itertools import combinations
 
+import pytest
+
+from strandloom.llm import near_dup
 from strandloom.llm.near_dup import candidate_pairs, shared_grams
 
 
@@ -45,3 +50,49 @@ def test_lengths_and_places(spark):
     # 1 and 2 share one place only; 4 fits nobody in length
     assert {tuple(r) for r in candidate_pairs(df, ratio=0.78, apart=2).collect()} <= {(1, 3), (2, 3)}
     assert {(1, 2), (1, 3), (2, 3)} == {tuple(r) for r in candidate_pairs(df, ratio=0.78).collect()}
+
+
+@pytest.fixture(scope="module")
+def chance():
+    """400 sets of grams drawn from few, as those of a large collection are, among them tiny ones and alike ones of one kind,
+    and the pairs that hold by the scalar rules."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        kind = i if i % 7 else i - i % 21
+        grams = {rng.randrange(1, 900) << 46: rng.randrange(16) for _ in range(rng.choice([2, 3, 12, 20, 20]))}
+        grams |= {(1000 + j) << 46: i % 16 if i % 3 else 5 * j for j in range(3) if i % 4 == 0}
+        grams = sorted(g << 4 | place for g, place in grams.items())
+        rows.append((3 * i - 50, 3 * kind - 50, rng.choice([150, 390, 450, 900, 1100, 1300]), grams))
+    want = set()
+    for (a, kind_a, n_a, x), (b, kind_b, n_b, y) in combinations(rows, 2):
+        places = {g >> 4: 1 << (g & 15) for g in y}
+        mark, shared = 0, {g >> 4 for g in x} & set(places)
+        for g in shared:
+            mark |= places[g]
+        if kind_a != kind_b and min(n_a, n_b) >= 0.78 * max(n_a, n_b) and shared:
+            if len(x) <= 3 and len(y) <= 3 or len(shared) >= 2 and near_dup._spread(mark, n_b, 2):
+                want.add((a, b))
+    return rows, want
+
+
+@pytest.mark.parametrize(("crowd", "entries"), [(1000, 1_000_000), (1000, 50), (8, 1_000_000), (1, 300)])
+def test_sets_are_not_sent_with_each_gram_they_share(spark, monkeypatch, chance, crowd, entries):
+    """What unlike sets share by chance, and what crowded lists hold, is counted: neither goes with all its grams to a tree."""
+    rows, want = chance
+
+    def never(*_):
+        raise AssertionError("sets sent whole")
+
+    monkeypatch.setattr(near_dup, "_trees", never)
+    monkeypatch.setattr(near_dup, "_between_parts", never)
+    df = spark.createDataFrame(rows, "item bigint, kind bigint, letters int, grams array<bigint>").repartition(3)
+    found = candidate_pairs(df, crowd=crowd, alike=math.inf, ratio=0.78, apart=2, entries=entries).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) > 100
+
+
+def test_products_and_single_pairs_count_alike(spark, chance):
+    rows, want = chance
+    df = spark.createDataFrame([(*r, len(r[3]) <= 3) for r in rows], "item bigint, kind bigint, letters int, grams array<bigint>, tiny boolean")
+    for owners, dense in ((30, 1), (2048, 4096)):
+        assert {tuple(r) for r in near_dup._crowded_pairs(df, 2, 0.78, 2, owners, dense).collect()} == want

@@ -26,25 +26,58 @@ def novelty_tier(containment: Column, fail: float = 0.95, warn: float = 0.8) ->
     return F.when(containment >= fail, "FAIL").when(containment >= warn, "WARN").when(containment.isNotNull(), "PASS")
 
 
+#: Each letter's code, and its partner's, for texts of one byte a letter.
+_OWN, _PARTNER = np.arange(256, dtype=np.uint64), np.arange(256, dtype=np.uint64)
+_PARTNER[[ord(x) for x in "ATCG"]] = [ord(x) for x in "TAGC"]
+
+
+def _windows(codes: np.ndarray, k: int, base: int, backward: bool) -> np.ndarray:
+    """The polynomial of every ``k`` codes, the first with the greatest power or, ``backward``, the least; windows of doubling
+    width are put together, so it takes steps in the logarithm of ``k``."""
+    n = len(codes) - k + 1
+    out, width, power, own, left = None, 1, base, codes, k
+    done = 0
+    while left:
+        if left & 1:
+            # own has windows of this width; what is done so far lies before them
+            part = own[done : done + n]
+            if out is None:
+                out = part.copy()
+            elif backward:
+                out += part * np.uint64(pow(base, done, 2**64))
+            else:
+                out *= np.uint64(power)
+                out += part
+            done += width
+        left >>= 1
+        if left:
+            first, second = own[: len(own) - width], own[width:]
+            own = first + second * np.uint64(power) if backward else first * np.uint64(power) + second
+            width, power = 2 * width, power * power % 2**64
+    return out
+
+
 def _kmer_hashes(text: str, k: int, canonical: bool = True) -> np.ndarray:
     """The distinct 64-bit hashes of a text's k-mers, ascending; if ``canonical`` a k-mer and its reverse complement have one."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(codes) - k + 1
+    n = len(text) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    turned = codes.copy()
-    for a, b in ("AT", "TA", "CG", "GC"):
-        turned[codes == ord(a)] = ord(b)
-    base, power = 0x9E3779B97F4A7C15, 1
-    forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in range(k):
-        forward = forward * np.uint64(base) + codes[i : i + n]
-        backward += turned[i : i + n] * np.uint64(power)
-        power = power * base % 2**64
-    h = (np.minimum(forward, backward) if canonical else forward) * np.uint64(0xD6E8FEB86659FD93)
+    if text.isascii():
+        raw = np.frombuffer(text.encode("ascii"), np.uint8)
+        codes, turned = _OWN[raw], _PARTNER[raw] if canonical else None
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        turned = np.where(codes < 256, _PARTNER[np.minimum(codes, 255).astype(np.int64)], codes)
+    base = 0x9E3779B97F4A7C15
+    h = _windows(codes, k, base, False)
+    if canonical:
+        h = np.minimum(h, _windows(turned, k, base, True))
+    h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(h ^ (h >> np.uint64(29)))
+    h ^= h >> np.uint64(29)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _squeezed(values: np.ndarray, width: int) -> bytes:
@@ -85,21 +118,32 @@ def _kmer_parts(texts: DataFrame, k: int, canonical: bool = True, block: int = 1
         size = 0
 
         def blocks() -> pa.RecordBatch:
-            h = np.concatenate(grams)
-            owner = np.repeat(np.arange(len(grams), dtype=np.uint64), [len(g) for g in grams])
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], owner[order]
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            # the owner takes the place of bits that are cut off, so that values are sorted rather than indices
+            low = np.uint64(64 - max(32, bits))
+            if len(grams) >> int(low):
+                h = np.concatenate(grams)
+                owner = np.repeat(np.arange(len(grams), dtype=np.uint64), [len(g) for g in grams])
+                order = np.argsort(h, kind="stable")
+                h, owner = h[order], owner[order]
+            else:
+                h = np.concatenate([g >> low << low | np.uint64(i) for i, g in enumerate(grams)])
+                h.sort()
+                owner = h & ((np.uint64(1) << low) - np.uint64(1))
+            # the first value of each part: value * parts // 2**32 of the upper half
+            edges = [-(-(p << 32) // parts) << 32 for p in range(parts)]
+            cut = np.append(np.searchsorted(h, np.array(edges, np.uint64)), len(h))
             h = h >> np.uint64(64 - bits)
             rows: list[tuple] = []
             for p in range(parts):
                 low, high = int(cut[p]), int(cut[p + 1])
                 if low < high:
-                    used, local = np.unique(owner[low:high], return_inverse=True)
+                    own = owner[low:high].astype(np.int64)
+                    here = np.zeros(len(items), np.int64)
+                    here[own] = 1
+                    used, local = np.flatnonzero(here), (np.cumsum(here) - 1)[own]
                     steps = np.diff(h[low:high])
                     first = int(h[low])
-                    rows.append((p, high - low, first, _squeezed(steps, _width(steps)) if len(steps) else b"", _squeezed(local, _width(local)), np.array(items, np.int64)[used.astype(np.int64)]))
+                    rows.append((p, high - low, first, _squeezed(steps, _width(steps)) if len(steps) else b"", _squeezed(local, _width(local)), np.array(items, np.int64)[used]))
             names = ["part", "n", "first", "grams", "owners", "items"]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -122,14 +166,22 @@ def _kmer_parts(texts: DataFrame, k: int, canonical: bool = True, block: int = 1
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(hash, item) of a part's entries, ascending by hash."""
+    rows = list(zip(*(table[c].to_pylist() for c in ("n", "first", "grams", "owners", "items")), strict=True))
+    names = np.unique(np.concatenate([np.array(items, np.int64) for *_, items in rows]))
     h, owner = [], []
-    for n, first, grams, owners, items in zip(*(table[c].to_pylist() for c in ("n", "first", "grams", "owners", "items")), strict=True):
+    for n, first, grams, owners, items in rows:
         steps = _restored(grams, n - 1) if n > 1 else np.zeros(0, np.uint64)
         h.append(np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum(steps, dtype=np.uint64)]))
-        owner.append(np.array(items, np.int64)[_restored(owners, n).astype(np.int64)])
+        owner.append(np.searchsorted(names, np.array(items, np.int64)).astype(np.uint64)[_restored(owners, n).astype(np.int64)])
     h, owner = np.concatenate(h), np.concatenate(owner)
+    low = np.uint64(len(names).bit_length())
+    if int(h.max()).bit_length() + int(low) <= 64:
+        # one sort of values is much faster than one of indices
+        h = h << low | owner
+        h.sort()
+        return h >> low, names[(h & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)]
     order = np.argsort(h, kind="stable")
-    return h[order], owner[order]
+    return h[order], names[owner[order].astype(np.int64)]
 
 
 def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow.compute
 import pytest
 
 from strandloom.operators import similarity
@@ -204,3 +206,43 @@ def test_set_summary_of_a_common_block(spark, block, block_folder, monkeypatch):
     linked = {x for p in brute(block, 0.6) for x in p}
     r = registry.queries()["sim12_set_summary"](spark, block_folder).first()
     assert r["rows"] == len(block) and r["near_dup_share"] == pytest.approx(len(linked) / len(block)) and linked
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7, 8, 21, 31, 64])
+def test_windows_are_put_together_in_few_steps(k):
+    """The value of a window is the plain polynomial of its letters, from windows of half the width each."""
+    rng = random.Random(k)
+    base = 0x9E3779B97F4A7C15
+    codes = [rng.randrange(2**21) for _ in range(150)]
+    for backward in (False, True):
+        powers = [pow(base, j if backward else k - 1 - j, 2**64) for j in range(k)]
+        want = [sum(c * p for c, p in zip(codes[i:], powers, strict=False)) % 2**64 for i in range(len(codes) - k + 1)]
+        assert similarity._windows(np.array(codes, np.uint64), k, base, backward).tolist() == want
+
+
+def test_hashes_of_strands_and_of_letters_beyond_one_byte():
+    for text in ("ACGTTGCAACCGN", "acgtACGTAC", "ACGT\u00e9ACG\u4e2dTTACG", "\u00c1CGT"):
+        turned = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        for k in (1, 3, 4):
+            own = similarity._kmer_hashes(text, k)
+            assert own.tolist() == similarity._kmer_hashes(turned, k).tolist() == sorted(set(own.tolist()))
+            least = {min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for w in (text[i : i + k] for i in range(len(text) - k + 1))}
+            assert len(own) == len(least)
+            assert len(similarity._kmer_hashes(text, k, False)) == len({text[i : i + k] for i in range(len(text) - k + 1)})
+
+
+def test_entries_of_parts_are_those_of_the_texts(spark):
+    """However the owners are sorted along with the k-mers, each part has every (k-mer, text) once."""
+    rng = random.Random(5)
+    texts = {i * 10**12 - 7: "".join(rng.choice("ACGT") for _ in range(rng.randrange(5, 90))) for i in range(60)}
+    packed = [(i, bytearray(similarity.zlib.compress(t.encode())), len(t)) for i, t in texts.items()]
+    df = spark.createDataFrame(packed, "item bigint, packed binary, length int")
+    for block in (100, 1 << 22):
+        rows = similarity._kmer_parts(df, 9, block=block, held=300).toArrow()
+        bits = np.uint64(64 - similarity._cut_bits(sum(map(len, texts.values()))))
+        got = []
+        for part in set(rows["part"].to_pylist()):
+            h, owner = similarity._entries(rows.filter(pyarrow.compute.equal(rows["part"], part)))
+            assert (np.diff(h.astype(np.int64)) >= 0).all()
+            got += zip(h.tolist(), owner.tolist(), strict=True)
+        assert sorted(got) == sorted((int(h), i) for i, t in texts.items() for h in similarity._kmer_hashes(t, 9) >> bits)

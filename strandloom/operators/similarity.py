@@ -6,6 +6,7 @@ For links, what pairs share is then counted; for the search, what can hold is ve
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections import OrderedDict
@@ -26,48 +27,49 @@ def novelty_tier(containment: Column, fail: float = 0.95, warn: float = 0.8) ->
     return F.when(containment >= fail, "FAIL").when(containment >= warn, "WARN").when(containment.isNotNull(), "PASS")
 
 
-#: Each letter's code, and its partner's, for texts of one byte a letter.
-_OWN, _PARTNER = np.arange(256, dtype=np.uint64), np.arange(256, dtype=np.uint64)
-_PARTNER[[ord(x) for x in "ATCG"]] = [ord(x) for x in "TAGC"]
-
-
-def _windows(codes: np.ndarray, k: int, base: int, backward: bool) -> np.ndarray:
-    """The polynomial of every ``k`` codes, the first with the greatest power or, ``backward``, the least; windows of doubling
-    width are put together, so it takes steps in the logarithm of ``k``."""
-    n = len(codes) - k + 1
-    out, width, power, own, left = None, 1, base, codes, k
-    done = 0
-    while left:
-        if left & 1:
-            # own has windows of this width; what is done so far lies before them
-            part = own[done : done + n]
-            if out is None:
-                out = part.copy()
-            elif backward:
-                out += part * np.uint64(pow(base, done, 2**64))
-            else:
-                out *= np.uint64(power)
-                out += part
-            done += width
-        left >>= 1
-        if left:
-            first, second = own[: len(own) - width], own[width:]
-            own = first + second * np.uint64(power) if backward else first * np.uint64(power) + second
-            width, power = 2 * width, power * power % 2**64
+#: Each letter's partner, for texts of one byte a letter.
+_PARTNER = bytes.maketrans(b"ATCG", b"TAGC")
+
+
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _windows(codes: np.ndarray, k: int, base: int, backward: bool, step: int = 1 << 13) -> np.ndarray:
+    """The polynomial of every ``k`` codes, the first with the greatest power or, ``backward``, the least; of an odd base.
+
+    Windows are differences of running sums, from which the power of their place is taken by its inverse, so it takes the same
+    steps for any ``k``. Sums begin anew after ``step`` windows.
+    """
+    out = np.empty(len(codes) - k + 1, np.uint64)
+    up, down = _powers(base, step + k), _powers(pow(base, -1, 2**64), step + k)
+    for low in range(0, len(out), step):
+        own = codes[low : low + step + k - 1]
+        n = len(own) - k + 1
+        sums = own * (up if backward else down)[: len(own)]
+        np.cumsum(sums, out=sums)
+        part = out[low : low + n]
+        part[0] = sums[k - 1]
+        np.subtract(sums[k:], sums[: n - 1], out=part[1:])
+        part *= down[:n] if backward else up[k - 1 : k - 1 + n]
     return out
 
 
-def _kmer_hashes(text: str, k: int, canonical: bool = True) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's k-mers, ascending; if ``canonical`` a k-mer and its reverse complement have one."""
+def _all_hashes(text: str, k: int, canonical: bool = True) -> np.ndarray:
+    """The 64-bit hashes of a text's k-mers as they follow; if ``canonical`` a k-mer and its reverse complement have one."""
     n = len(text) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if text.isascii():
-        raw = np.frombuffer(text.encode("ascii"), np.uint8)
-        codes, turned = _OWN[raw], _PARTNER[raw] if canonical else None
+        raw = text.encode("ascii")
+        codes = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        turned = np.frombuffer(raw.translate(_PARTNER), np.uint8).astype(np.uint64) if canonical else None
     else:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        turned = np.where(codes < 256, _PARTNER[np.minimum(codes, 255).astype(np.int64)], codes)
+        turned = np.where(codes < 256, np.frombuffer(_PARTNER, np.uint8)[np.minimum(codes, 255).astype(np.int64)], codes)
     base = 0x9E3779B97F4A7C15
     h = _windows(codes, k, base, False)
     if canonical:
@@ -76,8 +78,14 @@ def _kmer_hashes(text: str, k: int, canonical: bool = True) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
+    return h
+
+
+def _kmer_hashes(text: str, k: int, canonical: bool = True) -> np.ndarray:
+    """The distinct hashes of ``_all_hashes``, ascending."""
+    h = _all_hashes(text, k, canonical)
     h.sort()
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def _squeezed(values: np.ndarray, width: int) -> bytes:
@@ -229,6 +237,25 @@ def _texts(df: DataFrame, row: str, text: str, upper: bool = True) -> DataFrame:
     return materialize(packed.join(two.select("item", "d"), "item").join(second, "item", "left"))
 
 
+def _distinct_texts(df: DataFrame, row: str, text: str) -> DataFrame:
+    """(item, packed, length) of ``_texts`` alone, for which the table is read once."""
+    digest = F.unhex(F.md5(F.encode(F.col(text), "utf-8")))
+    own = df.where(F.col(text).isNotNull()).select(F.col(row).cast("bigint").alias("item"), digest.alias("d"), F.upper(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, length = [], []
+            for x in batch.column(2).to_pylist():
+                packer = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+                packed.append(packer.compress(x.encode("utf-8")) + packer.flush())
+                length.append(len(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), pa.array(length, pa.int32())], names=["item", "d", "packed", "length"])
+
+    rows = materialize(spread(own).mapInArrow(run, "item bigint, d binary, packed binary, length int"))
+    least = rows.groupBy("d").agg(F.min("item").alias("item")).select("item")
+    return materialize(rows.select("item", "packed", "length").join(least, "item"))
+
+
 def _unpacked(value) -> str:
     return zlib.decompress(value.as_py()).decode("utf-8")
 
@@ -313,58 +340,124 @@ def _split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(key[order[low]]), *(c[order[low:high]] for c in columns)
 
 
-def _met_kmers(texts: DataFrame, k: int) -> DataFrame:
-    """Packed: in role 0 items and their numbers of k-mers, in role 1 items, how many follow for each, and the uncut hashes of
-    the k-mers that another text may share.
+_CUT = "bucket int, block int, first bigint, steps binary, far binary"
+
+
+def _short_steps(values: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Ascending values as the first, the lower 16 bits of the steps between them, and places and the rest of the longer steps;
+    the values span less than 2**32."""
+    steps = np.diff(values)
+    far = np.flatnonzero(steps >> np.uint64(16))
+    return int(values[0]), steps.astype(np.uint16).tobytes(), far.astype(np.uint32).tobytes() + (steps[far] >> np.uint64(16)).astype(np.uint16).tobytes()
+
+
+def _of_steps(first: int, steps: bytes, far: bytes) -> np.ndarray:
+    out = np.empty(len(steps) // 2 + 1, np.uint64)
+    out[0], out[1:] = first, np.frombuffer(steps, np.uint16)
+    n = len(far) // 6
+    at, rest = np.frombuffer(far, np.uint32, n), np.frombuffer(far, np.uint16, n, 4 * n)
+    out[at.astype(np.int64) + 1] += rest.astype(np.uint64) << np.uint64(16)
+    return np.cumsum(out, out=out)
+
+
+def _met_kmers(texts: DataFrame, k: int, entries: int = 3_000_000) -> tuple[DataFrame, int]:
+    """Packed, and the number of parts: in role 0 items and their numbers of k-mers; in role 1, by part of the hashes, items, the
+    uncut hashes of the k-mers that another text may share, and whose they are as places in the items.
 
-    A first pass, on hashes cut short, only says which k-mers meet another text's; these few travel whole.
+    A first pass, on hashes cut to seven bits more than the k-mers need, only says which values come twice. Blocks of texts send
+    their sorted values without owners, no value more than twice, and get back those that came from anywhere else or twice from
+    here; so what texts share always meets, and what meets need not be shared.
     """
     letters = int(texts.agg(F.sum("length")).first()[0] or 0)
     bits = _cut_bits(letters)
-    chunks = max(task_slots(texts.sparkSession), -(-letters // 3_000_000))
-
-    def meet(table: pa.Table) -> pa.Table:
-        h, owner = _entries(table)
-        same = h[1:] == h[:-1]
-        some = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
-        h, owner = h[some], owner[some]
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        rows = []
-        for chunk, i, g in _split(_bucketed(owner, chunks), owner, h):
-            items, n = np.unique(i, return_counts=True)
-            # a part's hashes lie close together
-            rows.append((chunk, 1, items, n.astype(np.int32), g.min().tobytes() + (g - g.min()).astype(np.uint32).tobytes()))
-        return pa.Table.from_batches([_packed(rows)])
+    cut, parts = np.uint64(64 - bits), max(task_slots(texts.sparkSession), -(-letters // entries))
+    edges = np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
+    # the larger a block, the shorter the steps between its values
+    many = max(task_slots(texts.sparkSession), -(-letters // (2 * entries)))
+    blocks = texts.select(F.pmod(F.xxhash64("item"), F.lit(many)).cast("int").alias("bucket"), "item", "packed")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def sent(block: int) -> pa.RecordBatch:
+            h = np.concatenate(held)
+            h.sort()
+            h = h[np.concatenate([[True] * min(2, len(h)), h[2:] != h[:-2]])]
+            at = np.append(np.searchsorted(h, edges), len(h)).tolist()
+            rows = [(p, block, *_short_steps(h[low:high])) for p, (low, high) in enumerate(zip(at[:-1], at[1:], strict=True)) if low < high]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "first", "steps", "far"])
+
+        last, size = -1, 0
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                # what is left of a block may go on its own
+                if held and (block != last or size > 4 * entries):
+                    yield sent(last)
+                    held, size = [], 0
+                h = _all_hashes(_unpacked(text), k)
+                h >>= cut
+                last, size = block, size + len(h)
+                if len(h):
+                    held.append(h)
+        if held:
+            yield sent(last)
+
+    def meet(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = int(table["bucket"][0].as_py())
+        block = table["block"].to_pylist()
+        own = [_of_steps(*row) - edges[part] for row in zip(*(table[c].to_pylist() for c in ("first", "steps", "far")), strict=True)]
+        key = np.concatenate(own)
+        key <<= np.uint64(32)
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        value = key >> np.uint64(32)
+        same = value[1:] == value[:-1]
+        twice = np.zeros(len(key), bool)
+        twice[(key[np.concatenate([[False], same]) | np.concatenate([same, [False]])] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        rows, at = [], 0
+        for b, values in zip(block, own, strict=True):
+            found = values[twice[at : at + len(values)]].astype(np.uint32)
+            at += len(values)
+            if len(found):
+                rows.append((b, 1, part, found.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.int64(), pa.binary()], strict=True)], names=["bucket", "role", "item", "packed"])
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        met: dict[int, list[np.ndarray]] = {}
-        for items, n, data in _arrays(table, 1, np.int64, np.int32, np.uint8):
-            grams = data[:8].view(np.uint64)[0] + data[8:].copy().view(np.uint32).astype(np.uint64)
-            for item, own in zip(items.tolist(), np.split(grams, np.cumsum(n)[:-1]), strict=True):
-                met.setdefault(item, []).append(own)
-        texts_of = table.filter(pa.array(table["role"].to_numpy() == 0))
-        items, sizes, kept, hashes = [], [], [], []
-        for item, text in zip(*(texts_of[c].to_pylist() for c in "xy"), strict=True):
-            h = _kmer_hashes(zlib.decompress(text).decode("utf-8"), k)
-            items.append(int(np.frombuffer(item, np.int64)[0]))
+        role = table["role"].to_numpy()
+        back, texts_of = table.filter(pa.array(role == 1)), table.filter(pa.array(role == 0))
+        met = [np.frombuffer(v, np.uint32).astype(np.uint64) + edges[p] for p, v in zip(back["item"].to_pylist(), back["packed"].to_pylist(), strict=True)]
+        met = np.concatenate([np.zeros(0, np.uint64), *met])
+        met.sort()
+        # most k-mers are told by a table of the values' upper bits
+        upper = min(bits, 24)
+        some, down = np.zeros(1 << upper, bool), np.uint64(64 - upper)
+        some[(met >> np.uint64(bits - upper)).astype(np.int64)] = True
+        items, sizes, likely = texts_of["item"].to_numpy(), [], []
+        for text in texts_of["packed"]:
+            h = _kmer_hashes(_unpacked(text), k)
             sizes.append(len(h))
-            own = np.unique(np.concatenate(met.get(items[-1]) or [np.zeros(0, np.uint64)]))
-            cut = h >> np.uint64(64 - bits)
-            at = np.minimum(np.searchsorted(own, cut), len(own) - 1)
-            hashes.append(h[own[at] == cut] if len(own) else h[:0])
-            kept.append(len(hashes[-1]))
-        if items:
-            yield _packed([(0, 0, np.array(items, np.int64), np.array(sizes, np.int64), b""), (0, 1, np.array(items, np.int64), np.array(kept, np.int32), np.concatenate(hashes))])
-
-    met = _kmer_parts(texts, k).groupBy("part").applyInArrow(meet, _PACKED)
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = batch.column(0).to_numpy()
-            yield _packed(list(zip(_bucketed(items, chunks).tolist(), [0] * len(items), items, batch.column(1).to_pylist(), [b""] * len(items), strict=True)))
-
-    return materialize(_grouped(met.union(texts.select("item", "packed").mapInArrow(sent, _PACKED)), chunks, _PACKED, whole))
+            likely.append(h[some.take((h >> down).view(np.int64))])
+        if not len(items):
+            return
+        yield _packed([(0, 0, items, np.array(sizes, np.int64), b"")])
+        own, h = np.repeat(np.arange(len(items)), [len(x) for x in likely]), np.concatenate(likely)
+        if len(met) and len(h):
+            value = h >> cut
+            kept = met[np.minimum(np.searchsorted(met, value), len(met) - 1)] == value
+            own, h = own[kept], h[kept]
+            rows = []
+            for p, i, g in _split(((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.int64), own, h):
+                here = np.zeros(len(items), np.int64)
+                here[i] = 1
+                rows.append((p, 1, items[here > 0], g, (np.cumsum(here) - 1)[i].astype(np.uint32)))
+            yield _packed(rows)
+
+    cuts = by_bucket(blocks, many).mapInArrow(send, _CUT)
+    met = _grouped(cuts, parts, "bucket int, role int, item bigint, packed binary", meet)
+    both = met.unionByName(blocks.select("bucket", F.lit(0).alias("role"), "item", "packed"))
+    return materialize(_grouped(both, many, _PACKED, whole)), parts
 
 
 def _cold_pairs(owner: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -432,25 +525,24 @@ def _counted(texts: DataFrame, k: int, schema: str, fn: Callable[..., pa.RecordB
     groups of texts each, where also the sums of the parts end, so that no list of all pairs is ever written.
     """
     spark = texts.sparkSession
-    met = _met_kmers(texts, k)
-    total = met.where("role = 1").agg(F.sum(F.length("z"))).first()[0] or 0
-    parts = max(task_slots(spark), -(-int(total) // (8 * entries)))
-
-    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for items, n, grams in _arrays(batch, 1, np.int64, np.int32, np.uint64):
-                part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                if len(grams):
-                    yield _packed([(p, 1, i, g, b"") for p, i, g in _split(part, np.repeat(items, n), grams)])
+    met, fine = _met_kmers(texts, k, entries)
+    total = met.where("role = 1").agg(F.sum(F.length("y"))).first()[0] or 0
+    parts = min(fine, max(task_slots(spark), -(-int(total) // (8 * entries))))
 
     def paired(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket = int(table["bucket"][0].as_py())
-        owner, gram = (np.concatenate(c) for c in list(zip(*_arrays(table, 1, np.int64, np.uint64, np.uint8), strict=True))[:2])
-        names, owner = np.unique(owner, return_inverse=True)
-        order = np.lexsort((owner, gram))
+        rows = _arrays(table, 1, np.int64, np.uint64, np.uint32)
+        names, gram = np.sort(np.concatenate([r[0] for r in rows])), np.concatenate([r[1] for r in rows])
+        names = names[np.concatenate([[True], names[1:] != names[:-1]])]
+        owner = np.concatenate([np.searchsorted(names, items)[at] for items, _, at in rows])
+        order = np.argsort(gram)
         owner, gram = owner[order], gram[order]
         start = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1])
         size = np.diff(np.append(start, len(gram)))
+        # owners ascend within a gram
+        owner += np.repeat(np.arange(len(size)), size) << 32
+        owner.sort()
+        owner &= 0xFFFFFFFF
         cold = (size > 1) & (size <= hot)
         keys, counts = _cold_pairs(owner, start[cold], size[cold], len(names))
         for low in range(0, len(keys), 1_000_000):
@@ -461,7 +553,8 @@ def _counted(texts: DataFrame, k: int, schema: str, fn: Callable[..., pa.RecordB
             some = np.repeat(size > hot, size)
             yield _packed([(0, 3, names[owner[some]], number[some], b"")])
 
-    found = materialize(_grouped(met.where("role = 1").mapInArrow(by_hash, _PACKED), parts, _PACKED, paired))
+    placed = met.where("role = 1").withColumn("bucket", F.expr(f"cast(cast(bucket as bigint) * {parts} div {fine} as int)"))
+    found = materialize(_grouped(placed, parts, _PACKED, paired))
 
     def hot_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -525,7 +618,7 @@ def full_links(df: DataFrame, row: str, text: str, k: int = 21, least: float = 0
         x, y = ahead >= least, behind >= least
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((a[x], b[y]), (b[x], a[y]), (ahead[x], behind[y]))], names=["a", "b", "containment"])
 
-    return materialize(_counted(_texts(df, row, text), k, "a bigint, b bigint, containment double", kept))
+    return materialize(_counted(_distinct_texts(df, row, text), k, "a bigint, b bigint, containment double", kept))
 
 
 def full_search(queries: DataFrame, reference: DataFrame, row: str, text: str, k: int = 21, keep: int = 3, canonical: bool = True) -> DataFrame:
@@ -634,7 +727,7 @@ def pairwise_summary(df: DataFrame, row: str, text: str, k: int = 21) -> DataFra
         c, n = np.unique(shared / np.minimum(n_a, n_b), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["c", "n"])
 
-    met = _counted(_texts(df, row, text), k, "c double, n bigint", tallied)
+    met = _counted(_distinct_texts(df, row, text), k, "c double, n bigint", tallied)
     n = df.where(F.col(text).isNotNull()).agg(F.countDistinct(F.md5(F.encode(F.col(text), "utf-8"))).alias("n"))
     counts = materialize(met.groupBy("c").agg(F.sum("n").alias("n")))
     values = counts.agg(F.sum("n").alias("meeting"), F.max("c").alias("greatest"))

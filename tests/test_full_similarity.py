@@ -246,3 +246,31 @@ def test_entries_of_parts_are_those_of_the_texts(spark):
             assert (np.diff(h.astype(np.int64)) >= 0).all()
             got += zip(h.tolist(), owner.tolist(), strict=True)
         assert sorted(got) == sorted((int(h), i) for i, t in texts.items() for h in similarity._kmer_hashes(t, 9) >> bits)
+
+
+def test_links_read_the_table_once_and_send_kmers_without_owners(spark, rows, folder, monkeypatch):
+    monkeypatch.setattr(similarity, "_texts", refuse)
+    monkeypatch.setattr(similarity, "_kmer_parts", refuse)
+    got = {(r["a"], r["b"]): r["containment"] for r in registry.queries()["jn17_all_links"](spark, folder).collect()}
+    assert got == pytest.approx(brute(rows, 0.5), abs=1e-6) and got
+
+
+def test_met_kmers_are_all_that_two_texts_share(spark, block):
+    """With blocks and parts of few k-mers, long masked stretches and a text that repeats itself."""
+    sets = {i: "N" * 60 + s if i % 2 else s for i, s in block} | {-5: "ACGGT" * 40}
+    want = {i: similarity._kmer_hashes(s, 21) for i, s in sets.items()}
+    held = np.concatenate(list(want.values()))
+    several = {int(h) for h, n in zip(*np.unique(held, return_counts=True), strict=True) if n > 1}
+    met, parts = similarity._met_kmers(similarity._distinct_texts(spark.createDataFrame(list(sets.items()), "id bigint, s string"), "id", "s"), 21, entries=300)
+    table = met.toArrow()
+    assert parts > 20 and {i: n for items, sizes, _ in similarity._arrays(table, 0, np.int64, np.int64, np.uint8) for i, n in zip(items.tolist(), sizes.tolist(), strict=True)} == {i: len(h) for i, h in want.items()}
+    got = [(int(items[at]), int(h)) for items, grams, own in similarity._arrays(table, 1, np.int64, np.uint64, np.uint32) for h, at in zip(grams, own, strict=True)]
+    assert len(got) == len(set(got)) and {(i, int(h)) for i, own in want.items() for h in own if int(h) in several} <= set(got)
+    assert len(got) < len(held) and all(h in set(want[i].tolist()) for i, h in got[:500])
+
+
+def test_steps_of_sorted_values_come_back():
+    rng = random.Random(11)
+    values = np.array(sorted(2**40 + rng.randrange(2**32) for _ in range(3000)) + [2**40 + 2**32 - 1] * 2, np.uint64)
+    for some in (values, values[:1], values[-2:], values[:1].repeat(2)):
+        assert similarity._of_steps(*similarity._short_steps(some)).tolist() == some.tolist()

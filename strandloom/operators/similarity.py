@@ -679,7 +679,8 @@ def link_classes(df: DataFrame, row: str, text: str, links: DataFrame) -> DataFr
     """(row, class_id, links): one row per text with k-mers or not: its class and the number of other rows linked to its
     text directly or equal to it. Null texts are classes of their own without links."""
     digest = F.md5(F.encode(F.col(text), "utf-8"))
-    rows = df.select(F.col(row).alias("r"), digest.alias("d"))
+    # the texts are read once
+    rows = materialize(df.select(F.col(row).alias("r"), digest.alias("d")))
     reps = rows.where("d is not null").groupBy("d").agg(F.min("r").alias("rep"), F.count("*").alias("copies"))
     links = materialize(links.select("a", "b"))
     classes = connected_components(links).withColumnRenamed("node", "rep")

@@ -274,3 +274,17 @@ def test_steps_of_sorted_values_come_back():
     values = np.array(sorted(2**40 + rng.randrange(2**32) for _ in range(3000)) + [2**40 + 2**32 - 1] * 2, np.uint64)
     for some in (values, values[:1], values[-2:], values[:1].repeat(2)):
         assert similarity._of_steps(*similarity._short_steps(some)).tolist() == some.tolist()
+
+
+def test_classes_read_the_texts_once(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    links = spark.createDataFrame([(a, b) for a, b in brute(rows, 0.6) if a < b], "a bigint, b bigint")
+    summary = similarity.set_summary(similarity.link_classes(df.mapInArrow(counted, df.schema), "id", "s", links)).first()
+    assert summary["rows"] == len(rows) == reads.value and summary["largest"] > 20
